@@ -9,6 +9,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import BOUNDARY, SPACE, WORD, ColumnLike, as_col
 
@@ -54,7 +55,7 @@ def _mask_value(value):
     return value
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _mask_documents(docs: pd.Series) -> pd.Series:
     def one(doc):
         if doc is None:

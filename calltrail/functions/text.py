@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .base import BOUNDARY, SPACE, ColumnLike, as_col, let
 
@@ -114,7 +115,7 @@ def lcs_length(a: list, b: list) -> int:
     return len(b) - lcs_rows(a, b)[-1].bit_count()
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def lcs_size(a: pd.Series, b: pd.Series) -> pd.Series:
     """Length of the longest common subsequence of two token arrays."""
     return pd.Series([lcs_length(list(x), list(y)) if x is not None and y is not None else 0
@@ -141,6 +142,9 @@ def diff_lines(old: str, new: str) -> list[dict]:
     return out
 
 
-@F.pandas_udf("array<struct<type:string,text:string>>")
+EDITS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())]))
+
+
+@F.pandas_udf(EDITS)
 def line_diff(old: pd.Series, new: pd.Series) -> pd.Series:
     return pd.Series([diff_lines(x, y) for x, y in zip(old, new)])

@@ -236,6 +236,13 @@ def flatten_tree(tree: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ replays
 
+def split_tool_io(requests: DataFrame) -> DataFrame:
+    """Adds tool_input and tool_output for tool spans."""
+    io = F.when(F.col("span_type") == "tool", tool_io("input_messages", "output_message", "raw_request", "raw_response"))
+    return requests.withColumn("_io", io).select(
+        *requests.columns, F.col("_io.tool_input").alias("tool_input"), F.col("_io.tool_output").alias("tool_output"))
+
+
 def _row(position: int | Column, role: str | Column, content: Column, tokens: Column | None = None,
          cost: Column | None = None, tool_input: Column | None = None, tool_output: Column | None = None,
          error: Column | None = None) -> Column:

@@ -175,7 +175,7 @@ def requests_over(events: DataFrame, spark: SparkSession) -> DataFrame:
 def with_log(body: str, *extra: str) -> str:
     """SQL check text: the priced log as ``r`` (price list ``models``), further CTEs, then ``body``."""
     parts = [f"models AS ({MODELS})", f"req AS ({check_sql(REQUESTS)})", f"r AS ({PRICED})", *extra]
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
 
 
 def with_view(text: str, body: str, *extra: str) -> str:
