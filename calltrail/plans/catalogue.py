@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import registry
-from . import report_queries, text_queries, trace_queries  # noqa: F401
+from . import report_queries, source_queries, stream_queries, text_queries, trace_queries  # noqa: F401
 
 
 def _session_ready(fn):

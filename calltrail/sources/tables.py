@@ -23,6 +23,16 @@ def load_table(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(_instant(spark.read.parquet(path).schema)).parquet(path)
 
 
+def stream_table(spark: SparkSession, path: str) -> DataFrame:
+    """The table as a stream of files, whether ``path`` is a folder of parts or one file."""
+    reader = spark.readStream.schema(load_table(spark, path).schema)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(target).isDirectory():
+        return reader.parquet(path)
+    folder, name = path.rsplit("/", 1)
+    return reader.option("pathGlobFilter", name).parquet(folder)
+
+
 def load_tables(spark: SparkSession, folder: str, names: Iterable[str]) -> dict[str, DataFrame]:
     """``<folder>/<name>.parquet`` for every name."""
     return {n: load_table(spark, f"{folder.rstrip('/')}/{n}.parquet") for n in names}
