@@ -9,16 +9,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ColumnLike = Column | str
 
-# ASCII word characters, and the white space a web-script `\s` matches.
-WORD = "[A-Za-z0-9_]"
+# ASCII word characters (Java's `\w`; its `\b` would be Unicode-aware), and the
+# white space a web-script `\s` matches, as a pattern and as characters.
+WORD = r"\w"
+SPACE_CHARS = ("\t\n\x0b\x0c\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+               "\u2028\u2029\u202f\u205f\u3000\ufeff")
 SPACE = "[\\t-\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
-# Java's `\b` is Unicode-aware; this boundary looks at ASCII word characters only.
-BOUNDARY = f"(?:(?<!{WORD})(?={WORD})|(?<={WORD})(?!{WORD}))"
 
 
 def as_col(value: ColumnLike) -> Column:
@@ -30,6 +31,17 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add costly columns (parsed JSON, say) that later steps use many times.
+
+    A generator is a boundary for the optimizer: neither a pushed-down filter nor
+    a merged projection can copy the expression, so it runs once per row.
+    """
+    row = F.struct(*[c.alias(name) for name, c in columns.items()])
+    return (df.select("*", F.explode(F.array(row)).alias("_once"))
+            .select(*df.columns, *[F.col(f"_once.{name}").alias(name) for name in columns]))
+
+
 def js_round(x: ColumnLike, digits: int = 0) -> Column:
     """Round half toward plus infinity (Spark's ``round`` goes half away from zero)."""
     scale = float(10 ** digits)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.base import blank_to_null, js_round
+from ..functions.base import blank_to_null, js_round, once
 from ..functions.messages import first_content, message_content, parse_messages
 from ..functions.retrieval import mrr, precision_at_k, recall_at_k
 from ..schema import (AGENT_METRICS, CONTEXT_METRICS, RAG_METRICS, RETRIEVAL_METRICS, TASK_METRICS,
@@ -34,9 +34,8 @@ def evaluation_analytics(requests: DataFrame, start, end) -> DataFrame:
     JSON objects are skipped.
     """
     names = RAG_METRICS + TEXT_METRICS + ("hallucination_rate",) + AGENT_METRICS
-    rows = between(requests, start, end).select(
-        "status", "latency_ms", "estimated_cost", "total_tokens",
-        text_fields("feedback", ("rating", "task_success")).alias("f"), text_fields("evaluation", names).alias("e"))
+    rows = once(between(requests, start, end).select("status", "latency_ms", "estimated_cost", "total_tokens", "feedback", "evaluation"),
+                f=text_fields("feedback", ("rating", "task_success")), e=text_fields("evaluation", names)).drop("feedback", "evaluation")
     rows = rows.withColumn("f_ok", F.col("f").isNotNull() & F.col(f"f.{BAD}").isNull()).withColumn(
         "e_ok", F.col("e").isNotNull() & F.col(f"e.{BAD}").isNull())
 
@@ -102,7 +101,7 @@ def eval_candidates(requests: DataFrame) -> DataFrame:
 
 def _metadata(requests: DataFrame) -> DataFrame:
     fields = ("context", "retrieved_chunks", "chunks", "expected_answer", "ground_truth", "retrieved_ids", "relevant_ids")
-    return requests.withColumn("_meta", text_fields("metadata", fields))
+    return once(requests, _meta=text_fields("metadata", fields))
 
 
 def _expected() -> Column:
@@ -202,9 +201,10 @@ def judged_values(parsed: DataFrame, has_context: Column | None = None, has_expe
     """Checked and rounded judge fields; ``score`` is NULL where the row is to be rejected."""
     names = ("score", "reasoning", "category", "task_type", "safety_status", "safety_reasoning", "task_metrics",
              "applicable_metrics", "hallucination_rate") + TASK_METRICS + CONTEXT_METRICS
-    j = parsed.withColumn("_j", text_fields("judge_json", names))
-    j = (j.withColumn("_listed", F.coalesce(F.from_json("_j.task_metrics", "array<string>"), F.array().cast("array<string>")))
-         .withColumn("_fit", F.coalesce(F.from_json("_j.applicable_metrics", "array<string>"), F.array().cast("array<string>"))))
+    none = F.array().cast("array<string>")
+    j = once(once(parsed, _j=text_fields("judge_json", names)),
+             _listed=F.coalesce(F.from_json("_j.task_metrics", "array<string>"), none),
+             _fit=F.coalesce(F.from_json("_j.applicable_metrics", "array<string>"), none))
     score = _number("score")
     context = F.lit(True) if has_context is None else F.coalesce(has_context, F.lit(False))
 

@@ -14,47 +14,42 @@ def _keys(key: str | Sequence[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def _tokenised(pairs: DataFrame, key, generated: str, expected: str) -> DataFrame:
-    return pairs.select(*_keys(key), X.tokens(generated).alias("_g"), X.tokens(expected).alias("_e"))
+def _counted(pairs: DataFrame, key, generated: str, expected: str, orders: Sequence[int] = (), lcs: bool = False) -> DataFrame:
+    """keys and the counts of each pair: n_generated, n_expected, shared_<n>, lcs."""
+    counts = X.pair_counts(orders, lcs)(X.normalize_text(generated), X.normalize_text(expected))
+    return pairs.select(*_keys(key), counts.alias("_c")).select(*_keys(key), "_c.*")
 
 
-def _overlaps(toks: DataFrame, orders: Sequence[int]) -> DataFrame:
-    """Adds ``_o<n>``: clipped n-gram overlap of the two token arrays."""
-    for n in orders:
-        toks = toks.withColumn(f"_o{n}", X.bag_overlap(X.tagged_bag(X.ngrams("_g", n)), X.tagged_bag(X.ngrams("_e", n))))
-    return toks.withColumn("_ng", F.size("_g")).withColumn("_ne", F.size("_e"))
+G, E = "n_generated", "n_expected"
 
 
 def token_f1(pairs: DataFrame, key, generated: str = "generated", expected: str = "expected") -> DataFrame:
-    toks = _overlaps(_tokenised(pairs, key, generated, expected), [1])
-    return toks.select(*_keys(key), X.f1_of("_o1", "_ng", "_ne").alias("f1_score"))
+    rows = _counted(pairs, key, generated, expected, [1])
+    return rows.select(*_keys(key), X.f1_of("shared_1", G, E).alias("f1_score"))
 
 
 def rouge_n(pairs: DataFrame, key, n: int, generated: str = "generated", expected: str = "expected") -> DataFrame:
-    toks = _overlaps(_tokenised(pairs, key, generated, expected), [n])
-    return toks.select(*_keys(key), X.rouge_of(f"_o{n}", "_ng", "_ne", n).alias(f"rouge_{n}"))
+    rows = _counted(pairs, key, generated, expected, [n])
+    return rows.select(*_keys(key), X.rouge_of(f"shared_{n}", G, E, n).alias(f"rouge_{n}"))
 
 
 def rouge_l(pairs: DataFrame, key, generated: str = "generated", expected: str = "expected") -> DataFrame:
-    toks = _tokenised(pairs, key, generated, expected)
-    usable = (F.size("_g") > 0) & (F.size("_e") > 0)
-    return toks.select(*_keys(key), F.when(usable, X.lcs_size("_g", "_e") / F.size("_e")).otherwise(F.lit(0.0)).alias("rouge_l"))
+    rows = _counted(pairs, key, generated, expected, lcs=True)
+    return rows.select(*_keys(key), X.rouge_of("lcs", G, E, 1).alias("rouge_l"))
 
 
 def bleu4(pairs: DataFrame, key, generated: str = "generated", expected: str = "expected") -> DataFrame:
-    toks = _overlaps(_tokenised(pairs, key, generated, expected), [1, 2, 3, 4])
-    return toks.select(*_keys(key), X.bleu_of([F.col(f"_o{n}") for n in range(1, 5)], "_ng", "_ne").alias("bleu"))
+    rows = _counted(pairs, key, generated, expected, [1, 2, 3, 4])
+    return rows.select(*_keys(key), X.bleu_of([F.col(f"shared_{n}") for n in range(1, 5)], G, E).alias("bleu"))
 
 
 def text_metrics(pairs: DataFrame, key, generated: str = "generated", expected: str = "expected") -> DataFrame:
     """All text metrics in one pass over shared tokens; pairs without expected text drop out."""
     usable = pairs.filter(F.coalesce(F.col(expected), F.lit("")) != "")
-    toks = usable.select(*_keys(key), X.exact_match(generated, expected).alias("exact_match"),
-                         X.tokens(generated).alias("_g"), X.tokens(expected).alias("_e"))
-    toks = _overlaps(toks.withColumn("_lcs", X.lcs_size("_g", "_e")), [1, 2, 3, 4])
-    both = (F.col("_ng") > 0) & (F.col("_ne") > 0)
-    return toks.select(
-        *_keys(key), "exact_match", X.f1_of("_o1", "_ng", "_ne").alias("f1_score"),
-        X.rouge_of("_o1", "_ng", "_ne", 1).alias("rouge_1"), X.rouge_of("_o2", "_ng", "_ne", 2).alias("rouge_2"),
-        F.when(both, F.col("_lcs") / F.col("_ne")).otherwise(F.lit(0.0)).alias("rouge_l"),
-        X.bleu_of([F.col(f"_o{n}") for n in range(1, 5)], "_ng", "_ne").alias("bleu"))
+    same = X.exact_match(generated, expected).alias("exact_match")
+    counts = X.pair_counts([1, 2, 3, 4], lcs=True)(X.normalize_text(generated), X.normalize_text(expected))
+    rows = usable.select(*_keys(key), same, counts.alias("_c")).select(*_keys(key), "exact_match", "_c.*")
+    return rows.select(
+        *_keys(key), "exact_match", X.f1_of("shared_1", G, E).alias("f1_score"),
+        X.rouge_of("shared_1", G, E, 1).alias("rouge_1"), X.rouge_of("shared_2", G, E, 2).alias("rouge_2"),
+        X.rouge_of("lcs", G, E, 1).alias("rouge_l"), X.bleu_of([F.col(f"shared_{n}") for n in range(1, 5)], G, E).alias("bleu"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.base import blank_to_null
+from ..functions.base import blank_to_null, once
 from ..functions.messages import estimate_tokens, parse_messages
 from ..functions.pii import guardrail_check, mask_pii_json
 from ..operators.cost import price_of
@@ -28,7 +28,8 @@ def assemble_stream_chunks(chunks: DataFrame, key: str = "request_id") -> DataFr
     The latest usage and finish reason are merging aggregates.
     """
     parts = (chunks.filter(F.col("data") != STREAM_END)
-             .select(key, "seq", text_fields("data", ("choices", "usage")).alias("_d"))
+             .select(key, "seq", "data"))
+    parts = (once(parts, _d=text_fields("data", ("choices", "usage")))
              .filter(F.col("_d._malformed").isNull() & F.col("_d").isNotNull())
              .select(key, "seq", F.floor(F.col("seq") / BLOCK).alias("_block"),
                      blank_to_null(F.get_json_object("_d.choices", "$[0].delta.content")).alias("_text"),
@@ -66,8 +67,7 @@ def normalize_calls(calls: DataFrame, models: DataFrame, provider: str = "deepin
     fields = ("model", "messages", "user", "conversation_id", "trace_id", "span_id", "parent_span_id", "span_name",
               "span_type", "span_status", "temperature", "max_tokens", "top_p", "frequency_penalty", "presence_penalty",
               "metadata")
-    rows = calls.withColumn("q", text_fields("request", fields)).withColumn(
-        "p", text_fields("response", ("model", "choices", "usage", "error")))
+    rows = once(calls, q=text_fields("request", fields), p=text_fields("response", ("model", "choices", "usage", "error")))
     if chunks is not None:
         streams = assemble_stream_chunks(chunks).select(
             F.col("request_id").alias("id"), F.col("content").alias("s_content"), F.col("usage").alias("s_usage"),
@@ -96,14 +96,11 @@ def normalize_calls(calls: DataFrame, models: DataFrame, provider: str = "deepin
     error_text = F.coalesce(blank_to_null(F.get_json_object("p.error", "$.message")),
                             F.when(~streamed, F.col("p.error")),
                             F.concat(F.lit("HTTP "), F.col("http_status").cast("string")))
-    rows = (rows.withColumn("_message", F.when(~no_counts & ~streamed, message))
-            .withColumn("_usage", usage)
-            .withColumn("_trace", field("trace_id", "x-trace-id"))
-            .withColumn("_model", F.coalesce(
-                _truthy(F.col("q.model")), F.when(~streamed & ~failed, _truthy(F.col("p.model"))), F.lit("unknown"))))
+    rows = once(rows, _message=F.when(~no_counts & ~streamed, message), _usage=usage, _trace=field("trace_id", "x-trace-id"),
+                _model=F.coalesce(_truthy(F.col("q.model")), F.when(~streamed & ~failed, _truthy(F.col("p.model"))), F.lit("unknown")))
     output_text = F.when(streamed, F.col("s_content")).otherwise(F.get_json_object("_message", "$.content"))
     guess = estimate_tokens(parse_messages("q.messages"), output_text)
-    rows = rows.withColumn("_guess", guess)
+    rows = once(rows, _guess=guess)
     u_prompt, u_completion = F.coalesce("_usage.prompt_tokens", F.lit(0)), F.coalesce("_usage.completion_tokens", F.lit(0))
     blind = F.when(streamed, F.col("s_usage").isNull()).otherwise((u_prompt == 0) & (u_completion == 0))
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.base import blank_to_null
+from ..functions.base import blank_to_null, once
 from ..operators.evaluation import BAD, text_fields
 from ..schema import REQUESTS
 
@@ -38,41 +38,41 @@ def _number(name: str) -> Column:
     return F.coalesce(F.col(f"r.{name}").try_cast("double"), F.lit(0.0))
 
 
-def _document(name: str, opener: str, default: str | None) -> Column:
-    """A field that holds JSON or JSON text; other content falls back to ``default``."""
+def _document(name: str, openers: str) -> Column:
+    """A field that holds a JSON array or object (or the text of one), else NULL."""
     text = blank_to_null(F.col(f"r.{name}"))
-    valid = F.try_parse_json(text).isNotNull()
-    return F.when(valid & F.ltrim(text).startswith(opener), text).otherwise(F.lit(default).cast("string"))
+    return F.when(F.substring(F.ltrim(text), 1, 1).isin(*openers) & F.try_parse_json(text).isNotNull(), text)
 
 
 def import_records(records: DataFrame, existing: DataFrame | None = None, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(request rows, rejects with seq, id and reason) from rows (seq, value).
 
     Of several records with one id the first is taken; an id that ``existing``
-    holds is rejected. The winner is a merging minimum, so an id repeated in a
-    large part of the file is reduced before the shuffle.
+    holds is rejected. Spark limits the ranking to one row per id and task before
+    the shuffle, so an id repeated in a large part of the file does no harm.
     """
     now = F.current_timestamp() if now is None else now
     names = tuple(f.name for f in REQUESTS) + ("cost",)
-    rows = records.select("seq", "value", text_fields("value", names).alias("r"))
+    rows = once(records.select("seq", "value"), r=text_fields("value", names))
     readable = F.col("r").isNotNull() & F.col(f"r.{BAD}").isNull()
     unreadable = rows.filter(~readable).select("seq", F.lit(None).cast("string").alias("id"), F.lit("not a JSON object").alias("reason"))
-    rows = rows.filter(readable).withColumn("_id", F.coalesce(blank_to_null(F.col("r.id")), _uuid_from(F.col("seq").cast("string"), F.col("value"))))
-    model = F.coalesce(blank_to_null(F.col("r.model")), F.lit("unknown"))
-    prompt, completion = _number("prompt_tokens").cast("long"), _number("completion_tokens").cast("long")
-    total = F.coalesce(F.nullif(_number("total_tokens").cast("long"), F.lit(0)), prompt + completion)
+    rows = once(rows.filter(readable),
+                _id=F.coalesce(blank_to_null(F.col("r.id")), _uuid_from(F.col("seq").cast("string"), F.col("value"))),
+                _model=F.coalesce(blank_to_null(F.col("r.model")), F.lit("unknown")),
+                _prompt=_number("prompt_tokens").cast("long"), _completion=_number("completion_tokens").cast("long"),
+                _in=_document("input_messages", "[{"), _out=_document("output_message", "[{"), _meta=_document("metadata", "{"),
+                _tags=F.coalesce(F.from_json(_document("tags", "["), "array<string>"), F.array().cast("array<string>")))
+    model = F.col("_model")
+    total = F.coalesce(F.nullif(_number("total_tokens").cast("long"), F.lit(0)), F.col("_prompt") + F.col("_completion"))
     cost = F.coalesce(F.nullif(_number("estimated_cost"), F.lit(0.0)), _number("cost"))
-    meta = _document("metadata", "{", "{}")
-    meta_body = F.regexp_replace(F.rtrim(meta), r"\}$", "")
-    filled = F.size(F.json_object_keys(meta)) > 0
-    metadata = F.when(filled, F.concat(meta_body, F.lit(',"imported":true}'))).otherwise(F.lit('{"imported":true}'))
-    tags = F.coalesce(F.from_json(_document("tags", "[", "[]"), "array<string>"), F.array().cast("array<string>"))
-    tags = F.when(F.array_contains(tags, IMPORTED_TAG), tags).otherwise(F.array_append(tags, IMPORTED_TAG))
-    output = F.coalesce(_document("output_message", "{", None), _document("output_message", "[", None))
+    filled = F.size(F.json_object_keys("_meta")) > 0
+    metadata = F.when(filled, F.concat(F.regexp_replace(F.rtrim("_meta"), r"\}$", ""), F.lit(',"imported":true}'))).otherwise(
+        F.lit('{"imported":true}'))
+    tags = F.when(F.array_contains("_tags", IMPORTED_TAG), F.col("_tags")).otherwise(F.array_append("_tags", IMPORTED_TAG))
     given = {
         "id": F.col("_id"), "model": model, "provider": F.coalesce(blank_to_null(F.col("r.provider")), F.lit("imported")),
-        "input_messages": F.coalesce(_document("input_messages", "[", None), _document("input_messages", "{", "[]")),
-        "output_message": output, "prompt_tokens": prompt, "completion_tokens": completion, "total_tokens": total,
+        "input_messages": F.coalesce("_in", F.lit("[]")), "output_message": F.col("_out"),
+        "prompt_tokens": F.col("_prompt"), "completion_tokens": F.col("_completion"), "total_tokens": total,
         "estimated_cost": cost, "latency_ms": _number("latency_ms").cast("long"),
         "status": F.coalesce(blank_to_null(F.col("r.status")), F.lit("success")), "metadata": metadata, "tags": F.to_json(tags),
         "stream": F.coalesce(F.col("r.stream").isin("true", "1"), F.lit(False)),
@@ -86,9 +86,11 @@ def import_records(records: DataFrame, existing: DataFrame | None = None, now: C
         return (blank_to_null(F.col(f"r.{field.name}")) if c is None else c).try_cast(field.dataType).alias(field.name)
 
     typed = rows.select("seq", *[column(f) for f in REQUESTS])
-    winner = typed.groupBy("id").agg(F.min("seq").alias("seq"))
-    first = typed.join(winner, ["id", "seq"], "left_semi")
-    rejects = [unreadable, typed.join(winner, ["id", "seq"], "left_anti").select("seq", "id", F.lit("duplicate id").alias("reason"))]
+    nth = F.row_number().over(Window.partitionBy("id").orderBy("seq"))
+    first = typed.withColumn("_nth", nth).filter(F.col("_nth") == 1).drop("_nth")
+    slim = typed.select("seq", "id")
+    winner = slim.groupBy("id").agg(F.min("seq").alias("seq"))
+    rejects = [unreadable, slim.join(winner, ["id", "seq"], "left_anti").select("seq", "id", F.lit("duplicate id").alias("reason"))]
     if existing is not None:
         stored = existing.select("id")
         rejects.append(first.join(stored, "id", "left_semi").select("seq", "id", F.lit("id exists").alias("reason")))
