@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import MESSAGES_DDL, MESSAGE_DDL
-from .base import ColumnLike, as_col, blank_to_null, js_trim, json_like, let, utf16_length
+from .base import ColumnLike, as_col, blank_to_null, js_trim, json_like, utf16_length
 
 PLACEHOLDER = r"\{\{[\s]*([A-Za-z0-9_]+)[\s]*\}\}"
 
@@ -193,8 +193,12 @@ def tool_io(input_messages: ColumnLike, output_message: ColumnLike, raw_request:
 
 
 def parse_created_at(text: ColumnLike) -> Column:
-    """``YYYY-MM-DD HH:MM:SS`` or ISO ``T…Z`` to a timestamp; NULL when it is neither."""
-    return F.try_to_timestamp(as_col(text))
+    """``YYYY-MM-DD HH:MM:SS`` or ISO ``T…Z`` to a timestamp; NULL when it is neither.
+
+    Spark also reads words such as ``now``, which are no dates here.
+    """
+    c = as_col(text)
+    return F.when(c.rlike("^[0-9]"), F.try_to_timestamp(c))
 
 
 def mask_secret(value: ColumnLike) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.base import blank_to_null, once
+from ..functions.messages import parse_created_at
 from ..operators.evaluation import BAD, text_fields
 from ..schema import REQUESTS
 
@@ -79,7 +80,7 @@ def import_records(records: DataFrame, existing: DataFrame | None = None, now: C
         "span_id": F.coalesce(blank_to_null(F.col("r.span_id")), F.col("_id")),
         "span_name": F.coalesce(blank_to_null(F.col("r.span_name")), F.concat(F.lit("Imported - "), model)),
         "span_type": F.coalesce(blank_to_null(F.col("r.span_type")), F.lit("llm")),
-        "created_at": F.coalesce(F.try_to_timestamp(F.col("r.created_at")), now)}
+        "created_at": F.coalesce(parse_created_at("r.created_at"), now)}
 
     def column(field) -> Column:
         c = given.get(field.name)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.base import blank_to_null
+from ..functions.messages import parse_created_at
 from ..schema import REQUESTS
 
 
@@ -58,7 +59,7 @@ def conform_requests(raw: DataFrame, now: Column | None = None) -> DataFrame:
         given = _as_text(raw, name) if isinstance(kind, T.StringType) and name in present else (
             F.col(name) if name in present else F.lit(None))
         if name == "created_at":
-            stamp = F.try_to_timestamp(given) if name in present and isinstance(raw.schema[name].dataType, T.StringType) else given
+            stamp = parse_created_at(given) if name in present and isinstance(raw.schema[name].dataType, T.StringType) else given
             return F.coalesce(stamp.cast("timestamp"), now)
         if name == "provider":
             return F.coalesce(blank_to_null(given), F.lit("deepinfra"))
