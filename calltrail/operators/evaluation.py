@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from ..functions.base import blank_to_null, js_round, once
 from ..functions.messages import first_content, message_content, parse_messages
 from ..functions.retrieval import mrr, precision_at_k, recall_at_k
+from ..scale import left_join_sparse
 from ..schema import (AGENT_METRICS, CONTEXT_METRICS, RAG_METRICS, RETRIEVAL_METRICS, TASK_METRICS,
                       TEXT_METRICS)
 from .analytics import as_time
 from .filters import between
-from .metrics import text_metrics
+from .metrics import text_metrics, text_scores
 from .traces import gather_tool_context
 
 BAD = "_malformed"
@@ -121,23 +122,23 @@ def judge_inputs(requests: DataFrame, max_context_chars: int = 4_000_000) -> Dat
     stored = F.coalesce(blank_to_null(F.col("_meta.context")), blank_to_null(F.col("_meta.retrieved_chunks")),
                         blank_to_null(F.col("_meta.chunks")))
     tools = gather_tool_context(requests, max_context_chars)
-    per_trace = tools.groupBy("trace_id").agg(
-        F.count(F.lit(1)).alias("_parts"), F.max(F.struct(F.col("part"), "context")).alias("_last"))
-    per_trace = per_trace.select("trace_id", "_parts",
-                                 F.when(F.col("_last.part") == 0, F.col("_last.context")).alias("_tool_context"))
+    whole = F.col("part") == 0
+    per_trace = (tools.groupBy("trace_id")
+                 .agg(F.max(F.when(whole, F.col("context"))).alias("_tool_context"), F.count_if(~whole).alias("_parts"))
+                 .withColumnRenamed("trace_id", "_trace"))
     messages = parse_messages("input_messages")
     base = candidates.select(
         "id", "trace_id", stored.alias("_stored"), messages.alias("_in"),
         message_content("output_message").alias("response"), _expected().alias("expected"))
-    joined = base.join(per_trace, "trace_id", "left")
-    from_tools = F.col("_stored").isNull()
+    # Rows that bring their own context, and rows without a trace, look nothing up.
+    base = base.withColumn("_trace", F.when(F.col("_stored").isNull(), blank_to_null("trace_id")))
+    joined = left_join_sparse(base, per_trace, ["_trace"], "_trace", "id")
     parts = joined.select(
         "id", "trace_id",
         F.coalesce(first_content("_in", "system"), F.lit("")).alias("system_message"),
         F.coalesce(blank_to_null(first_content("_in", "user")), F.lit("(no user message)")).alias("user_message"),
-        "response", F.coalesce("_stored", F.when(from_tools, F.col("_tool_context"))).alias("context"),
-        F.when(from_tools & F.col("_tool_context").isNull(), F.coalesce("_parts", F.lit(0))).otherwise(F.lit(0))
-        .cast("long").alias("context_parts"), "expected")
+        "response", F.coalesce("_stored", "_tool_context").alias("context"),
+        F.coalesce("_parts", F.lit(0)).cast("long").alias("context_parts"), "expected")
 
     def block(title: str, text: Column) -> Column:
         return F.concat(F.lit(f"[{title}]:\n"), text)
@@ -154,14 +155,15 @@ def judge_inputs(requests: DataFrame, max_context_chars: int = 4_000_000) -> Dat
 def local_metrics(requests: DataFrame) -> DataFrame:
     """Text metrics (where an expected answer exists) and retrieval metrics (where ids exist) per candidate."""
     candidates = _metadata(eval_candidates(requests))
-    pairs = candidates.select("id", message_content("output_message").alias("generated"), _expected().alias("expected"))
-    texts = text_metrics(pairs, "id")
+    both = F.col("_meta.retrieved_ids").isNotNull() & F.col("_meta.relevant_ids").isNotNull()
     got = F.from_json(F.col("_meta.retrieved_ids"), "array<string>")
     want = F.from_json(F.col("_meta.relevant_ids"), "array<string>")
-    both = F.col("_meta.retrieved_ids").isNotNull() & F.col("_meta.relevant_ids").isNotNull()
-    ids = candidates.filter(both).select("id", recall_at_k(got, want).alias("recall_at_k"),
-                                         precision_at_k(got, want).alias("precision_at_k"), mrr(got, want).alias("mrr"))
-    return texts.join(ids, "id", "full_outer")
+    rows = candidates.select(
+        "id", message_content("output_message").alias("generated"), _expected().alias("expected"), both.alias("_both"),
+        F.when(both, recall_at_k(got, want)).alias("recall_at_k"), F.when(both, precision_at_k(got, want)).alias("precision_at_k"),
+        F.when(both, mrr(got, want)).alias("mrr"))
+    useful = rows.filter(F.col("expected").isNotNull() | F.col("_both"))
+    return text_scores(useful, ["id", *RETRIEVAL_METRICS]).select("id", *TEXT_METRICS, *RETRIEVAL_METRICS)
 
 
 # ------------------------------------------------------------------ judge output

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.base import blank_to_null
 from ..functions.messages import message_content, parse_message, parse_messages, tool_io, with_role
+from ..scale import left_join_sparse
 from ..schema import MESSAGES_DDL
 from ..session import reliable_checkpoint
 
@@ -204,8 +205,8 @@ def span_tree(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
              .agg(F.max_by("id", F.struct("created_at", "id")).alias("parent_id"))
              .withColumnRenamed("span_id", "parent_span_id"))
     wanted = F.when(~is_root(), F.col("parent_span_id"))
-    nodes = (spans.withColumn("parent_span_id", wanted)
-             .join(owner, ["trace_id", "parent_span_id"], "left")
+    nodes = (left_join_sparse(spans.withColumn("parent_span_id", wanted), owner, ["trace_id", "parent_span_id"],
+                              "parent_span_id", "id")
              .select("trace_id", "id", "span_id", "parent_id",
                      F.array(F.struct("created_at", "id")).alias("path"), F.col("parent_id").alias("next_id")))
     nodes = reliable_checkpoint(nodes)

@@ -11,7 +11,7 @@ from ..operators import cost as C
 from ..operators import filters as B
 from ..sources.tables import load_tables
 from .registry import END, LATE_END, LATE_START, START, query, stamp, stamp_sql, within_sql
-from .views import models, requests, unpriced, with_log
+from .views import models, requests, table, unpriced, view, with_log
 
 IN_RANGE = within_sql()
 ERR = "CASE WHEN status = 'error' THEN 1 ELSE 0 END"
@@ -82,7 +82,6 @@ def _search_conv(spark, folder):
   "k AS (SELECT CASE event_type WHEN 'click' THEN 'req_' WHEN 'view' THEN 'span_' ELSE 'none_' END || CAST(event_id AS VARCHAR) AS key FROM events)"))
 def _lookup(spark, folder):
     log = requests(spark, folder)
-    from .views import view
     keys = view(spark, folder, "SELECT CASE event_type WHEN 'click' THEN 'req_' WHEN 'view' THEN 'span_' ELSE 'none_' END || CAST(event_id AS STRING) AS key FROM events")
     return B.lookup_requests(log, keys).select("key", "id", "model")
 
@@ -299,8 +298,7 @@ def _page_conv(spark, folder):
 @query("conversation_requests", with_log(f"""SELECT conversation_id, id, {stamp_sql('created_at')} AS created_at FROM r
   WHERE conversation_id IN (SELECT 'conv_' || CAST(o_custkey AS VARCHAR) || '_1' FROM orders)"""))
 def _conv_requests(spark, folder):
-    from ..sources.tables import load_table
-    wanted = load_table(spark, f"{folder}/orders.parquet").select(F.concat(F.lit("conv_"), F.col("o_custkey").cast("string"), F.lit("_1")).alias("id"))
+    wanted = table(spark, folder, "orders").select(F.concat(F.lit("conv_"), F.col("o_custkey").cast("string"), F.lit("_1")).alias("id"))
     return V.conversation_requests(requests(spark, folder), wanted).select("conversation_id", "id", stamp("created_at").alias("created_at"))
 
 

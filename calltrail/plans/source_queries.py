@@ -8,14 +8,14 @@ from ..sources import calls as S
 from ..sources import changes as H
 from ..sources import exports as X
 from ..sources import imports as I
-from ..sources.tables import conform_requests, load_table
+from ..sources.tables import conform_requests
 from .registry import query, stamp, stamp_sql
 from .report_queries import cents
-from .views import CALLS, MODELS, models, requests, unpriced, view, with_log, with_view
+from .views import CALLS, MODELS, models, requests, table, unpriced, view, with_log, with_view
 
 
 def _events(spark, folder):
-    return load_table(spark, f"{folder}/events.parquet")
+    return table(spark, folder, "events")
 
 
 # ---------------------------------------------------------------- defaults
@@ -71,7 +71,7 @@ def _blocked(spark, folder):
 
 def _chunks(spark, folder):
     """Every conversation text as a stream: words as deltas, a broken chunk, usage twice, the end mark."""
-    talk = load_table(spark, f"{folder}/conversations.parquet")
+    talk = table(spark, folder, "conversations")
     key = F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("request_id")
     words = talk.select(key, F.posexplode(F.split("text", "(?<= )")).alias("seq", "word"))
 

@@ -12,14 +12,13 @@ from ..functions.retrieval import mrr, precision_at_k, recall_at_k
 from ..operators import evaluation as E
 from ..operators import metrics as K
 from ..operators import prompts as P
-from ..sources.tables import load_table
 from .registry import query
 from .report_queries import cents
-from .views import JUDGED, PROMPTS, RETRIEVAL, TEXT_PAIRS, check_sql, requests, unpriced, view, with_log, with_view
+from .views import JUDGED, PROMPTS, RETRIEVAL, TEXT_PAIRS, table, unpriced, view, with_log, with_view
 
 
 def _documents(spark, folder):
-    return load_table(spark, f"{folder}/documents.parquet")
+    return table(spark, folder, "documents")
 
 
 def _one_message(text="text"):
@@ -39,7 +38,7 @@ def _mask(spark, folder):
 
 @query("mask_pii_html", f"SELECT page_id, {MASK_SQL.format(c='html')} AS masked FROM pages")
 def _mask_pages(spark, folder):
-    return load_table(spark, f"{folder}/pages.parquet").select("page_id", pii.mask_pii("html").alias("masked"))
+    return table(spark, folder, "pages").select("page_id", pii.mask_pii("html").alias("masked"))
 
 
 @query("mask_pii_json", f"SELECT doc_id, {MASK_SQL.format(c='text')} AS masked, source FROM documents")
@@ -51,7 +50,7 @@ def _mask_json(spark, folder):
 
 @query("redact_messages", f"SELECT conv_id, turn, {MASK_SQL.format(c='text')} AS content FROM conversations")
 def _redact(spark, folder):
-    rows = load_table(spark, f"{folder}/conversations.parquet")
+    rows = table(spark, folder, "conversations")
     messages = F.array(F.struct("role", F.col("text").alias("content")))
     return rows.select("conv_id", "turn", F.get(pii.redact_messages(messages), F.lit(0))["content"].alias("content"))
 
@@ -84,7 +83,7 @@ def _task(spark, folder):
 
 @query("js_round", f"SELECT event_id, {cents('value - 250', 1)} AS rounded, floor((value - 250) + 0.5) AS whole FROM events")
 def _round(spark, folder):
-    events = load_table(spark, f"{folder}/events.parquet")
+    events = table(spark, folder, "events")
     x = F.col("value") - 250
     return events.select("event_id", js_round(x, 1).alias("rounded"), js_round(x).cast("double").alias("whole"))
 
@@ -98,7 +97,7 @@ def _secret(spark, folder):
 
 @query("parse_created_at", "SELECT event_id, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') AS plain, strftime(date_trunc('millisecond', ts), '%Y-%m-%d %H:%M:%S.%f') AS iso FROM events")
 def _parse_time(spark, folder):
-    events = load_table(spark, f"{folder}/events.parquet")
+    events = table(spark, folder, "events")
     plain = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
     return events.select("event_id", F.date_format(M.parse_created_at(plain), "yyyy-MM-dd HH:mm:ss").alias("plain"),
@@ -108,7 +107,7 @@ def _parse_time(spark, folder):
 @query("derive_feedback", """SELECT event_id, CAST(CASE WHEN event_id % 4 = 0 THEN 1 WHEN r >= 4 THEN 1 WHEN r <= 2 THEN -1 END AS INT) AS score, CAST(r AS DOUBLE) AS rating,
   CASE WHEN event_type = 'view' THEN 'nice' ELSE '' END AS comment FROM (SELECT event_id, event_type, 1 + CAST(json_extract_string(props, '$.k') AS INT) % 5 AS r FROM events) z""")
 def _derive(spark, folder):
-    events = load_table(spark, f"{folder}/events.parquet")
+    events = table(spark, folder, "events")
     rating = F.lit(1) + F.get_json_object("props", "$.k").cast("int") % 5
     score = F.when(F.col("event_id") % 4 == 0, F.lit(1))
     comment = F.when(F.col("event_type") == "view", F.lit("nice"))
@@ -119,7 +118,7 @@ def _derive(spark, folder):
 @query("estimate_tokens", """SELECT conv_id, turn, CAST(greatest(1, ceil((length(text) + length(role)) / 4.0)) AS BIGINT) AS prompt_tokens,
   CAST(greatest(1, ceil(length(text) / 4.0)) AS BIGINT) AS completion_tokens FROM conversations""")
 def _estimate(spark, folder):
-    rows = load_table(spark, f"{folder}/conversations.parquet")
+    rows = table(spark, folder, "conversations")
     est = M.estimate_tokens(F.array(F.struct("role", F.col("text").alias("content"))), "text")
     return rows.select("conv_id", "turn", est.alias("e")).select("conv_id", "turn", "e.prompt_tokens", "e.completion_tokens")
 
@@ -259,7 +258,7 @@ NEW_SQL = """n AS (SELECT doc_id AS seq, CASE WHEN toxic = 1 THEN 'bad/name' ELS
 
 
 def _new_prompts(spark, folder):
-    labels = load_table(spark, f"{folder}/labels.parquet")
+    labels = table(spark, folder, "labels")
     name = F.when(F.col("toxic") == 1, F.lit("bad/name")).otherwise(F.concat(F.lit(" src"), (F.col("doc_id") % 30).cast("string")))
     return labels.select(F.col("doc_id").alias("seq"), name.alias("name"), F.lit("be brief").alias("system_prompt"),
                          F.lit("{{x}}").alias("user_template"), F.array(F.lit("x")).alias("variables"))
@@ -375,7 +374,7 @@ def _local(spark, folder):
   FROM r LEFT JOIN f ON f.id = r.id""", """f AS (SELECT 'req_' || CAST(event_id AS VARCHAR) AS id, 'the answer ' || CASE WHEN event_id % 2 = 0 THEN json_extract_string(props, '$.k') ELSE '777' END || '!' AS expected
     FROM events WHERE event_type IN ('click', 'view', 'error'))"""))
 def _expected(spark, folder):
-    events = load_table(spark, f"{folder}/events.parquet").filter(F.col("event_type").isin("click", "view", "error"))
+    events = table(spark, folder, "events").filter(F.col("event_type").isin("click", "view", "error"))
     k = F.when(F.col("event_id") % 2 == 0, F.get_json_object("props", "$.k")).otherwise(F.lit("777"))
     news = events.select(F.concat(F.lit("req_"), F.col("event_id").cast("string")).alias("id"),
                          F.to_json(F.struct(F.concat(F.lit("the answer "), k, F.lit("!")).alias("expected_answer"))).alias("feedback"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.cost import estimate_cost
+from ..scale import spread_small
 from ..sources.tables import load_table
 
 # Model prices per million tokens.
@@ -144,9 +145,14 @@ def tables_in(text: str) -> list[str]:
     return [n for n in names if n in text]
 
 
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table; one that would be a single task is spread over the cores."""
+    return spread_small(load_table(spark, f"{folder}/{name}.parquet"))
+
+
 def view(spark: SparkSession, folder: str, text: str) -> DataFrame:
     """Evaluate a view text over the tables of ``folder``."""
-    frames = {n: load_table(spark, f"{folder}/{n}.parquet") for n in tables_in(text)}
+    frames = {n: table(spark, folder, n) for n in tables_in(text)}
     sql = spark_sql(text)
     for name, frame in frames.items():
         frame.createOrReplaceTempView(name)
