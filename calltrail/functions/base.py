@@ -64,9 +64,9 @@ def blank_to_null(text: ColumnLike) -> Column:
 def number_text(x: ColumnLike) -> Column:
     """Plain decimal text of a double: no exponent and no trailing zeros."""
     value = as_col(x).cast("double")
-    plain = value.cast("string").cast("decimal(38,18)").cast("string")
+    plain = value.cast("string").try_cast("decimal(38,18)").cast("string")
     short = F.regexp_replace(F.regexp_replace(plain, "0+$", ""), "\\.$", "")
-    return F.when(value == F.lit(0.0), F.lit("0")).otherwise(short)
+    return F.when(value == F.lit(0.0), F.lit("0")).otherwise(F.coalesce(short, value.cast("string")))
 
 
 def json_like(text: ColumnLike, opener: str) -> Column:

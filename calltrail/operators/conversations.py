@@ -51,8 +51,8 @@ def conversation_replay(requests: DataFrame) -> DataFrame:
 
 
 def tokens_per_second(completion_tokens, latency_ms):
-    """One decimal; 0 when nothing was completed."""
-    rate = js_round(completion_tokens / (latency_ms / F.lit(1000.0)), 1)
+    """One decimal; 0 when nothing was completed, NULL when no time passed."""
+    rate = js_round(F.try_divide(completion_tokens, latency_ms / F.lit(1000.0)), 1)
     return F.when(completion_tokens > 0, rate).otherwise(F.lit(0.0))
 
 

@@ -66,15 +66,15 @@ def conform_requests(raw: DataFrame, now: Column | None = None) -> DataFrame:
         if name == "status":
             return F.coalesce(blank_to_null(given), F.lit("success"))
         if name in ("prompt_tokens", "completion_tokens", "total_tokens", "latency_ms"):
-            return F.coalesce(given.cast("long"), F.lit(0).cast("long"))
+            return F.coalesce(given.try_cast("long"), F.lit(0).cast("long"))
         if name == "estimated_cost":
-            return F.coalesce(given.cast("double"), F.lit(0.0))
+            return F.coalesce(given.try_cast("double"), F.lit(0.0))
         if name == "stream":
-            return F.coalesce(given.cast("boolean"), F.lit(False))
+            return F.coalesce(given.try_cast("boolean"), F.lit(False))
         if name in ("model", "input_messages"):
             return given.cast("string")
         if isinstance(kind, T.StringType):
             return blank_to_null(given.cast("string"))
-        return given.cast(kind)
+        return given.try_cast(kind)
 
     return raw.select(*[col(f).alias(f.name) for f in REQUESTS])
