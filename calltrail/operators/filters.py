@@ -81,14 +81,15 @@ def search_conversations(conversations: DataFrame, term: str) -> DataFrame:
 def lookup_requests(requests: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
     """Rows for a table of keys: by id, else by span id (earliest span on a tie)."""
     wanted = keys.select(F.col(key).alias("_key")).distinct()
-    by_id = requests.join(wanted, requests["id"] == wanted["_key"])
-    found = by_id.select("_key")
-    rest = wanted.join(found, "_key", "left_anti")
-    spans = requests.join(rest, requests["span_id"] == rest["_key"])
-    first = (spans.groupBy("_key")
-             .agg(F.min_by(F.struct(*requests.columns), F.struct("created_at", "id")).alias("_row"))
-             .select("_key", "_row.*"))
-    return by_id.select("_key", *requests.columns).unionByName(first).withColumnRenamed("_key", key)
+
+    def matches(column: str, rank: int) -> DataFrame:
+        return (requests.filter(F.col(column).isNotNull()).withColumn("_key", F.col(column))
+                .join(wanted, "_key", "left_semi")
+                .select("_key", F.struct(F.lit(rank).alias("rank"), "created_at", "id").alias("_order"), F.struct(*requests.columns).alias("_row")))
+
+    both = matches("id", 0).unionByName(matches("span_id", 1))
+    best = both.groupBy("_key").agg(F.min_by("_row", "_order").alias("_row"))
+    return best.select(F.col("_key").alias(key), "_row.*")
 
 
 def resolve_date_range(now: datetime, start: datetime | None = None, end: datetime | None = None,

@@ -16,7 +16,7 @@ from .registry import query, stamp, stamp_sql
 from .report_queries import CONV_SQL, ERR, published_rollup
 from .source_queries import CALLS_SQL
 from .trace_queries import AGENT_OUT, AGENT_SQL, ALERT_SQL
-from .views import CALLS, models, requests_over, spark_sql, with_log, with_view
+from .views import CALLS, PREFIX, models, requests_over, spark_sql, with_log, with_view
 
 
 def _stream(spark, folder):
@@ -82,8 +82,8 @@ def _hourly(spark, folder):
   FROM t WHERE event_type <> 'purchase'""", CALLS_SQL))
 def _ingest(spark, folder):
     sink, state = _paths(spark, "ingest")
-    stream_table(spark, f"{folder}/events.parquet").createOrReplaceTempView("calls_stream")
-    raw = spark.sql(spark_sql(CALLS).replace("FROM events e", "FROM calls_stream e"))
+    stream_table(spark, f"{folder}/events.parquet").createOrReplaceTempView(PREFIX + "arriving_calls")
+    raw = spark.sql(spark_sql(CALLS).replace("FROM events e", f"FROM {PREFIX}arriving_calls e"))
     header = F.create_map(F.lit("X-User-Id"), F.col("user_header"))
     calls = raw.select("id", "request", "response", header.alias("headers"), F.col("http_status").cast("int").alias("http_status"), "latency_ms",
                        "transport_error", F.lit(False).alias("stream"), "created_at")

@@ -201,9 +201,18 @@ def _rouge2(spark, folder):
     return K.rouge_n(_pairs_view(spark, folder), KEY, 2).withColumn("rouge_2", F.round("rouge_2", 9))
 
 
-@query("rouge_l")
+def _lcs_cte(source, keys, a, b):
+    """CTE l: length of the longest common subsequence of two lists, one table row per step."""
+    step = f"CASE WHEN {b}[k] = {a}[i + 1] THEN coalesce(CASE WHEN k > 1 THEN line[k - 1] END, 0) + 1 ELSE 0 END"
+    return (f"s AS (SELECT {keys}, {a}, {b}, 0 AS i, [0 FOR x IN {b}] AS line FROM {source} UNION ALL SELECT {keys}, {a}, {b}, i + 1, "
+            f"[greatest(line[j], list_max([{step} FOR k IN range(1, j + 1)])) FOR j IN range(1, len({b}) + 1)] FROM s WHERE i < len({a})), "
+            f"l AS (SELECT {keys}, len({b}) AS n, coalesce(line[len({b})], 0) AS lcs FROM s WHERE i = len({a}))")
+
+
+@query("rouge_l", with_view(TEXT_PAIRS, "SELECT conv_id, turn, CASE WHEN n = 0 THEN 0.0 ELSE round(lcs / CAST(n AS DOUBLE), 9) END AS rouge_l FROM l",
+                            TOKENS_SQL, _lcs_cte("p", "conv_id, turn", "g", "e")).replace("WITH ", "WITH RECURSIVE ", 1))
 def _rouge_l(spark, folder):
-    return K.rouge_l(_pairs_view(spark, folder), KEY)
+    return K.rouge_l(_pairs_view(spark, folder), KEY).withColumn("rouge_l", F.round("rouge_l", 9))
 
 
 def _bleu_sql():
@@ -219,9 +228,14 @@ def _bleu(spark, folder):
     return K.bleu4(_pairs_view(spark, folder), KEY).withColumn("bleu", F.round("bleu", 9))
 
 
-@query("text_metrics")
+@query("text_metrics", with_view(TEXT_PAIRS, f"""SELECT p.conv_id, p.turn, CAST({norm_sql('v.generated')} = {norm_sql('v.expected')} AS INT) AS exact_match,
+  coalesce(CASE WHEN o1.o > 0 THEN round((2.0 * (o1.o / len(g)) * (o1.o / len(e))) / (o1.o / len(g) + o1.o / len(e)), 9) END, 0.0) AS f1_score,
+  coalesce(round(o1.o / len(e), 9), 0.0) AS rouge_1, coalesce(round(o2.o / (len(e) - 1), 9), 0.0) AS rouge_2
+  FROM p JOIN v ON v.conv_id = p.conv_id AND v.turn = p.turn LEFT JOIN o1 ON o1.conv_id = p.conv_id AND o1.turn = p.turn
+  LEFT JOIN o2 ON o2.conv_id = p.conv_id AND o2.turn = p.turn WHERE v.expected <> ''""", TOKENS_SQL, _overlap_ctes(1), _overlap_ctes(2)))
 def _all_metrics(spark, folder):
-    return K.text_metrics(_pairs_view(spark, folder), KEY)
+    rows = K.text_metrics(_pairs_view(spark, folder), KEY)
+    return rows.select(*KEY, "exact_match", *[F.round(c, 9).alias(c) for c in ("f1_score", "rouge_1", "rouge_2")])
 
 
 # ---------------------------------------------------------------- retrieval metrics
@@ -282,6 +296,29 @@ def _diff_pairs(spark, folder):
 
 
 # Undoing a diff must give back both texts: unchanged and removed lines are the old one, unchanged and added ones the new one.
+# Their number of unchanged lines must be that of the longest common subsequence.
+STEPS_SQL = """d AS (SELECT name, to_version, string_split(old, chr(10)) AS a, string_split(new, chr(10)) AS b
+  FROM (SELECT name, version AS to_version, user_template AS new, lag(user_template) OVER (PARTITION BY name ORDER BY version) AS old FROM v) z WHERE old IS NOT NULL)"""
+
+
+@query("prompt_diff_texts", with_view(PROMPTS, "SELECT name, to_version, array_to_string(a, chr(10)) AS old_text, array_to_string(b, chr(10)) AS new_text FROM d", STEPS_SQL))
+def _diff_texts(spark, folder):
+    edits = P.prompt_diff(view(spark, folder, PROMPTS))
+
+    def side(left_out):
+        lines = F.array_sort(F.collect_list(F.when(F.col("type") != left_out, F.struct("line_no", "text"))))
+        return F.array_join(F.transform(lines, lambda x: x["text"]), "\n")
+
+    return edits.groupBy("name", "to_version").agg(side("added").alias("old_text"), side("removed").alias("new_text"))
+
+
+@query("prompt_diff_unchanged", with_view(PROMPTS, "SELECT name, to_version, CAST(lcs AS BIGINT) AS unchanged FROM l", STEPS_SQL,
+                                          _lcs_cte("d", "name, to_version", "a", "b")).replace("WITH ", "WITH RECURSIVE ", 1))
+def _diff_unchanged(spark, folder):
+    edits = P.prompt_diff(view(spark, folder, PROMPTS))
+    return edits.groupBy("name", "to_version").agg(F.count_if(F.col("type") == "unchanged").alias("unchanged"))
+
+
 @query("prompt_diff_sides", with_view(PROMPTS, """SELECT name, to_version, CAST(len(string_split(old, chr(10))) AS BIGINT) AS old_lines, CAST(len(string_split(new, chr(10))) AS BIGINT) AS new_lines
   FROM (SELECT name, version AS to_version, user_template AS new, lag(user_template) OVER (PARTITION BY name ORDER BY version) AS old FROM v) z WHERE old IS NOT NULL"""))
 def _diff_sides(spark, folder):

@@ -7,6 +7,8 @@ the two dialects differ. ``chr(92)`` is a backslash in both.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.cost import estimate_cost
@@ -140,9 +142,9 @@ def check_sql(text: str) -> str:
     return text.replace("{J}", CHECK_JSON).replace("{A}", "list_value")
 
 
-def tables_in(text: str) -> list[str]:
-    names = ("events", "conversations", "documents", "labels", "lineitem")
-    return [n for n in names if n in text]
+# Tables the views read; on the Spark side they are registered under a prefix of our own.
+_SOURCE = re.compile(r"\b(FROM|JOIN) (events|conversations|documents|labels|lineitem)\b")
+PREFIX = "calltrail_"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -152,11 +154,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def view(spark: SparkSession, folder: str, text: str) -> DataFrame:
     """Evaluate a view text over the tables of ``folder``."""
-    frames = {n: table(spark, folder, n) for n in tables_in(text)}
-    sql = spark_sql(text)
-    for name, frame in frames.items():
-        frame.createOrReplaceTempView(name)
-    return spark.sql(sql)
+    for name in sorted({m.group(2) for m in _SOURCE.finditer(text)}):
+        table(spark, folder, name).createOrReplaceTempView(PREFIX + name)
+    return spark.sql(_SOURCE.sub(rf"\1 {PREFIX}\2", spark_sql(text)))
 
 
 def models(spark: SparkSession) -> DataFrame:
@@ -173,7 +173,7 @@ def requests(spark: SparkSession, folder: str) -> DataFrame:
 
 def requests_over(events: DataFrame, spark: SparkSession) -> DataFrame:
     """The call log over another frame of events, such as a stream."""
-    name = "events_stream"
+    name = PREFIX + "arriving"
     events.createOrReplaceTempView(name)
     return estimate_cost(spark.sql(spark_sql(REQUESTS).replace("FROM events e", f"FROM {name} e")), models(spark))
 

@@ -34,6 +34,12 @@ def stream_table(spark: SparkSession, path: str) -> DataFrame:
     return reader.option("pathGlobFilter", name).parquet(folder)
 
 
+def write_requests(requests: DataFrame, path: str, mode: str = "append") -> None:
+    """Store request rows by day. Rebalancing lets AQE split a busy day and merge quiet ones into files of even size."""
+    by_day = requests.withColumn("day", F.to_date("created_at")).hint("rebalance", "day")
+    by_day.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
 def load_tables(spark: SparkSession, folder: str, names: Iterable[str]) -> dict[str, DataFrame]:
     """``<folder>/<name>.parquet`` for every name."""
     return {n: load_table(spark, f"{folder.rstrip('/')}/{n}.parquet") for n in names}

@@ -14,7 +14,7 @@ from calltrail.plans.views import models, requests
 from calltrail.sources import calls as S
 from calltrail.sources import exports as X
 from calltrail.sources import imports as I
-from calltrail.sources.tables import conform_requests
+from calltrail.sources.tables import conform_requests, load_table, write_requests
 from calltrail.streaming import jobs as J
 
 
@@ -104,6 +104,15 @@ def test_call_rules(spark):
     assert "a@b.com" not in str(masked.asDict()) and "[EMAIL_REDACTED]" in masked["input_messages"]
 
 
+def test_requests_by_day(spark, folder, tmp_path):
+    log = requests(spark, folder)
+    write_requests(log, str(tmp_path / "log"))
+    back = load_table(spark, str(tmp_path / "log"))
+    assert sorted(map(tuple, back.select(*log.columns).collect())) == sorted(map(tuple, log.collect()))
+    text = back.filter("day = '2024-01-03'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in text
+
+
 def test_daily_stats_overwrites_only_its_dates(spark, folder, tmp_path):
     log = requests(spark, folder)
     path = str(tmp_path / "daily")
