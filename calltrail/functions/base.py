@@ -7,7 +7,7 @@ the JVM's in the ways noted at each function.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,6 +69,19 @@ def number_text(x: ColumnLike) -> Column:
     return F.when(value == F.lit(0.0), F.lit("0")).otherwise(F.coalesce(short, value.cast("string")))
 
 
+def overlay_numbers(doc: ColumnLike, figures: ColumnLike, names: Iterable[str]) -> Column:
+    """``doc`` (a JSON object) with the flat numbers ``names`` replaced by those of the JSON object ``figures``.
+
+    Other keys keep their place and form; a ``doc`` that is no object gives ``figures``.
+    """
+    c, fresh = as_col(doc), as_col(figures)
+    old = f'"(?:{"|".join(names)})"\\s*:\\s*(?:[-+0-9.eE]+|null)\\s*,?\\s*'
+    body = F.regexp_replace(F.rtrim(F.regexp_replace(F.rtrim(F.regexp_replace(c, old, "")), r"\}$", "")), ",$", "")
+    filled = F.size(F.json_object_keys(F.concat(body, F.lit("}")))) > 0
+    joined = F.concat(body, F.lit(","), F.substring(fresh, F.lit(2), F.length(fresh)))
+    return F.when(F.json_object_keys(c).isNotNull() & filled, joined).otherwise(fresh)
+
+
 def json_like(text: ColumnLike, opener: str) -> Column:
     """True when the JSON text starts with ``opener`` (``[`` or ``{``)."""
     return F.ltrim(as_col(text)).startswith(opener)

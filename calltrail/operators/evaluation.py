@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.base import blank_to_null, js_round, once
+from ..functions.base import blank_to_null, js_round, once, overlay_numbers
 from ..functions.messages import first_content, message_content, parse_messages
 from ..functions.retrieval import mrr, precision_at_k, recall_at_k
 from ..scale import left_join_sparse
@@ -260,11 +260,16 @@ def assemble_evaluation(parsed: DataFrame, candidates: DataFrame | None = None,
     return values.filter(F.col("score").isNotNull()), rejects
 
 
-def failed_evaluations(rejects: DataFrame, metrics: DataFrame) -> DataFrame:
-    """Rows whose judge output could not be read keep their local metrics, with score 0."""
+# Notes on rows without a usable judge result.
+UNREADABLE = "Failed to parse LLM evaluation; local NLP/retrieval metrics calculated."
+UNREACHED = "API evaluation failed; local NLP/retrieval metrics calculated."
+
+
+def failed_evaluations(rejects: DataFrame, metrics: DataFrame, note: str = UNREADABLE) -> DataFrame:
+    """Rows whose judge output could not be read (or had) keep their local metrics, with score 0."""
     return (rejects.join(metrics, "id")
             .select("id", F.lit(0.0).alias("score"),
-                    F.lit("Failed to parse LLM evaluation; local NLP/retrieval metrics calculated.").alias("reasoning"),
+                    F.lit(note).alias("reasoning"),
                     F.lit("general").alias("category"), *TEXT_METRICS, *RETRIEVAL_METRICS))
 
 
@@ -287,12 +292,7 @@ def apply_expected_answers(requests: DataFrame, feedback: DataFrame, judged: Dat
              .filter(F.col("generated").isNotNull()))
     fresh = text_metrics(pairs, "id").select("id", F.to_json(F.struct(*TEXT_METRICS)).alias("_fresh"))
     rows = rows.join(fresh, "id", "left")
-    # Text metrics are flat numbers, so dropping the old ones by key is exact.
-    stripped = F.regexp_replace("evaluation", r'"(?:exact_match|f1_score|rouge_1|rouge_2|rouge_l|bleu)"\s*:\s*[-+0-9.eE]+\s*,?\s*', "")
-    body = F.regexp_replace(F.rtrim(F.regexp_replace(F.rtrim(stripped), r"\}$", "")), r",$", "")
-    filled = F.size(F.json_object_keys(F.concat(body, F.lit("}")))) > 0
-    tail = F.substring(F.col("_fresh"), F.lit(2), F.length("_fresh"))
-    overlaid = F.when(F.json_object_keys("evaluation").isNotNull() & filled, F.concat(body, F.lit(","), tail)).otherwise(F.col("_fresh"))
+    overlaid = overlay_numbers("evaluation", "_fresh", TEXT_METRICS)
     evaluation = F.when(F.col("_fresh").isNotNull(), overlaid).otherwise(F.col("evaluation"))
     if judged is not None:
         rows = rows.join(judged.select("id", F.col("evaluation").alias("_judged")), "id", "left")

@@ -10,10 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.base import blank_to_null
+from ..functions.base import blank_to_null, overlay_numbers
 from ..functions.messages import message_content, parse_message, parse_messages, tool_io, with_role
 from ..scale import left_join_sparse
-from ..schema import MESSAGES_DDL
+from ..schema import AGENT_METRICS, MESSAGES_DDL
 from ..session import reliable_checkpoint
 
 ROOT_MARK = "root"
@@ -100,24 +100,12 @@ def agent_metrics(requests: DataFrame) -> DataFrame:
 
 
 def with_agent_metrics(requests: DataFrame) -> DataFrame:
-    """``evaluation`` of each root request extended by the agent figures of its trace.
-
-    The figures are appended to the JSON object; when a key occurs twice the
-    later one counts, as in any JSON parser, so re-runs overwrite.
-    """
+    """``evaluation`` of each root request with the agent figures of its trace laid over it."""
     figures = agent_metrics(requests).select(
-        F.col("root_id").alias("id"),
-        F.to_json(F.struct("tool_success_rate", "iteration_count", "goal_completion_rate", "planning_accuracy",
-                           "tool_selection_accuracy")).alias("_figures"))
-    old = F.regexp_replace(F.rtrim("evaluation"), r"\}$", "")
-    is_object = F.json_object_keys("evaluation").isNotNull()
-    filled = F.size(F.coalesce(F.json_object_keys("evaluation"), F.array().cast("array<string>"))) > 0
-    added = F.substring(F.col("_figures"), F.lit(2), F.length("_figures"))
-    merged = F.when(is_object & filled, F.concat(old, F.lit(","), added)).otherwise(F.col("_figures"))
-    columns = [c for c in requests.columns if c != "evaluation"]
+        F.col("root_id").alias("id"), F.to_json(F.struct(*AGENT_METRICS)).alias("_figures"))
+    merged = F.when(F.col("_figures").isNotNull(), overlay_numbers("evaluation", "_figures", AGENT_METRICS)).otherwise(F.col("evaluation"))
     return (requests.join(figures, "id", "left")
-            .select(*columns, F.when(F.col("_figures").isNull(), F.col("evaluation")).otherwise(merged).alias("evaluation"))
-            .select(*requests.columns))
+            .select(*[merged.alias(c) if c == "evaluation" else F.col(c) for c in requests.columns]))
 
 
 # ------------------------------------------------------------------ tool context

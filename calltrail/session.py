@@ -20,6 +20,11 @@ def build_session(app: str = "calltrail", master: str | None = None, **conf: str
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # HotSpot never compiles methods above 8000 bytes of bytecode; smaller stages beat interpreted big ones.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
+        # Stream state beyond the heap.
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     }
     settings.update({k.replace("__", "."): v for k, v in conf.items()})
     for key, value in settings.items():

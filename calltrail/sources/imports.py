@@ -16,8 +16,9 @@ IMPORTED_TAG = "imported"
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """(seq, value): one JSON record text per row.
 
-    ``.jsonl`` files are split by line and read in parallel; other files hold one
-    JSON array or object each.
+    ``.jsonl`` files are split by line and read in parallel: the form for large
+    imports. Other files hold one JSON array or object each, which a single task
+    must read whole.
     """
     if path.rstrip("/").endswith(".jsonl"):
         lines = spark.read.text(path).filter(F.trim("value") != "")

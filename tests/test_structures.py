@@ -197,6 +197,17 @@ def test_expected_answer_replaces_old_text_metrics(spark):
     assert {r["id"]: r["evaluation"] for r in E.apply_expected_answers(base, news, judged).collect()}["a"] == '{"score":5}'
 
 
+def test_agent_figures_replace_old_ones(spark):
+    import json
+    base = conform_requests(spark.createDataFrame(
+        [("r", "t", None, '{"score":2,"iteration_count":9,"reasoning":"say \\"iteration_count\\": 1"}'), ("k", "t", "x", '{"score":1}'), ("s", "u", None, None)],
+        "id string, trace_id string, parent_span_id string, evaluation string").withColumn("created_at", F.lit(T0)))
+    rows = {r["id"]: r["evaluation"] for r in T.with_agent_metrics(base).collect()}
+    doc = json.loads(rows["r"])
+    assert doc["iteration_count"] == 2 and doc["score"] == 2 and doc["reasoning"] == 'say "iteration_count": 1' and rows["r"].count('"iteration_count":') == 1
+    assert rows["k"] == '{"score":1}' and json.loads(rows["s"])["goal_completion_rate"] == 1
+
+
 def test_evaluation_analytics_denominators(spark):
     rows = [("success", '{"rating":4,"task_success":true}', '{"faithfulness":4,"recall_at_k":0.5}'), ("error", '{"rating":null}', '{"recall_at_k":1}'),
             ("success", "bad", '{"hallucination_rate":0.25}'), ("success", None, "[1]")]
