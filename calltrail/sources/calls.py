@@ -20,37 +20,50 @@ STREAM_END = "[DONE]"
 BLOCK = 4096
 
 
-def assemble_stream_chunks(chunks: DataFrame, key: str = "request_id") -> DataFrame:
+def _joined(position: str, text: str, wanted: Column) -> Column:
+    """Texts of a group in order of ``position``; only rows that satisfy ``wanted`` are collected."""
+    ordered = F.array_sort(F.collect_list(F.when(wanted & F.col(text).isNotNull(), F.struct(position, text))))
+    return F.array_join(F.transform(ordered, lambda s: s[text]), "")
+
+
+def _last(name: str, position: str) -> Column:
+    return F.max_by(name, F.when(F.col(name).isNotNull(), F.col(position)))
+
+
+def stream_parts(chunks: DataFrame, key: str = "request_id", block: int = BLOCK) -> DataFrame:
+    """(key, part, content, usage, finish_reason): payload rows joined per ``block`` sequence numbers.
+
+    Parts follow each other in text order; each is joined by its own group, so a
+    very long stream is worked on by many tasks.
+    """
+    rows = chunks.filter(F.col("data") != STREAM_END).select(key, "seq", "data")
+    rows = (once(rows, _d=text_fields("data", ("choices", "usage")))
+            .filter(F.col("_d._malformed").isNull() & F.col("_d").isNotNull())
+            .select(key, "seq", F.floor(F.col("seq") / block).alias("part"),
+                    blank_to_null(F.get_json_object("_d.choices", "$[0].delta.content")).alias("_text"),
+                    blank_to_null(F.get_json_object("_d.choices", "$[0].finish_reason")).alias("_finish"),
+                    F.from_json("_d.usage", "prompt_tokens long, completion_tokens long, total_tokens long").alias("_usage")))
+    return rows.groupBy(key, "part").agg(
+        _joined("seq", "_text", F.lit(True)).alias("content"), _last("_usage", "seq").alias("usage"),
+        _last("_finish", "seq").alias("finish_reason"))
+
+
+def assemble_stream_chunks(chunks: DataFrame, key: str = "request_id", block: int = BLOCK, max_parts: int = 1024) -> DataFrame:
     """Rows (key, seq, data) of stream payloads to one row per call.
 
-    Text is joined in two steps, first per block of 4096 sequence numbers and
-    then over the blocks, so that a very long stream is joined by many tasks.
-    The latest usage and finish reason are merging aggregates.
+    content is the text of all deltas, usage and finish_reason the last ones
+    given. A stream of more than ``max_parts`` parts is not gathered in one task:
+    its content is NULL here and :func:`stream_parts` holds it, ``parts`` rows.
     """
-    parts = (chunks.filter(F.col("data") != STREAM_END)
-             .select(key, "seq", "data"))
-    parts = (once(parts, _d=text_fields("data", ("choices", "usage")))
-             .filter(F.col("_d._malformed").isNull() & F.col("_d").isNotNull())
-             .select(key, "seq", F.floor(F.col("seq") / BLOCK).alias("_block"),
-                     blank_to_null(F.get_json_object("_d.choices", "$[0].delta.content")).alias("_text"),
-                     blank_to_null(F.get_json_object("_d.choices", "$[0].finish_reason")).alias("_finish"),
-                     F.from_json("_d.usage", "prompt_tokens long, completion_tokens long, total_tokens long").alias("_usage")))
-
-    def joined(position: str, text: str) -> Column:
-        ordered = F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(position, text))))
-        return F.array_join(F.transform(ordered, lambda s: s[text]), "")
-
-    def last(name: str, position: str) -> Column:
-        return F.max_by(name, F.when(F.col(name).isNotNull(), F.col(position)))
-
-    blocks = parts.groupBy(key, "_block").agg(
-        joined("seq", "_text").alias("_text"), last("_finish", "seq").alias("_finish"), last("_usage", "seq").alias("_usage"))
+    pieces = stream_parts(chunks, key, block)
+    sizes = pieces.groupBy(key).agg(F.count(F.lit(1)).alias("parts"))
     usage = F.col("usage")
-    whole = blocks.groupBy(key).agg(
-        joined("_block", "_text").alias("content"), last("_usage", "_block").alias("usage"),
-        last("_finish", "_block").alias("finish_reason"))
+    whole = pieces.join(sizes, key).groupBy(key).agg(
+        _joined("part", "content", F.col("parts") <= max_parts).alias("content"), F.max("parts").alias("parts"),
+        _last("usage", "part").alias("usage"), _last("finish_reason", "part").alias("finish_reason"))
     counts = F.struct(*[F.coalesce(usage[n], F.lit(0)).alias(n) for n in ("prompt_tokens", "completion_tokens", "total_tokens")])
-    return whole.withColumn("usage", F.when(usage.isNotNull(), counts))
+    return whole.select(key, F.when(F.col("parts") <= max_parts, F.col("content")).alias("content"),
+                        F.when(usage.isNotNull(), counts).alias("usage"), "finish_reason", "parts")
 
 
 def _truthy(text: Column) -> Column:
