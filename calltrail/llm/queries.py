@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
+from .quality import quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,8 +21,13 @@ def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
+    """Base figures, perplexity band and verdict of all documents."""
+    return quality(_table(spark, folder, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_minhash,)}
+    return {f.__name__: f for f in (op3_minhash, op8_quality)}
 
 
 def checks() -> dict[str, str]:

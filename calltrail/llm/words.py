@@ -71,8 +71,8 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets), offsets)
 
 
-def word_hashes(words: Words) -> np.ndarray:
-    """A 64-bit hash of each word's bytes."""
+def word_hashes(words: Words, long_word: int = LONG_WORD) -> np.ndarray:
+    """A 64-bit hash of each word's bytes; words over ``long_word`` bytes are hashed one by one."""
     n = len(words.starts)
     if n == 0:
         return np.zeros(0, np.uint64)
@@ -81,7 +81,7 @@ def word_hashes(words: Words) -> np.ndarray:
     padded[:-8] = words.data
     eights = np.ndarray(shape=(len(words.data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
     out = length.astype(np.uint64) * _PRIME
-    at = np.flatnonzero(length <= LONG_WORD)
+    at = np.flatnonzero(length <= long_word)
     begin, left = words.starts[at], length[at]
     while len(at):
         piece = eights[begin] & _KEEP[np.minimum(left, 8)]
@@ -89,7 +89,7 @@ def word_hashes(words: Words) -> np.ndarray:
         out[at] = value ^ (value >> np.uint64(32))
         more = left > 8
         at, begin, left = at[more], begin[more] + 8, left[more] - 8
-    for i in np.flatnonzero(length > LONG_WORD):
+    for i in np.flatnonzero(length > long_word):
         digest = hashlib.blake2b(words.data[words.starts[i]:words.ends[i]].tobytes(), digest_size=8).digest()
         out[i] = int.from_bytes(digest, "little")
     return mix(out)
