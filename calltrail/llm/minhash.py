@@ -15,16 +15,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import components, written
+from .shared import components, likely_in, written
 from .words import LOWER, find_words, inside_rows, mix, row_blocks, window_hashes, word_hashes
 
 SHINGLE = 5
-BANDS, BAND_ROWS = 24, 4
+BANDS, BAND_ROWS = 20, 4
 #: Percent of the union that the intersection must reach.
 PERCENT = 85
-#: Coordinates that must agree before sets are compared. At a similarity of 0.85 the share of agreeing coordinates is
-#: below 0.6 with probability 1e-9; a pair misses all bands with probability 2e-8.
-LEAST_AGREEING = 58
+#: Share of coordinates that must agree before sets are compared. At a similarity of 0.85 fewer agree with probability
+#: 1e-8; a pair of that similarity misses all bands with probability 4e-7, a closer one with less.
+LEAST_AGREEING = 0.6
 #: Rows of a bucket that one task compares with each other; larger buckets are dealt out as pairs of blocks.
 BLOCK_ROWS = 256
 _STEP = np.uint32(0x9E3779B1)
@@ -41,13 +41,13 @@ def _pi(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(values: np.ndarray, bounds: np.ndarray, size: int) -> np.ndarray:
-    """Signatures (rows x size) of the sets ``values[bounds[i]:bounds[i + 1]]``, none of them empty."""
-    out = np.empty((len(bounds) - 1, size), np.uint32)
+    """Signatures (rows x size, cut to 16 bits) of the sets ``values[bounds[i]:bounds[i + 1]]``, none of them empty."""
+    out = np.empty((len(bounds) - 1, size), np.uint16)
     shifted = (mix(values ^ np.uint64(0x6A09E667F3BCC909)) >> np.uint64(32)).astype(np.uint32)  # sigma
     work = np.empty_like(shifted)
     for k in range(size):
         np.copyto(work, shifted)
-        out[:, k] = np.minimum.reduceat(_pi(work), bounds[:-1])
+        out[:, k] = np.minimum.reduceat(_pi(work), bounds[:-1]) & np.uint32(0xFFFF)
         shifted += _STEP
     return out
 
@@ -95,14 +95,14 @@ def _sketch(bands: int, band_rows: int):
 
 def _sets_for_targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each place a document is compared at, with its shingle set."""
-    out = pa.schema([("bucket", pa.binary()), ("lo", pa.int32()), ("hi", pa.int32()), ("doc_id", pa.int64()), ("shingles", pa.binary())])
+    out = pa.schema([("band", pa.int32()), ("bucket", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("doc_id", pa.int64()), ("shingles", pa.binary())])
     for batch in batches:
         for part, data, offsets in row_blocks(batch, "text"):
             values, bounds = shingle_sets(data, offsets)
             rows = []
             for i, (doc, targets) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("targets").to_pylist())):
                 mine = values[bounds[i]:bounds[i + 1]].tobytes()
-                rows += [(t["bucket"], t["lo"], t["hi"], doc, mine) for t in targets]
+                rows += [(t["band"], t["bucket"], t["lo"], t["hi"], doc, mine) for t in targets]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
@@ -111,10 +111,10 @@ def _comparable(bands: int, band_rows: int, least: int, percent: int):
     """Rows of a block pair that have a partner worth comparing in it; a pair counts in its first common band only."""
     def run(table: pa.Table) -> pa.Table:
         n = table.num_rows
-        marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(n, -1)
+        marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(n, -1)
         sizes, block = table.column("n_shingles").to_numpy(), table.column("block").to_numpy()
         lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        band = table.column("bucket")[0].as_py()[0]
+        band = table.column("band")[0].as_py()
         wanted = np.zeros(n, bool)
         grouped = marks.reshape(n, bands, band_rows)
         for i in range(n):
@@ -130,7 +130,7 @@ def _comparable(bands: int, band_rows: int, least: int, percent: int):
                 if len(others):
                     wanted[i] = True
                     wanted[others] = True
-        return table.select(["bucket", "lo", "hi", "doc_id"]).filter(pa.array(wanted))
+        return table.select(["band", "bucket", "lo", "hi", "doc_id"]).filter(pa.array(wanted))
     return run
 
 
@@ -197,22 +197,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     known = sketched.filter("doc_id IS NOT NULL AND set_key IS NOT NULL")
     nodes = known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     nodes = written(nodes, "nodes")
-    width = 4 * band_rows
-    band_key: Column = F.array(*[F.concat(F.unhex(F.lit(f"{b:02x}")), F.substring("signature", b * width + 1, width)) for b in range(bands)])
-    keyed = nodes.select("doc_id", F.explode(band_key).alias("bucket"))
-    sizes = keyed.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    member = keyed.join(sizes, "bucket").join(nodes.select("doc_id", "n_shingles", "signature"), "doc_id")
+    width = 2 * band_rows
+    band_key: Column = F.array(*[F.struct(F.lit(b).alias("band"), F.xxhash64(F.lit(b), F.substring("signature", b * width + 1, width)).alias("bucket")) for b in range(bands)])
+    keyed = nodes.select("doc_id", F.inline(band_key))
+    sizes = keyed.groupBy("band", "bucket").agg(F.count("*").alias("members")).filter("members > 1")
+    member = keyed.join(sizes, ["band", "bucket"]).join(nodes.select("doc_id", "n_shingles", "signature"), "doc_id")
     # Blocks depend on values: in a bucket of many rows they are numbered by a hash of the id.
     blocks = F.ceil(F.col("members") / F.lit(block_rows)).cast("int")
     member = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     placed = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "n_shingles", "signature")
-    wanted = placed.groupBy("bucket", "lo", "hi").applyInArrow(
-        _comparable(bands, band_rows, min(LEAST_AGREEING, bands * band_rows * 6 // 10 + 1), percent), "bucket binary, lo int, hi int, doc_id long")
-    targets = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("bucket", "lo", "hi")).alias("targets"))
-    texts = narrow.join(written(targets, "targets"), "doc_id").select("doc_id", "text", "targets")
-    links = (texts.mapInArrow(_sets_for_targets, "bucket binary, lo int, hi int, doc_id long, shingles binary")
-             .groupBy("bucket", "lo", "hi").applyInArrow(_linked(percent), "a long, b long"))
+        "band", "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "n_shingles", "signature")
+    wanted = placed.groupBy("band", "bucket", "lo", "hi").applyInArrow(
+        _comparable(bands, band_rows, int(LEAST_AGREEING * bands * band_rows), percent), "band int, bucket long, lo int, hi int, doc_id long")
+    targets = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("band", "bucket", "lo", "hi")).alias("targets"))
+    targets = written(targets, "targets")
+    texts = likely_in(narrow, targets, "doc_id").join(targets, "doc_id").select("doc_id", "text", "targets")
+    links = (texts.mapInArrow(_sets_for_targets, "band int, bucket long, lo int, hi int, doc_id long, shingles binary")
+             .groupBy("band", "bucket", "lo", "hi").applyInArrow(_linked(percent), "a long, b long"))
     groups = components(links)
     named = nodes.select("set_key", F.col("doc_id").alias("node")).join(groups, "node", "left").select(
         "set_key", F.coalesce("component", "node").alias("found"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
@@ -18,9 +18,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def dealt(spark: SparkSession, least: int = 1) -> int:
-    """Number of shuffle partitions of the session, ``least`` at least."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
+#: Bits of the filter that keeps rows out of a shuffle: 1024 bitmaps of 4 kB at most, whatever the number of keys.
+FILTER_BITS = 1 << 25
+
+
+def likely_in(df: DataFrame, keys: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``df`` whose ``column`` (a long) may be in ``keys`` (same column name); those left out are surely not.
+
+    A one-hash Bloom filter as a table of bitmaps; with its size bound it can be broadcast for any number of keys. It
+    only spares the join that follows the rows without a partner.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    maps = (keys.select(place(F.col(column)).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits")))
+    maps = F.broadcast(written(maps, "filter"))
+    spot = F.bitmap_bit_position(place(F.col(column)))
+    byte = F.conv(F.hex(F.substring("_bits", (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    hit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (spot % 8 + 1).cast("int")))
+    return (df.withColumn("_bucket", F.bitmap_bucket_number(place(F.col(column)))).join(maps, "_bucket")
+            .filter(hit > 0).select(*df.columns))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
