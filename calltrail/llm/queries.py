@@ -5,8 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import find_leaks
+from .lines import LINES_SQL, drop_boilerplate, host_of, html_lines
 from .minhash import near_duplicates
+from .packing import pack, word_count
 from .quality import quality
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,19 +20,45 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Text of all pages without the boilerplate lines of their host, with the numbers of lines and dropped lines."""
+    pages = _table(spark, folder, "pages").select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text"))
+    return drop_boilerplate(pages, "host", "text").select(
+        "page_id", "host", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), "text")
+
+
 def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicate groups of all documents: doc_id, n_shingles, component_id, kept."""
     return near_duplicates(_table(spark, folder, "documents"))
 
 
+def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents packed into bins by their number of words; a cluster are documents of equal words, case aside."""
+    docs = _table(spark, folder, "documents")
+    words = F.lower(F.trim(F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " ")))
+    return pack(docs.select("doc_id", word_count(F.col("text")).alias("n_tokens"), "source", F.xxhash64(words).alias("cluster")))
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Base figures, perplexity band and verdict of all documents."""
     return quality(_table(spark, folder, "documents"))
 
 
+def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Test items found in all documents: doc_id, item_id, distance in words, where the passage ends."""
+    return find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """All stages of the corpus pipeline over all documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, folder)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_minhash, op8_quality)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_minhash, op4_packing, op8_quality, op9_decontamination, pipeline)}
 
 
 def checks() -> dict[str, str]:
-    return {}
+    return {"op2_line_dedup": LINES_SQL}

@@ -22,11 +22,10 @@ def written(df: DataFrame, label: str) -> DataFrame:
 FILTER_BITS = 1 << 25
 
 
-def likely_in(df: DataFrame, keys: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows of ``df`` whose ``column`` (a long) may be in ``keys`` (same column name); those left out are surely not.
+def _marked(df: DataFrame, keys: DataFrame, column: str, bits: int) -> DataFrame:
+    """``df`` with ``_likely``: whether ``column`` (a long) may be among the keys; false means it is surely not.
 
-    A one-hash Bloom filter as a table of bitmaps; with its size bound it can be broadcast for any number of keys. It
-    only spares the join that follows the rows without a partner.
+    A one-hash Bloom filter as a table of bitmaps; with its size bound it can be broadcast for any number of keys.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
     maps = (keys.select(place(F.col(column)).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket"))
@@ -35,8 +34,19 @@ def likely_in(df: DataFrame, keys: DataFrame, column: str, bits: int = FILTER_BI
     spot = F.bitmap_bit_position(place(F.col(column)))
     byte = F.conv(F.hex(F.substring("_bits", (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (spot % 8 + 1).cast("int")))
-    return (df.withColumn("_bucket", F.bitmap_bucket_number(place(F.col(column)))).join(maps, "_bucket")
-            .filter(hit > 0).select(*df.columns))
+    return (df.withColumn("_bucket", F.bitmap_bucket_number(place(F.col(column)))).join(maps, "_bucket", "left")
+            .select(*df.columns, F.coalesce(hit > 0, F.lit(False)).alias("_likely")))
+
+
+def likely_in(df: DataFrame, keys: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be in ``keys`` (same column name); spares the join that follows the others."""
+    return _marked(df, keys, column, bits).filter("_likely").drop("_likely")
+
+
+def without(df: DataFrame, keys: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``df`` whose ``column`` is not in ``keys`` (written, same column name). Only rows that may be go through a shuffle."""
+    marked = _marked(df, keys, column, bits)
+    return marked.filter("NOT _likely").unionAll(marked.filter("_likely").join(keys, column, "left_anti").select(*marked.columns)).drop("_likely")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
