@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .debruijn import remove_repeats
 from .decontaminate import find_leaks
 from .lines import LINES_SQL, drop_boilerplate, host_of, html_lines
 from .minhash import near_duplicates
@@ -39,6 +40,11 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(docs.select("doc_id", word_count(F.col("text")).alias("n_tokens"), "source", F.xxhash64(words).alias("cluster")))
 
 
+def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without words of 13-word windows that a smaller document has: numbers of words and a digest of the rest."""
+    return remove_repeats(_table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Base figures, perplexity band and verdict of all documents."""
     return quality(_table(spark, folder, "documents"))
@@ -57,7 +63,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_minhash, op4_packing, op8_quality, op9_decontamination, pipeline)}
+    return {f.__name__: f for f in (op2_line_dedup, op3_minhash, op4_packing, op6_substring_dedup, op8_quality, op9_decontamination, pipeline)}
 
 
 def checks() -> dict[str, str]:

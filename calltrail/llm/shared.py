@@ -43,6 +43,12 @@ def likely_in(df: DataFrame, keys: DataFrame, column: str, bits: int = FILTER_BI
     return _marked(df, keys, column, bits).filter("_likely").drop("_likely")
 
 
+def split_likely(df: DataFrame, keys: DataFrame, column: str, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose ``column`` may be in ``keys``, and those where it surely is not."""
+    marked = _marked(df, keys, column, bits)
+    return marked.filter("_likely").drop("_likely"), marked.filter("NOT _likely").drop("_likely")
+
+
 def without(df: DataFrame, keys: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
     """Rows of ``df`` whose ``column`` is not in ``keys`` (written, same column name). Only rows that may be go through a shuffle."""
     marked = _marked(df, keys, column, bits)
