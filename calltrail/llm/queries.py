@@ -12,6 +12,7 @@ from .decontaminate import find_leaks
 from .lines import LINES_SQL, drop_boilerplate, host_of, html_lines
 from .minhash import near_duplicates
 from .packing import pack, word_count
+from .pii import digest, find_pii
 from .quality import quality
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +22,11 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in all documents: counts and digest of the base spans, all spans with those of the tagger."""
+    return digest(find_pii(_table(spark, folder, "documents")))
+
+
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Text of all pages without the boilerplate lines of their host, with the numbers of lines and dropped lines."""
     pages = _table(spark, folder, "pages").select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text"))
@@ -63,7 +69,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_line_dedup, op3_minhash, op4_packing, op6_substring_dedup, op8_quality, op9_decontamination, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_minhash, op4_packing, op6_substring_dedup, op8_quality, op9_decontamination, pipeline)}
 
 
 def checks() -> dict[str, str]:
