@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
 from .debruijn import remove_repeats
 from .decontaminate import find_leaks
 from .lines import LINES_SQL, drop_boilerplate, host_of, html_lines
 from .minhash import near_duplicates
 from .packing import pack, word_count
-from .pii import digest, find_pii
+from .pii import digest as pii_digest
+from .pii import find_pii
 from .quality import quality
+from .rollups import bpe_counter, commit_batch, totals, word_counter
+from .secrets import digest as secret_digest
+from .secrets import find_secrets
+
+#: Vocabulary file of the byte-pair tokenizer, at the same place on every executor.
+BPE_FILE = os.environ.get("BPE_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,7 +34,7 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def op1_pii(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in all documents: counts and digest of the base spans, all spans with those of the tagger."""
-    return digest(find_pii(_table(spark, folder, "documents")))
+    return pii_digest(find_pii(_table(spark, folder, "documents")))
 
 
 def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,6 +56,23 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(docs.select("doc_id", word_count(F.col("text")).alias("n_tokens"), "source", F.xxhash64(words).alias("cluster")))
 
 
+def op5_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
+    """Token totals of all documents by source, language and tokenizer version, after three batches of changes.
+
+    The first inserts all documents; the second deletes those labelled as of no quality and revises those labelled as
+    toxic, here to lower case; the third is the second again, as after a failed driver.
+    """
+    store = f"{shared_dir(spark).rstrip('/')}/rollups-{uuid.uuid4().hex}"
+    docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
+    counters = [word_counter("words"), bpe_counter(BPE_FILE, "byte_bpe_50k")]
+    commit_batch(spark, store, 1, docs.select("doc_id", F.lit(False).alias("deleted"), "text", "source", "lang"), counters)
+    marked = labels.filter("quality = 0 OR toxic = 1").groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    second = docs.join(marked, "doc_id").select("doc_id", (F.col("quality") == 0).alias("deleted"), F.lower("text").alias("text"), "source", "lang")
+    for _ in range(2):
+        commit_batch(spark, store, 2, second, counters)
+    return totals(spark, store)
+
+
 def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without words of 13-word windows that a smaller document has: numbers of words and a digest of the rest."""
     return remove_repeats(_table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
@@ -61,6 +88,11 @@ def op9_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return find_leaks(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
 
 
+def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in all documents: counts and digest of base spans, spans with live-looking tokens, live and copied ones."""
+    return secret_digest(find_secrets(_table(spark, folder, "documents")))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the corpus pipeline over all documents."""
     import corpus_pipeline
@@ -69,7 +101,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_minhash, op4_packing, op6_substring_dedup, op8_quality, op9_decontamination, pipeline)}
+    return {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_minhash, op4_packing, op5_token_rollups, op6_substring_dedup, op8_quality, op9_decontamination,
+                                   op10_secrets, pipeline)}
 
 
 def checks() -> dict[str, str]:

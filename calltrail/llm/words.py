@@ -57,9 +57,9 @@ def row_blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK_BYTES) ->
         at = to
 
 
-def find_words(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Maximal runs of bytes other than spaces, never across rows."""
-    word = ~IS_SPACE[data]
+def find_words(data: np.ndarray, offsets: np.ndarray, parting: np.ndarray = IS_SPACE) -> Words:
+    """Maximal runs of bytes other than ``parting`` ones, never across rows."""
+    word = ~parting[data]
     begin, end = word.copy(), word.copy()
     begin[1:] &= ~word[:-1]
     end[:-1] &= ~word[1:]
