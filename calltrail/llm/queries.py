@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..session import shared_dir
 from .debruijn import remove_repeats
 from .decontaminate import find_leaks
+from .licenses import find_licenses
 from .lines import LINES_SQL, drop_boilerplate, host_of, html_lines
 from .minhash import near_duplicates
 from .packing import pack, word_count
@@ -78,6 +79,11 @@ def op6_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return remove_repeats(_table(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op7_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """License notices and texts in all documents: doc_id, license, coverage, place."""
+    return find_licenses(_table(spark, folder, "documents"))
+
+
 def op8_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Base figures, perplexity band and verdict of all documents."""
     return quality(_table(spark, folder, "documents"))
@@ -101,7 +107,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_minhash, op4_packing, op5_token_rollups, op6_substring_dedup, op8_quality, op9_decontamination,
+    return {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_minhash, op4_packing, op5_token_rollups, op6_substring_dedup, op7_licenses, op8_quality, op9_decontamination,
                                    op10_secrets, pipeline)}
 
 
