@@ -29,7 +29,7 @@ SYMBOLS = b"#*$%&|<>"  # fixed values: the symbols that count
 IS_SYMBOL = np.zeros(256, bool)
 IS_SYMBOL[list(SYMBOLS)] = True
 _BEGIN, _END = 1, 2
-_BLOCK = 8 << 20
+_BLOCK = 4 << 20
 _TYPES = 400_000
 
 
