@@ -12,7 +12,7 @@ MAX_RATIO, MIN_PAGES = 0.10, 3
 # Parts of HTML that hold no text, and tags, which part lines.
 HIDDEN = (r"(?is)<script[^>]*>.*?</script>", r"(?is)<style[^>]*>.*?</style>", r"(?s)<!--.*?-->")
 TAG = r"<[^>]*>"
-EDGES = r"^[ \t\r\x0B\x0C]+|[ \t\r\x0B\x0C]+$"
+EDGES = " \t\r\x0b\x0c"
 
 
 def html_lines(html: Column) -> Column:
@@ -29,8 +29,12 @@ def host_of(url: Column) -> Column:
     return F.when(host != "", host)
 
 
+def _bare(line: Column) -> Column:
+    return F.btrim(line, F.lit(EDGES))
+
+
 def _key(line: Column) -> Column:
-    return F.xxhash64(F.regexp_replace(line, EDGES, ""))
+    return F.xxhash64(_bare(line))
 
 
 def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
@@ -41,7 +45,7 @@ def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_R
     """
     slim = pages.select(F.col(host).alias("host"), F.col(text).alias("_text"))
     totals = slim.groupBy("host").agg(F.count("*").alias("pages"))
-    keys = F.array_distinct(F.transform(F.filter(F.split("_text", "\n", -1), lambda x: F.regexp_replace(x, EDGES, "") != ""), _key))
+    keys = F.array_distinct(F.transform(F.filter(F.transform(F.split("_text", "\n", -1), _bare), lambda x: x != ""), lambda x: F.xxhash64(x)))
     found = slim.select("host", F.explode(keys).alias("line")).groupBy("host", "line").agg(F.count("*").alias("on_pages")).filter(F.col("on_pages") >= min_pages)
     return (found.join(totals, found["host"].eqNullSafe(totals["host"])).filter(F.col("on_pages") > max_ratio * F.col("pages"))
             .groupBy(found["host"]).agg(F.collect_list("line").alias("lines")))
@@ -61,9 +65,9 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float =
     bad = bad.select(F.col("host").alias("_host"), F.col("lines").alias("_bad"))
     joined = pages.join(bad, pages[host].eqNullSafe(bad["_host"]), "left")
     lines = F.split(F.col(text), "\n", -1)
-    dropped = lambda x: F.coalesce(F.array_contains("_bad", _key(x)), F.lit(False)) & (F.regexp_replace(x, EDGES, "") != "")
+    dropped = lambda x: F.coalesce(F.array_contains("_bad", _key(x)), F.lit(False)) & (_bare(x) != "")
     kept = F.when(F.col("_bad").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x: ~dropped(x)), "\n"))
-    filled = F.coalesce(F.size(F.filter(lines, lambda x: F.regexp_replace(x, EDGES, "") != "")), F.lit(0))
+    filled = F.coalesce(F.size(F.filter(lines, lambda x: _bare(x) != "")), F.lit(0))
     n_bad = F.when(F.col("_bad").isNull(), 0).otherwise(F.size(F.filter(lines, dropped)))
     return joined.select(*[kept.alias(c) if c == text else pages[c] for c in pages.columns],
                          F.when(F.col(text).isNull(), 0).otherwise(filled).cast("long").alias("_n_lines"),
@@ -77,7 +81,7 @@ WITH texts AS (
   FROM pages),
 numbered AS (SELECT row_number() OVER () AS r, * FROM texts),
 lines AS (
-  SELECT r, host, i, l[i] AS line, regexp_replace(l[i], '{EDGES}', '', 'g') AS bare
+  SELECT r, host, i, l[i] AS line, trim(l[i], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS bare
   FROM (SELECT r, host, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT r, host, string_split(text, chr(10)) AS l FROM numbered))),
 totals AS (SELECT host, count(*) AS pages FROM numbered GROUP BY host),
 frequent AS (

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import re
 from collections.abc import Iterator
 
@@ -16,8 +17,8 @@ from .tagger import Params, best_path, emissions, symbols, train
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window and between window starts.
 WIDTH, STEP = 96, 48
-#: Bound of the training sample, in windows with labelled spans and in windows without.
-LABELLED, UNLABELLED = 600, 200
+#: Bound of the training sample, in windows with labelled spans and in windows without; made-up windows fill it up.
+LABELLED, UNLABELLED, WINDOWS = 600, 200, 2800
 #: Longest stretch of windows that is decoded at once; longer ones are cut with this overlap.
 STRETCH, OVERLAP = 1 << 15, 512
 N_TAGS = 1 + 2 * len(KINDS)
@@ -149,9 +150,10 @@ def distractor(rng: np.random.Generator) -> str:
                 f"version {rng.integers(1, 9)}.{rng.integers(0, 9)}", f"{rng.integers(1, 999)}.{rng.integers(0, 99):02d}", f"{rng.integers(1, 99)} @ {rng.integers(1, 99)}", f"@{hexed[:5]}", _number(rng, rng.integers(22, 30)))
 
 
-def training_windows(rows: list[tuple[str, list[Span]]], seed: int = 7, made_up: int = 800) -> tuple[np.ndarray, np.ndarray]:
+def training_windows(rows: list[tuple[str, list[Span]]], seed: int = 7, made_up: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and tags of windows: the labelled stretches, the same with their spans rewritten in other forms or replaced
-    by distractors, and ``made_up`` windows of random words, so that a table without personal data trains too."""
+    by distractors, and ``made_up`` windows of random words (as many as fill up ``WINDOWS``, 800 at least), so that a
+    table without personal data trains too."""
     rng = np.random.default_rng(seed)
     texts: list[tuple[str, list[Span]]] = list(rows)
     for text, spans in rows:
@@ -159,7 +161,7 @@ def training_windows(rows: list[tuple[str, list[Span]]], seed: int = 7, made_up:
             before, item, after = variant(k, rng)
             texts.append((text[:s] + before + item + after + text[e:], [(k, s + len(before), s + len(before) + len(item))] + [(x, a, b) for x, a, b in spans if b <= s]))
             texts.append((text[:s] + distractor(rng), [(x, a, b) for x, a, b in spans if b <= s]))
-    for i in range(made_up):
+    for i in range(max(800, WINDOWS - len(texts)) if made_up is None else made_up):
         words = lambda: " ".join("".join(chr(97 + c) for c in rng.integers(0, 26, rng.integers(1, 10))) for _ in range(rng.integers(1, 9)))
         lead = words() + " "
         if i % 3:
@@ -263,12 +265,20 @@ def fit_tagger(scanned: DataFrame, labelled: int = LABELLED, unlabelled: int = U
     rows = scanned.select("row_key", "base", F.explode("stretches").alias("x")).select("row_key", "base", "x.s", F.col("x.text").alias("text")).filter(F.length("text") <= 4096)
     inside = F.filter("base", lambda b: (b["s"] >= F.col("s")) & (b["e"] <= F.col("s") + F.length("text")))
     rows = rows.withColumn("base", inside).withColumn("h", F.xxhash64("row_key", "s"))
-    picked = []
-    for with_spans, bound in ((True, labelled), (False, unlabelled)):
-        some = rows.filter((F.size("base") > 0) == with_spans).orderBy("h", "s", "text").limit(bound).collect()
-        picked += [(r["text"], sorted((b["kind"], b["s"] - r["s"], b["e"] - r["s"]) for b in r["base"])) for r in some]
-    picked = [(t, sorted(b, key=lambda x: x[1])) for t, b in picked]
-    return train(*training_windows(picked, seed), N_TAGS)
+    rows = rows.select("h", "s", "text", "base", (F.size("base") > 0).alias("spans"))
+    sample = [rows.filter(F.col("spans") == found).orderBy("h", "s", "text").limit(bound) for found, bound in ((True, labelled), (False, unlabelled))]
+
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        picked = [r for batch in batches for r in batch.to_pylist()]
+        picked = [(r["text"], sorted(((b["kind"], b["s"] - r["s"], b["e"] - r["s"]) for b in r["base"]), key=lambda x: x[1])) for r in sorted(picked, key=lambda r: (r["h"], r["s"], r["text"]))]
+        raw = io.BytesIO()
+        np.savez(raw, **train(*training_windows(picked, seed), N_TAGS))
+        yield pa.record_batch({"params": pa.array([raw.getvalue()], pa.binary())})
+
+    # One task trains on the bounded sample, with the one thread that Spark gives a task's numpy.
+    trained = sample[0].unionAll(sample[1]).coalesce(1).mapInArrow(fit, "params binary").first()
+    with np.load(io.BytesIO(trained["params"])) as made:
+        return dict(made)
 
 
 def find_pii(docs: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> DataFrame:
@@ -276,7 +286,7 @@ def find_pii(docs: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABE
 
     Base spans are the matches of the fixed patterns. The model reads the stretches of windows that hold a digit or an at
     sign, and adds spans that overlap no base span, stand alone and have the make-up of their kind: forms that the
-    patterns leave out or run past. It is trained on the driver on a sample bounded by ``labelled`` and ``unlabelled``
+    patterns leave out or run past. It is trained in one task on a sample bounded by ``labelled`` and ``unlabelled``
     windows; everything else is one pass over whole texts.
 
     Cases: NULL is an empty text; empty texts have no spans; overlaps between kinds stay, each kind is judged alone;

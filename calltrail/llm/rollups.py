@@ -124,12 +124,12 @@ def commit_batch(spark: SparkSession, store: str, batch: int, changes: DataFrame
     ids = rows.select("doc_id").distinct()
     known = likely_in(old, ids, "doc_id") if done else old
     state = known.groupBy("doc_id", "version").agg(F.max_by("after", "batch").alias("before")).filter("before IS NOT NULL")
-    gone = rows.filter("deleted").select("doc_id", "deleted", "seq", F.lit(None).cast("bigint").alias("mark")).join(state.select("doc_id", "version"), "doc_id")
+    gone = rows.filter("deleted").select("doc_id", "deleted", "seq", F.lit(None).cast("bigint").alias("mark")).join(
+        state.select("doc_id", "version").union(inserted.select("doc_id", "version")).distinct(), "doc_id")
     removed = gone.select("doc_id", "deleted", "seq", "mark", F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("lang"), "version", F.lit(None).cast("bigint").alias("tokens"))
     last = inserted.unionAll(removed).groupBy("doc_id", "version").agg(F.max_by(F.struct("deleted", "source", "lang", "tokens"), F.struct("seq", "deleted", F.coalesce("mark", F.lit(0)))).alias("x"))
     after = F.when(~F.col("x.deleted"), F.struct(F.col("x.source").alias("source"), F.col("x.lang").alias("lang"), F.col("x.tokens").alias("tokens")))
-    # A version that no longer counts a document keeps its old figures.
-    part = last.join(state, ["doc_id", "version"], "left").select("doc_id", "version", "before", after.alias("after"))
+    part = last.join(state, ["doc_id", "version"], "left").select("doc_id", "version", "before", after.alias("after")).filter("before IS NOT NULL OR after IS NOT NULL")
     part.write.mode("overwrite").parquet(f"{store}/ledger/batch={batch}")
     spark.range(1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(f"{store}/commits/batch={batch}")
     return True

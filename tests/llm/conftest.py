@@ -1,0 +1,4 @@
+import os
+
+# Training is many small products: one thread each.
+os.environ.setdefault("OMP_NUM_THREADS", "1")
