@@ -218,15 +218,14 @@ def _base_figures(words: Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
     for k in range(3):
         covered[again + k] = True
     # Lines with a word that equal an earlier line of their row.
-    breaks = np.flatnonzero(data == 10)
-    ends = np.unique(np.concatenate([breaks, words.offsets[1:]]))
-    starts = np.unique(np.concatenate([breaks + 1, words.offsets[:-1]]))
+    breaks = np.append(np.flatnonzero(data == 10), len(data))
+    starts = np.unique(np.concatenate([breaks[:-1] + 1, words.offsets[:-1]]))
     starts = starts[starts < len(data)]
-    ends = ends[np.searchsorted(ends, starts)]
+    line_row = np.searchsorted(words.offsets, starts, side="right") - 1
+    ends = np.minimum(breaks[np.searchsorted(breaks, starts)], words.offsets[line_row + 1])
     filled = np.concatenate([[0], np.cumsum(in_word)])
     with_word = filled[ends] > filled[starts]
-    starts, ends = starts[with_word], ends[with_word]
-    line_row = np.searchsorted(words.offsets, starts, side="right") - 1
+    starts, ends, line_row = starts[with_word], ends[with_word], line_row[with_word]
     lines = mix(word_hashes(Words(data, starts, ends, words.first, words.offsets), 4096) + line_row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     _, first = np.unique(lines, return_index=True)
     extra = np.ones(len(lines), bool)
