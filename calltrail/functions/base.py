@@ -70,16 +70,14 @@ def number_text(x: ColumnLike) -> Column:
 
 
 def overlay_numbers(doc: ColumnLike, figures: ColumnLike, names: Iterable[str]) -> Column:
-    """``doc`` (a JSON object) with the flat numbers ``names`` replaced by those of the JSON object ``figures``.
+    """``doc`` (a JSON object) with its top-level keys ``names`` replaced by those of the JSON object ``figures``.
 
-    Other keys keep their place and form; a ``doc`` that is no object gives ``figures``.
+    All other keys stay, nested ones too, whatever stands in them; a ``doc`` that is no object gives ``figures``.
     """
-    c, fresh = as_col(doc), as_col(figures)
-    old = f'"(?:{"|".join(names)})"\\s*:\\s*(?:[-+0-9.eE]+|null)\\s*,?\\s*'
-    body = F.regexp_replace(F.rtrim(F.regexp_replace(F.rtrim(F.regexp_replace(c, old, "")), r"\}$", "")), ",$", "")
-    filled = F.size(F.json_object_keys(F.concat(body, F.lit("}")))) > 0
-    joined = F.concat(body, F.lit(","), F.substring(fresh, F.lit(2), F.length(fresh)))
-    return F.when(F.json_object_keys(c).isNotNull() & filled, joined).otherwise(fresh)
+    old = F.from_json(as_col(doc), "map<string,variant>")
+    fresh = F.from_json(as_col(figures), "map<string,variant>")
+    kept = F.map_filter(old, lambda k, _: ~k.isin(*names))
+    return F.when(old.isNotNull() & F.json_object_keys(as_col(doc)).isNotNull(), F.to_json(F.map_concat(kept, fresh))).otherwise(as_col(figures))
 
 
 def json_like(text: ColumnLike, opener: str) -> Column:

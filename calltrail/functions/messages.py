@@ -12,9 +12,13 @@ PLACEHOLDER = r"\{\{[\s]*([A-Za-z0-9_]+)[\s]*\}\}"
 
 
 def parse_messages(doc: ColumnLike) -> Column:
-    """JSON array text to ``array<struct<role,content>>``; anything else gives an empty array."""
+    """JSON array text to ``array<struct<role,content>>``; anything else gives an empty array.
+
+    Elements that are no objects are left out, the others stay.
+    """
     c = as_col(doc)
-    parsed = F.from_json(c, MESSAGES_DDL)
+    objects = F.filter(F.from_json(c, "array<variant>"), lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    parsed = F.transform(objects, lambda v: F.from_json(F.to_json(v), MESSAGE_DDL))
     return F.when(json_like(c, "["), F.coalesce(parsed, F.array().cast(MESSAGES_DDL))).otherwise(
         F.array().cast(MESSAGES_DDL))
 

@@ -54,27 +54,42 @@ def _mask_text(text: str) -> str:
     return text
 
 
-def _mask_value(value):
-    if isinstance(value, str):
-        return _mask_text(value)
-    if isinstance(value, list):
-        return [_mask_value(v) for v in value]
-    if isinstance(value, dict):
-        return {k: _mask_value(v) for k, v in value.items()}
-    return value
+# Strings of a JSON text, and the white space between its parts.
+_JSON_PART = re.compile(r'"(?:[^"\\]|\\.)*+"|[ \t\r\n]++')
+_KEY_FOLLOWS = re.compile(r"[ \t\r\n]*:")
 
 
-@F.pandas_udf(T.StringType())
-def _mask_documents(docs: pd.Series) -> pd.Series:
-    def one(doc):
-        if doc is None:
-            return None
+def _refuse(name: str):
+    raise ValueError(f"{name} is no JSON")
+
+
+def _mask_json(doc: str) -> str:
+    """Mask the string values of a JSON text, at any depth; keys, numbers and all else keep their form."""
+    try:
+        json.loads(doc, parse_constant=_refuse)
+    except ValueError:
+        return _mask_text(doc)
+    except RecursionError:  # deeply nested; the strings are found without going down
+        pass
+
+    def part(m: re.Match) -> str:
+        if m[0][0] != '"':
+            return ""
+        if _KEY_FOLLOWS.match(doc, m.end()):
+            return m[0]
         try:
-            parsed = json.loads(doc)
+            text = json.loads(m[0])
         except ValueError:
-            return _mask_text(doc)
-        return json.dumps(_mask_value(parsed), ensure_ascii=False, separators=(",", ":"))
-    return docs.map(one)
+            return m[0]
+        masked = _mask_text(text)
+        return m[0] if masked == text else json.dumps(masked, ensure_ascii=False)
+
+    return _JSON_PART.sub(part, doc)
+
+
+@F.pandas_udf(T.StringType())
+def _mask_documents(docs: pd.Series) -> pd.Series:
+    return docs.map(lambda doc: None if doc is None else _mask_json(doc))
 
 
 def mask_pii_json(doc: ColumnLike) -> Column:

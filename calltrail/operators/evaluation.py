@@ -110,35 +110,33 @@ def _expected() -> Column:
                       blank_to_null(F.get_json_object("feedback", "$.expected_answer")))
 
 
-def judge_inputs(requests: DataFrame, max_context_chars: int = 4_000_000) -> DataFrame:
+def judge_inputs(requests: DataFrame, inline_context: bool = True) -> DataFrame:
     """One prompt per candidate, with the parts it is built from.
 
-    Context comes from the metadata, else from the tool spans of the trace. For a
-    trace whose tool outputs exceed ``max_context_chars``, ``context_parts``
-    tells how many parts :func:`~calltrail.operators.traces.gather_tool_context`
-    returns; they are not copied into the prompt of every span of that trace.
+    Context comes from the metadata, else, whole, from the tool spans of the
+    trace. Without ``inline_context`` the latter is not copied into the rows of
+    every span: join :func:`~calltrail.operators.traces.gather_tool_context` by
+    ``trace_id`` where a prompt is used.
     """
     candidates = _metadata(eval_candidates(requests))
     stored = F.coalesce(blank_to_null(F.col("_meta.context")), blank_to_null(F.col("_meta.retrieved_chunks")),
                         blank_to_null(F.col("_meta.chunks")))
-    tools = gather_tool_context(requests, max_context_chars)
-    whole = F.col("part") == 0
-    per_trace = (tools.groupBy("trace_id")
-                 .agg(F.max(F.when(whole, F.col("context"))).alias("_tool_context"), F.count_if(~whole).alias("_parts"))
-                 .withColumnRenamed("trace_id", "_trace"))
     messages = parse_messages("input_messages")
     base = candidates.select(
         "id", "trace_id", stored.alias("_stored"), messages.alias("_in"),
         message_content("output_message").alias("response"), _expected().alias("expected"))
     # Rows that bring their own context, and rows without a trace, look nothing up.
     base = base.withColumn("_trace", F.when(F.col("_stored").isNull(), blank_to_null("trace_id")))
-    joined = left_join_sparse(base, per_trace, ["_trace"], "_trace", "id")
+    if inline_context:
+        per_trace = gather_tool_context(requests).select(F.col("trace_id").alias("_trace"), F.col("context").alias("_tool_context"))
+        joined = left_join_sparse(base, per_trace, ["_trace"], "_trace", "id")
+    else:
+        joined = base.withColumn("_tool_context", F.lit(None).cast("string"))
     parts = joined.select(
         "id", "trace_id",
         F.coalesce(first_content("_in", "system"), F.lit("")).alias("system_message"),
         F.coalesce(blank_to_null(first_content("_in", "user")), F.lit("(no user message)")).alias("user_message"),
-        "response", F.coalesce("_stored", "_tool_context").alias("context"),
-        F.coalesce("_parts", F.lit(0)).cast("long").alias("context_parts"), "expected")
+        "response", F.coalesce("_stored", "_tool_context").alias("context"), "expected")
 
     def block(title: str, text: Column) -> Column:
         return F.concat(F.lit(f"[{title}]:\n"), text)
@@ -208,7 +206,7 @@ def judged_values(parsed: DataFrame, has_context: Column | None = None, has_expe
              _listed=F.coalesce(F.from_json("_j.task_metrics", "array<string>"), none),
              _fit=F.coalesce(F.from_json("_j.applicable_metrics", "array<string>"), none))
     score = _number("score")
-    context = F.lit(True) if has_context is None else F.coalesce(has_context, F.lit(False))
+    context = F.lit(False) if has_context is None else F.coalesce(has_context, F.lit(False))
 
     def task(name: str) -> Column:
         v = _number(name)

@@ -13,12 +13,14 @@ from ..functions.base import ColumnLike, as_col
 PAGE_LIMITS = {"requests": (500, 50), "conversations": (200, 50), "traces": (100, 20)}
 SORT_COLUMNS = ("created_at", "model", "total_tokens", "estimated_cost", "latency_ms", "status")
 PAGE_ORDER = {"conversations": ("last_message_at", "id"), "traces": ("last_span_at", "trace_id")}
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 PRESET_DAYS = {"7d": 6, "30d": 29, "90d": 89}
 
 
 def contains_folded(column: ColumnLike, term: str) -> Column:
-    """Case-insensitive substring; ``%`` and ``_`` in the term act as wildcards."""
-    return as_col(column).ilike(f"%{term}%")
+    """Substring, with A-Z and a-z alike; ``%`` and ``_`` in the term act as wildcards, a backslash is itself."""
+    folded = "".join(c.lower() if c.isascii() else c for c in term).replace("\\", "\\\\")
+    return F.translate(as_col(column), UPPER, UPPER.lower()).like(f"%{folded}%")
 
 
 def search_requests(requests: DataFrame, term: str) -> DataFrame:
@@ -43,11 +45,19 @@ def eval_score_range(requests: DataFrame, low: float | None = None, high: float
 
 
 def between(requests: DataFrame, start=None, end=None) -> DataFrame:
-    """Rows whose ``created_at`` lies in ``[start, end]``, both ends included."""
+    """Rows whose ``created_at`` lies in ``[start, end]``, both ends included.
+
+    A table stored by ``day`` is also filtered by it, so that only folders of those days are opened.
+    """
+    by_day = "day" in requests.columns
     if start is not None:
-        requests = requests.filter(F.col("created_at") >= F.lit(start).cast("timestamp"))
+        first = F.lit(start).cast("timestamp")
+        requests = requests.filter(F.col("created_at") >= first)
+        requests = requests.filter(F.col("day") >= first.cast("date")) if by_day else requests
     if end is not None:
-        requests = requests.filter(F.col("created_at") <= F.lit(end).cast("timestamp"))
+        last = F.lit(end).cast("timestamp")
+        requests = requests.filter(F.col("created_at") <= last)
+        requests = requests.filter(F.col("day") <= last.cast("date")) if by_day else requests
     return requests
 
 
@@ -133,11 +143,18 @@ def page(df: DataFrame, page: int = 1, limit: int | None = None, sort_by: str |
     return rows, info
 
 
+def _within(limit: int, largest: int) -> int:
+    """A page of rows has no column for its limit, so a larger one is an error here."""
+    if limit > largest:
+        raise ValueError(f"limit is {largest} rows at most")
+    return max(1, limit)
+
+
 def page_after(df: DataFrame, last_value, last_tie, limit: int | None = None, sort_by: str | None = None,
                sort_order: str | None = None, kind: str = "requests") -> DataFrame:
     """Page following the row (last_value, last_tie): cost does not grow with depth."""
     largest, default = PAGE_LIMITS[kind]
-    limit = min(largest, max(1, limit or default))
+    limit = _within(limit or default, largest)
     order, column, tie, rising = _page_order(kind, sort_by, sort_order)
     value, tie_value = F.lit(last_value), F.lit(last_tie)
     if rising:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.base import js_trim
 from ..functions.messages import fill_template
 from ..functions.text import line_diff
 from ..scale import number_within, previous_order
@@ -34,7 +35,7 @@ def append_prompt_versions(prompts: DataFrame, new: DataFrame, order: str = "seq
     ``new`` has name, system_prompt, user_template, variables (array) and a
     unique integer ``order``; versions continue from the newest stored one.
     """
-    named = new.withColumn("name", F.trim("name"))
+    named = new.withColumn("name", js_trim("name"))
     valid = F.coalesce(F.col("name").rlike(NAME_PATTERN), F.lit(False))
     rejects = named.filter(~valid).withColumn("reason", F.lit("invalid prompt name"))
     top = prompts.groupBy("name").agg(F.max("version").alias("_top"))

@@ -119,20 +119,17 @@ def tool_outputs(requests: DataFrame) -> DataFrame:
             .filter(F.col("text").isNotNull()))
 
 
-def gather_tool_context(requests: DataFrame, max_chars: int = 4_000_000, slice_by: str = "minute") -> DataFrame:
-    """(trace_id, part, context): tool outputs of a trace joined by a blank line, in time order.
+def gather_tool_context(requests: DataFrame) -> DataFrame:
+    """(trace_id, context): all tool outputs of a trace joined by a blank line, in time order.
 
-    A trace of up to ``max_chars`` characters gives one part (0). A larger one
-    gives one part per time slice, numbered in time order, so no task collects
-    a whole huge trace; the parts joined by a blank line are its full context.
+    Outputs are joined per minute first, then minutes, so the rows that meet in one task are few even in a long trace.
     """
-    outputs = tool_outputs(requests)
-    sizes = outputs.groupBy("trace_id").agg(F.sum(F.length("text")).alias("_chars"))
-    cut = F.when(F.col("_chars") > F.lit(max_chars), F.unix_micros(F.date_trunc(slice_by, "created_at"))).otherwise(F.lit(0))
-    ordered = F.array_sort(F.collect_list(F.struct("created_at", "id", "text")))
-    return (outputs.join(sizes, "trace_id").withColumn("part", cut.cast("long"))
-            .groupBy("trace_id", "part")
-            .agg(F.array_join(F.transform(ordered, lambda s: s["text"]), "\n\n").alias("context")))
+    def joined(position: list[str]) -> Column:
+        return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*position, "text"))), lambda s: s["text"]), "\n\n")
+
+    slices = (tool_outputs(requests).withColumn("slice", F.date_trunc("minute", "created_at")).groupBy("trace_id", "slice")
+              .agg(joined(["created_at", "id"]).alias("text")))
+    return slices.groupBy("trace_id").agg(joined(["slice"]).alias("context"))
 
 
 # ------------------------------------------------------------------ later spans

@@ -63,7 +63,7 @@ def _bucket_sql(unit):
 
 def _buckets(spark, folder, granularity):
     sink, state = _paths(spark, "buckets")
-    J.run_available(J.write_versions(J.stream_buckets(_stream(spark, folder), granularity), sink, state))
+    J.run_available(J.write_versions(J.stream_buckets(_stream(spark, folder), granularity), sink, state, ["bucket", "model"]))
     rows = J.latest(spark, sink, ["bucket", "model"])
     return rows.select(stamp("bucket").alias("bucket"), "model", "total_requests", "total_tokens", F.round("total_cost", 6).alias("total_cost"), "error_count")
 
@@ -88,4 +88,4 @@ def _ingest(spark, folder):
     calls = raw.select("id", "request", "response", header.alias("headers"), F.col("http_status").cast("int").alias("http_status"), "latency_ms",
                        "transport_error", F.lit(False).alias("stream"), "created_at")
     J.run_available(J.stream_ingest(calls, models(spark), sink, state, banned="purchase"))
-    return spark.read.parquet(f"{sink}/batch=*").select("id", "model", "total_tokens", "status")
+    return spark.read.parquet(sink).select("id", "model", "total_tokens", "status")

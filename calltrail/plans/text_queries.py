@@ -349,14 +349,16 @@ def _render(spark, folder):
 # ---------------------------------------------------------------- judge output
 
 JUDGE_OUT = """SELECT id, CAST(s AS DOUBLE) AS score, CASE WHEN c BETWEEN 1 AND 5 THEN floor(c * 10.0 + 0.5) / CAST(10.0 AS DOUBLE) END AS coherence, CAST(4.0 AS DOUBLE) AS fluency,
-  CAST(3.1 AS DOUBLE) AS faithfulness, CASE WHEN c BETWEEN 1 AND 5 THEN 'coherence,fluency' ELSE 'fluency' END AS task_metrics, st AS safety_status
+  CASE WHEN right(id, 1) IN ('0', '2', '4') THEN CAST(3.1 AS DOUBLE) END AS faithfulness, CASE WHEN c BETWEEN 1 AND 5 THEN 'coherence,fluency' ELSE 'fluency' END AS task_metrics, st AS safety_status
   FROM (SELECT id, CAST(json_extract_string(judge_json, '$.score') AS DOUBLE) AS s, CAST(json_extract_string(judge_json, '$.coherence') AS DOUBLE) AS c,
     json_extract_string(judge_json, '$.safety_status') AS st FROM v) z WHERE s BETWEEN 1 AND 5"""
 
 
 @query("assemble_evaluation", with_view(JUDGED, JUDGE_OUT))
 def _assemble(spark, folder):
-    done, _ = E.assemble_evaluation(view(spark, folder, JUDGED))
+    judged = view(spark, folder, JUDGED)
+    candidates = judged.select("id", F.when(F.right("id", F.lit(1)).isin("0", "2", "4"), F.lit("a page")).alias("context"))
+    done, _ = E.assemble_evaluation(judged, candidates)
     return done.select("id", "score", "coherence", "fluency", "faithfulness", F.array_join("task_metrics", ",").alias("task_metrics"), F.col("safety.status").alias("safety_status"))
 
 

@@ -89,7 +89,7 @@ def _tool_outputs(spark, folder):
     return T.tool_outputs(requests(spark, folder)).select("trace_id", "id", "text")
 
 
-@query("gather_tool_context", with_log("SELECT trace_id, CAST(0 AS BIGINT) AS part, string_agg(text, chr(10) || chr(10) ORDER BY created_at, id) AS context FROM o WHERE text IS NOT NULL GROUP BY trace_id", TOOLS_SQL))
+@query("gather_tool_context", with_log("SELECT trace_id, string_agg(text, chr(10) || chr(10) ORDER BY created_at, id) AS context FROM o WHERE text IS NOT NULL GROUP BY trace_id", TOOLS_SQL))
 def _context(spark, folder):
     return T.gather_tool_context(requests(spark, folder))
 

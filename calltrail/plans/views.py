@@ -12,7 +12,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.cost import estimate_cost
-from ..scale import spread_small
 from ..sources.tables import load_table
 
 # Model prices per million tokens.
@@ -148,8 +147,7 @@ PREFIX = "calltrail_"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table; one that would be a single task is spread over the cores."""
-    return spread_small(load_table(spark, f"{folder}/{name}.parquet"))
+    return load_table(spark, f"{folder}/{name}.parquet")
 
 
 def view(spark: SparkSession, folder: str, text: str) -> DataFrame:

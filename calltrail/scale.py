@@ -18,20 +18,6 @@ from pyspark.sql import functions as F
 BLOCK = 50_000
 
 
-def spread_small(df: DataFrame) -> DataFrame:
-    """Spread a table smaller than one input split over all cores; larger tables stay as they are.
-
-    One split means one task, which is the bottleneck of costly per-row work. The
-    exchange moves less than one split by construction; filters and column
-    pruning still pass through it to the reader.
-    """
-    spark = df.sparkSession
-    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes", "128m"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if size < split else df
-
-
 def left_join_sparse(left: DataFrame, right: DataFrame, keys: Sequence[str], sparse: str, spread: str) -> DataFrame:
     """Left join on ``keys`` where ``sparse``, one of them, is NULL in many left rows.
 

@@ -20,9 +20,9 @@ STREAM_END = "[DONE]"
 BLOCK = 4096
 
 
-def _joined(position: str, text: str, wanted: Column) -> Column:
-    """Texts of a group in order of ``position``; only rows that satisfy ``wanted`` are collected."""
-    ordered = F.array_sort(F.collect_list(F.when(wanted & F.col(text).isNotNull(), F.struct(position, text))))
+def _joined(position: str, text: str) -> Column:
+    """Texts of a group in order of ``position``."""
+    ordered = F.array_sort(F.collect_list(F.when(F.col(text).isNotNull(), F.struct(position, text))))
     return F.array_join(F.transform(ordered, lambda s: s[text]), "")
 
 
@@ -44,26 +44,24 @@ def stream_parts(chunks: DataFrame, key: str = "request_id", block: int = BLOCK)
                     blank_to_null(F.get_json_object("_d.choices", "$[0].finish_reason")).alias("_finish"),
                     F.from_json("_d.usage", "prompt_tokens long, completion_tokens long, total_tokens long").alias("_usage")))
     return rows.groupBy(key, "part").agg(
-        _joined("seq", "_text", F.lit(True)).alias("content"), _last("_usage", "seq").alias("usage"),
+        _joined("seq", "_text").alias("content"), _last("_usage", "seq").alias("usage"),
         _last("_finish", "seq").alias("finish_reason"))
 
 
-def assemble_stream_chunks(chunks: DataFrame, key: str = "request_id", block: int = BLOCK, max_parts: int = 1024) -> DataFrame:
+def assemble_stream_chunks(chunks: DataFrame, key: str = "request_id", block: int = BLOCK) -> DataFrame:
     """Rows (key, seq, data) of stream payloads to one row per call.
 
-    content is the text of all deltas, usage and finish_reason the last ones
-    given. A stream of more than ``max_parts`` parts is not gathered in one task:
-    its content is NULL here and :func:`stream_parts` holds it, ``parts`` rows.
+    content is the text of all deltas, whatever their number, usage and
+    finish_reason the last ones given, parts the number of rows of
+    :func:`stream_parts`. Deltas are joined in parts first, then parts.
     """
     pieces = stream_parts(chunks, key, block)
-    sizes = pieces.groupBy(key).agg(F.count(F.lit(1)).alias("parts"))
     usage = F.col("usage")
-    whole = pieces.join(sizes, key).groupBy(key).agg(
-        _joined("part", "content", F.col("parts") <= max_parts).alias("content"), F.max("parts").alias("parts"),
+    whole = pieces.groupBy(key).agg(
+        _joined("part", "content").alias("content"), F.count(F.lit(1)).alias("parts"),
         _last("usage", "part").alias("usage"), _last("finish_reason", "part").alias("finish_reason"))
     counts = F.struct(*[F.coalesce(usage[n], F.lit(0)).alias(n) for n in ("prompt_tokens", "completion_tokens", "total_tokens")])
-    return whole.select(key, F.when(F.col("parts") <= max_parts, F.col("content")).alias("content"),
-                        F.when(usage.isNotNull(), counts).alias("usage"), "finish_reason", "parts")
+    return whole.select(key, "content", F.when(usage.isNotNull(), counts).alias("usage"), "finish_reason", "parts")
 
 
 def _truthy(text: Column) -> Column:

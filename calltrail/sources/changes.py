@@ -68,7 +68,8 @@ def insert_if_absent(base: DataFrame, new: DataFrame, key: str, order: str | Non
     """(base plus new rows with unused keys, rejected rows).
 
     Among new rows of one key the one with the smallest ``order`` is taken (all
-    columns decide when no order is given).
+    columns decide when no order is given). Each further one is rejected, equal
+    rows as often as they come.
     """
     ranking = F.struct(order) if order else F.struct(*new.columns)
     columns = [c for c in new.columns if c in base.columns]
@@ -76,8 +77,12 @@ def insert_if_absent(base: DataFrame, new: DataFrame, key: str, order: str | Non
              .join(base.select(key), key, "left_anti"))
     added = first.select("_row.*").select(*columns)
     taken = new.join(base.select(key), key, "left_semi").withColumn("reason", F.lit("key exists"))
-    if order:
-        winners = first.select(key, F.col(f"_row.{order}").alias(order))
-        repeats = new.join(base.select(key), key, "left_anti").join(winners, [key, order], "left_anti")
-        taken = taken.unionByName(repeats.withColumn("reason", F.lit("repeated key")))
+    # Equal rows are counted first, so a key that holds most rows is spread over its different rows.
+    row = F.struct(*new.columns)
+    kinds = new.groupBy(*new.columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_this", row)
+    winners = first.select(F.col(key).alias("_key"), "_row")
+    left = F.col("_n") - F.when(F.col("_this").eqNullSafe(F.col("_row")), 1).otherwise(0)
+    repeats = (kinds.join(winners, F.col(key).eqNullSafe(F.col("_key"))).withColumn("_left", left).filter("_left > 0")
+               .select(*new.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_left"))).alias("_copy")).drop("_copy"))
+    taken = taken.unionByName(repeats.withColumn("reason", F.lit("repeated key")))
     return base.unionByName(added, allowMissingColumns=True), taken

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,20 +15,44 @@ from ..schema import REQUESTS
 IMPORTED_TAG = "imported"
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """(seq, value): one JSON record text per row.
+# Names of files with one record per line, and what compressed files add to their names.
+LINE_NAMES, PACKED = ("jsonl", "ndjson"), ("gz", "bz2", "zst", "lz4", "snappy", "deflate")
+
+
+def _is_one(value: str) -> Column:
+    """True for a text that is one JSON value, with nothing behind it."""
+    return F.coalesce(F.size(F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>")) == 1, F.lit(False))
+
 
-    ``.jsonl`` files are split by line and read in parallel: the form for large
-    imports. Other files hold one JSON array or object each, which a single task
-    must read whole.
+def read_records(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
+    """(seq, value): one JSON record text per row, from a file or a folder of files.
+
+    With ``lines`` every line is a record; files are split and read in parallel,
+    the form for large imports. Without it each file decides by its name, less a
+    compression suffix: ``.jsonl`` and ``.ndjson`` hold lines, others one JSON
+    array or object, which a single task must read whole. A file of the second
+    kind that is no single JSON value is taken by line too, so that nothing is
+    left out.
     """
-    if path.rstrip("/").endswith(".jsonl"):
-        lines = spark.read.text(path).filter(F.trim("value") != "")
-    else:
+    def by_line(glob: str | None) -> DataFrame:
+        reader = spark.read if glob is None else spark.read.option("pathGlobFilter", glob)
+        return reader.text(path).filter(F.trim("value") != "").select("value")
+
+    def whole(names: Column | None) -> DataFrame:
         docs = spark.read.text(path, wholetext=True)
-        items = F.when(F.ltrim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.array("value"))
-        lines = docs.select(F.explode(items).alias("value"))
-    return lines.select(F.monotonically_increasing_id().alias("seq"), "value")
+        docs = docs if names is None else docs.filter(~names)
+        parts = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")
+        listed = F.coalesce(F.from_json("value", "array<string>"), parts)
+        items = F.when(~_is_one("value"), parts).when(F.ltrim("value").startswith("["), listed).otherwise(F.array("value"))
+        return docs.select(F.explode(items).alias("value"))
+
+    if lines is None:
+        names = [n + p for n in LINE_NAMES for p in ("", *(f".{x}" for x in PACKED))]
+        of_lines = F.lower("_metadata.file_name").rlike(rf"\.({'|'.join(LINE_NAMES)})(\.({'|'.join(PACKED)}))?$")
+        records = by_line("*.{" + ",".join([*names, *(n.upper() for n in names)]) + "}").unionAll(whole(of_lines))
+    else:
+        records = by_line(None) if lines else whole(None)
+    return records.select(F.monotonically_increasing_id().alias("seq"), "value")
 
 
 def _uuid_from(*parts: Column) -> Column:
@@ -46,20 +72,22 @@ def _document(name: str, openers: str) -> Column:
     return F.when(F.substring(F.ltrim(text), 1, 1).isin(*openers) & F.try_parse_json(text).isNotNull(), text)
 
 
-def import_records(records: DataFrame, existing: DataFrame | None = None, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def import_records(records: DataFrame, existing: DataFrame | None = None, now: Column | None = None,
+                   import_id: str = "") -> tuple[DataFrame, DataFrame]:
     """(request rows, rejects with seq, id and reason) from rows (seq, value).
 
     Of several records with one id the first is taken; an id that ``existing``
     holds is rejected. Spark limits the ranking to one row per id and task before
-    the shuffle, so an id repeated in a large part of the file does no harm.
+    the shuffle, so an id repeated in a large part of the file does no harm. Ids
+    are made for records without one from ``import_id``, position and text.
     """
     now = F.current_timestamp() if now is None else now
     names = tuple(f.name for f in REQUESTS) + ("cost",)
     rows = once(records.select("seq", "value"), r=text_fields("value", names))
-    readable = F.col("r").isNotNull() & F.col(f"r.{BAD}").isNull()
+    readable = F.col("r").isNotNull() & F.col(f"r.{BAD}").isNull() & _is_one("value")
     unreadable = rows.filter(~readable).select("seq", F.lit(None).cast("string").alias("id"), F.lit("not a JSON object").alias("reason"))
     rows = once(rows.filter(readable),
-                _id=F.coalesce(blank_to_null(F.col("r.id")), _uuid_from(F.col("seq").cast("string"), F.col("value"))),
+                _id=F.coalesce(blank_to_null(F.col("r.id")), _uuid_from(F.lit(import_id), F.col("seq").cast("string"), F.col("value"))),
                 _model=F.coalesce(blank_to_null(F.col("r.model")), F.lit("unknown")),
                 _prompt=_number("prompt_tokens").cast("long"), _completion=_number("completion_tokens").cast("long"),
                 _in=_document("input_messages", "[{"), _out=_document("output_message", "[{"), _meta=_document("metadata", "{"),
@@ -103,5 +131,7 @@ def import_records(records: DataFrame, existing: DataFrame | None = None, now: C
     return first.select(*[f.name for f in REQUESTS]), out
 
 
-def import_logs(spark: SparkSession, path: str, existing: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    return import_records(read_records(spark, path), existing)
+def import_logs(spark: SparkSession, path: str, existing: DataFrame | None = None, lines: bool | None = None,
+                import_id: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Import files; every import makes new ids for records without one, unless ``import_id`` repeats an earlier import."""
+    return import_records(read_records(spark, path, lines), existing, import_id=import_id or uuid.uuid4().hex)

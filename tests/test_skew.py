@@ -68,11 +68,12 @@ def test_contexts(log, rows):
         text = text or (None if s["output_message"] else s["raw_response"])
         if text:
             texts.append(text)
-    parts = T.gather_tool_context(log, max_chars=100).filter("trace_id = 'hot'").orderBy("part").collect()
-    assert len(parts) > 1 and "\n\n".join(p["context"] for p in parts) == "\n\n".join(texts)
-    inputs = E.judge_inputs(log, max_context_chars=100)
+    whole = "\n\n".join(texts)
+    assert [r["context"] for r in T.gather_tool_context(log).filter("trace_id = 'hot'").collect()] == [whole]
+    inputs = E.judge_inputs(log)
     hot = inputs.filter("trace_id = 'hot'")
-    assert hot.filter(F.col("context").isNull()).select("context_parts").distinct().collect() == [(len(parts),)]
+    assert hot.filter(F.col("context").isNull()).isEmpty() and hot.filter(F.contains("prompt", F.lit(whole))).count() > 0
+    assert E.judge_inputs(log, inline_context=False).count() == inputs.count()
     assert inputs.count() == E.eval_candidates(log).count()
 
 

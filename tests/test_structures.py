@@ -65,14 +65,12 @@ def test_numbering_with_hot_key(spark):
     assert {(r[0], r[1]): r["previous"] for r in previous_order(df, ["name"], "seq", block=50).collect()} == before
 
 
-def test_large_context_in_parts(spark):
+def test_large_context_is_whole(spark):
     rows = [("big", f"b{i:03d}", T0 + timedelta(seconds=20 * i), "tool", f'{{"role":"assistant","content":"out {i}"}}', None) for i in range(30)]
     rows += [("small", "s1", T0, "tool", None, "raw"), ("small", "s0", T0, "tool", "{bad", "ignored"), ("small", "s2", T0, "llm", '{"content":"no"}', None)]
     df = spark.createDataFrame(rows, "trace_id string, id string, created_at timestamp, span_type string, output_message string, raw_response string")
-    parts = T.gather_tool_context(df, max_chars=50).orderBy("trace_id", "part").collect()
-    big = [r["context"] for r in parts if r["trace_id"] == "big"]
-    assert len(big) == 10 and "\n\n".join(big) == "\n\n".join(f"out {i}" for i in range(30))
-    assert [(r["part"], r["context"]) for r in parts if r["trace_id"] == "small"] == [(0, "raw")]
+    got = {r["trace_id"]: r["context"] for r in T.gather_tool_context(df).collect()}
+    assert got == {"big": "\n\n".join(f"out {i}" for i in range(30)), "small": "raw"}
 
 
 def _brute_lcs(a, b):
