@@ -127,7 +127,7 @@ def _seen(ranges: int):
                 values.append(m)
                 docs.append(part.column("doc_id").to_numpy()[_row_of(words, begins)])
                 size += len(m)
-                if size > 4_000_000:
+                if size > 2_000_000:
                     yield from emit(values, docs)
                     values, docs, size = [], [], 0
         if size:
