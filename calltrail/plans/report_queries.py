@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from ..functions import messages as M
@@ -322,3 +324,19 @@ def _playground(spark, folder):
   FROM r WHERE tags LIKE '%"playground"%'"""))
 def _runs(spark, folder):
     return V.playground_runs(requests(spark, folder)).select("id", "total_tokens", "latency_ms", "tokens_per_second")
+
+
+# Requests in the range of each preset, as seen from one moment.
+_NOW = "2024-01-20 15:30:00"
+_FIRST = {"24h": "2024-01-19 15:30:00", "7d": "2024-01-14 00:00:00", "30d": "2023-12-22 00:00:00", "90d": "2023-10-23 00:00:00", "default": "2024-01-13 15:30:00"}
+
+
+@query("requests_in_presets", with_log(" UNION ALL ".join(
+    f"SELECT '{name}' AS preset, CAST(count(*) AS BIGINT) AS n_requests, CAST(coalesce(sum(total_tokens), 0) AS BIGINT) AS total_tokens FROM r WHERE {within_sql(first, _NOW)}" for name, first in _FIRST.items())))
+def _presets(spark, folder):
+    log, out = unpriced(spark, folder), None
+    for name in _FIRST:
+        start, end = B.resolve_date_range(datetime.fromisoformat(_NOW), preset=None if name == "default" else name)
+        part = B.between(log, str(start), str(end)).agg(F.lit(name).alias("preset"), F.count(F.lit(1)).alias("n_requests"), F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("total_tokens"))
+        out = part if out is None else out.unionByName(part)
+    return out

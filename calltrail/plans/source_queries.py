@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from ..sources import calls as S
 from ..sources import changes as H
 from ..sources import exports as X
@@ -98,6 +99,20 @@ def _assemble(spark, folder):
     return S.assemble_stream_chunks(_chunks(spark, folder)).select("request_id", "content", "usage.*", "finish_reason")
 
 
+# Every conversation text as a streamed call; some are refused.
+@query("normalize_streamed_calls", """SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS id, CASE WHEN turn % 5 <> 4 THEN text END AS answer,
+  CASE WHEN turn % 5 = 4 THEN CAST(0 AS BIGINT) ELSE 7 END AS prompt_tokens, CASE WHEN turn % 5 = 4 THEN CAST(0 AS BIGINT) ELSE CAST(turn AS BIGINT) END AS completion_tokens,
+  CASE WHEN turn % 5 = 4 THEN 'error' ELSE 'success' END AS status FROM conversations""")
+def _normalize_streamed(spark, folder):
+    talk = table(spark, folder, "conversations")
+    calls = talk.select(
+        F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), F.lit('{"model":"m","messages":[{"role":"user","content":"hi"}]}').alias("request"),
+        F.lit(None).cast("string").alias("response"), F.create_map(F.lit("x-user-id"), F.lit("u")).alias("headers"), F.when(F.col("turn") % 5 == 4, 500).otherwise(200).alias("http_status"),
+        F.lit(3).cast("long").alias("latency_ms"), F.lit(None).cast("string").alias("transport_error"), F.lit(True).alias("stream"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+    rows = S.normalize_calls(calls, models(spark), chunks=_chunks(spark, folder))
+    return rows.select("id", F.get_json_object("output_message", "$.content").alias("answer"), "prompt_tokens", "completion_tokens", "status")
+
+
 @query("redact_payloads", with_log("""SELECT id, '[{"role":"system","content":"[Payload logging disabled]"}]' AS input_messages,
   CASE WHEN output_message IS NOT NULL THEN '{"role":"assistant","content":"[Payload logging disabled]"}' END AS output_message,
   CASE WHEN raw_request IS NOT NULL THEN '{"info":"Payload logging disabled"}' END AS raw_request, total_tokens FROM r"""))
@@ -136,12 +151,13 @@ def _existing(spark, folder):
   k / 4.0 AS estimated_cost, CASE WHEN k % 5 = 0 THEN '["imported","old"]' ELSE '["old","imported"]' END AS tags, g.id AS span_id,
   'Imported - ' || CASE WHEN k % 2 = 0 THEN 'some/model' ELSE 'unknown' END AS span_name, '{{"k":' || CAST(k AS VARCHAR) || ',"imported":true}}' AS metadata,
   strftime(date_trunc('millisecond', ts), '%Y-%m-%d %H:%M:%S.%f') AS created_at
-  FROM g JOIN f ON f.id = g.id AND f.seq = g.seq WHERE g.id NOT IN (SELECT 'imp_' || CAST(event_id AS VARCHAR) FROM events WHERE event_type = 'purchase')""".replace("{{", "{").replace("}}", "}"))
+  FROM (SELECT coalesce(id, 'made up') AS id, id IS NULL AS made, seq, k, ts FROM i WHERE event_type <> 'error') g LEFT JOIN f ON f.id = g.id AND f.seq = g.seq
+  WHERE made OR (f.id IS NOT NULL AND g.id NOT IN (SELECT 'imp_' || CAST(event_id AS VARCHAR) FROM events WHERE event_type = 'purchase'))""".replace("{{", "{").replace("}}", "}"))
 def _import(spark, folder):
     rows, _ = I.import_records(_records(spark, folder), _existing(spark, folder))
-    named = rows.filter(F.col("id").startswith("imp_"))
-    return named.select("id", "model", "provider", F.get_json_object("output_message", "$.content").alias("answer"), "prompt_tokens", "completion_tokens",
-                        "total_tokens", "estimated_cost", "tags", "span_id", "span_name", "metadata", stamp("created_at").alias("created_at"))
+    shown = [F.when(F.col(c).rlike("^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$"), F.lit("made up")).otherwise(F.col(c)).alias(c) for c in ("id", "span_id")]
+    return rows.select(shown[0], "model", "provider", F.get_json_object("output_message", "$.content").alias("answer"), "prompt_tokens", "completion_tokens",
+                        "total_tokens", "estimated_cost", "tags", shown[1], "span_name", "metadata", stamp("created_at").alias("created_at"))
 
 
 @query("import_rejects", f"""WITH {IMPORT_SQL} SELECT seq, 'not a JSON object' AS reason FROM i WHERE event_type = 'error'
@@ -209,6 +225,26 @@ def _price_rejects(spark, folder):
     return H.merge_model_prices(models(spark), _price_changes(spark, folder))[1].select("id", "seq", "reason")
 
 
+# Sources of the documents are registered as models: some bring a price, some a negative one, one is known.
+@query("register_models", f"""WITH models AS ({MODELS}), n AS (SELECT DISTINCT source AS id, CASE WHEN source LIKE '%1' THEN -1.0 ELSE length(source) END AS price FROM documents)
+  SELECT id, input_cost_per_million, output_cost_per_million FROM models UNION ALL SELECT id, CAST(price AS DOUBLE), CAST(0.0 AS DOUBLE) FROM n WHERE price >= 0""")
+def _register(spark, folder):
+    return H.register_models(models(spark), _new_models(spark, folder))[0].select("id", "input_cost_per_million", "output_cost_per_million")
+
+
+@query("register_model_rejects", f"""WITH models AS ({MODELS}) SELECT DISTINCT source AS id, 'price must be non-negative' AS reason FROM documents WHERE source LIKE '%1'
+  UNION ALL SELECT min(id), 'key exists' FROM models""")
+def _register_rejects(spark, folder):
+    return H.register_models(models(spark), _new_models(spark, folder))[1].select("id", "reason")
+
+
+def _new_models(spark, folder):
+    named = table(spark, folder, "documents").select("source").distinct()
+    price = F.when(F.col("source").endswith("1"), F.lit(-1.0)).otherwise(F.length("source").cast("double"))
+    known = models(spark).agg(F.min("id").alias("id")).select("id", F.lit(1.0).alias("input_cost_per_million"))
+    return named.select(F.col("source").alias("id"), price.alias("input_cost_per_million")).unionAll(known)
+
+
 @query("insert_if_absent", with_log("""SELECT id, origin FROM (SELECT id, origin, row_number() OVER (PARTITION BY id ORDER BY rank, seq) AS rn FROM (
     SELECT DISTINCT conversation_id AS id, 'old' AS origin, 0 AS rank, 0 AS seq FROM r WHERE conversation_id IS NOT NULL
     UNION ALL SELECT 'conv_' || CAST(user_id AS VARCHAR) || '_1', 'new ' || CAST(event_id AS VARCHAR), 1, event_id FROM events) z) y WHERE rn = 1"""))
@@ -232,12 +268,17 @@ CSV_SQL = "SELECT id, id || ',' || model || ',' || provider || ',' || status ||
     " || ',' || strftime(date_trunc('millisecond', created_at), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' AS line FROM r"
 
 
+# Both exporters write files; the queries read them back.
 @query("export_csv", with_log(CSV_SQL))
 def _csv(spark, folder):
-    return X.csv_lines(requests(spark, folder)).select("id", F.col("value").alias("line"))
+    path = scratch_path(spark, "csv")
+    X.export_csv(requests(spark, folder), path)
+    return spark.read.text(f"{path}/rows").select(F.substring_index("value", ",", 1).alias("id"), F.col("value").alias("line"))
 
 
-@query("export_finetuning", with_log("""SELECT id, '{"messages":' || left(input_messages, length(input_messages) - 1) || ',' || output_message || ']}' AS line
+@query("export_finetuning", with_log("""SELECT '{"messages":' || left(input_messages, length(input_messages) - 1) || ',' || output_message || ']}' AS line
   FROM r WHERE status = 'success' AND output_message IS NOT NULL"""))
 def _finetuning(spark, folder):
-    return X.finetuning_lines(requests(spark, folder).filter("status = 'success'")).select("id", F.col("value").alias("line"))
+    path = scratch_path(spark, "finetuning")
+    X.export_finetuning(requests(spark, folder), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))

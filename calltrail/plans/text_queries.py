@@ -398,11 +398,12 @@ def _parse_rejects(spark, folder):
 
 
 @query("local_retrieval_metrics", with_log("""SELECT id, round(len([x FOR x IN got IF list_contains(want, x)]) / CAST(2 AS DOUBLE), 9) AS recall_at_k,
-  round(len([x FOR x IN got IF list_contains(want, x)]) / CAST(3 AS DOUBLE), 9) AS precision_at_k FROM (SELECT id, CAST(json_extract(metadata, '$.retrieved_ids') AS VARCHAR[]) AS got,
+  round(len([x FOR x IN got IF list_contains(want, x)]) / CAST(3 AS DOUBLE), 9) AS precision_at_k,
+  coalesce(round(1.0 / list_min([i FOR i IN range(1, len(got) + 1) IF list_contains(want, got[i])]), 9), 0.0) AS mrr FROM (SELECT id, CAST(json_extract(metadata, '$.retrieved_ids') AS VARCHAR[]) AS got,
     CAST(json_extract(metadata, '$.relevant_ids') AS VARCHAR[]) AS want FROM r WHERE status <> 'error' AND output_message IS NOT NULL AND json_extract(metadata, '$.relevant_ids') IS NOT NULL) z"""))
 def _local(spark, folder):
     rows = E.local_metrics(unpriced(spark, folder)).filter(F.col("recall_at_k").isNotNull())
-    return rows.select("id", F.round("recall_at_k", 9).alias("recall_at_k"), F.round("precision_at_k", 9).alias("precision_at_k"))
+    return rows.select("id", F.round("recall_at_k", 9).alias("recall_at_k"), F.round("precision_at_k", 9).alias("precision_at_k"), F.round("mrr", 9).alias("mrr"))
 
 
 # Expected answers repeat the answer for even events, so that exact match is known.

@@ -107,11 +107,13 @@ def _approvals(spark, folder):
     return T.approval_queue(requests(spark, folder)).select("id", "trace_id", "status", "state")
 
 
-# The log stops each trace at its approval step, so that some checks are the newest span.
-@query("stalled_checks", with_log("""SELECT c.id, c.trace_id, c.status FROM r c WHERE c.span_type = 'check' AND c.status IN ('success', 'rejected')
-  AND NOT EXISTS (SELECT 1 FROM r s WHERE s.span_name <> 'Search tool' AND s.trace_id = c.trace_id AND s.created_at > c.created_at)"""))
+# Some checks are answered a day later, so that they are the newest span of their trace.
+@query("stalled_checks", with_log("""SELECT c.id, c.trace_id, c.status FROM l c WHERE c.span_type = 'check' AND c.status IN ('success', 'rejected')
+  AND NOT EXISTS (SELECT 1 FROM l s WHERE s.trace_id = c.trace_id AND s.created_at > c.created_at)""",
+  "l AS (SELECT * REPLACE (CASE WHEN span_type = 'check' AND right(id, 1) IN ('1', '3', '8') THEN created_at + INTERVAL 1 DAY ELSE created_at END AS created_at) FROM r)"))
 def _stalled(spark, folder):
-    log = requests(spark, folder).filter(F.coalesce("span_name", F.lit("")) != "Search tool")
+    late = (F.col("span_type") == "check") & F.right("id", F.lit(1)).isin("1", "3", "8")
+    log = requests(spark, folder).withColumn("created_at", F.when(late, F.col("created_at") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("created_at")))
     return T.stalled_checks(log).select("id", "trace_id", "status")
 
 

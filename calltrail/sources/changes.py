@@ -64,6 +64,27 @@ def merge_model_prices(models: DataFrame, changes: DataFrame) -> tuple[DataFrame
     return models.join(latest, "id", "left").select(*columns), rejects
 
 
+def register_models(models: DataFrame, new: DataFrame, provider: str = "deepinfra") -> tuple[DataFrame, DataFrame]:
+    """(models with the new ones, rejects with id and reason).
+
+    ``new`` has id and any columns of ``models``. A missing name is the id, a
+    missing provider ``provider``, a missing price 0; a missing id, a negative
+    price, a known id and a repeated one are rejected.
+    """
+    def given(name: str) -> Column:
+        kind = models.schema[name].dataType
+        value = F.col(name).cast(kind) if name in new.columns else F.lit(None).cast(kind)
+        default = {"name": F.col("id"), "display_name": F.col("id"), "provider": F.lit(provider)}.get(name, F.lit(0.0) if name in PRICE_FIELDS else None)
+        return (value if default is None else F.coalesce(value, default.cast(kind))).alias(name)
+
+    rows = new.select(*[given(c) for c in models.columns])
+    reason = F.when(F.coalesce("id", F.lit("")) == "", F.lit("id is required")).when(
+        (F.col(PRICE_FIELDS[0]) < 0) | (F.col(PRICE_FIELDS[1]) < 0), F.lit("price must be non-negative"))
+    marked = rows.withColumn("reason", reason)
+    out, taken = insert_if_absent(models, marked.filter("reason IS NULL").drop("reason"), "id")
+    return out, marked.filter("reason IS NOT NULL").select("id", "reason").unionByName(taken.select("id", "reason"))
+
+
 def insert_if_absent(base: DataFrame, new: DataFrame, key: str, order: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(base plus new rows with unused keys, rejected rows).
 
