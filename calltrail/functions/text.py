@@ -9,6 +9,7 @@ arithmetic on the counts again. Nothing is exploded or shuffled.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Sequence
 
@@ -65,26 +66,45 @@ def bleu_of(overlaps: list[Column], n_generated: ColumnLike, n_expected: ColumnL
     return F.when((g == 0) | (e == 0) | (hits == 0), F.lit(0.0)).otherwise(brevity * F.exp(logs))
 
 
-def lcs_rows(a: list, b: list) -> list[int]:
+class LcsRows:
     """Rows of the LCS table of ``a`` against ``b`` as bit sets: bit j clear means that the
-    table grows between columns j and j+1 (bit-parallel recurrence of Hyyrö)."""
-    full = (1 << len(b)) - 1
-    where: dict = {}
-    for j, item in enumerate(b):
-        where[item] = where.get(item, 0) | (1 << j)
-    v = full
-    rows = []
-    for item in a:
-        u = v & where.get(item, 0)
-        v = ((v + u) | (v - u)) & full
-        rows.append(v)
-    return rows
+    table grows between columns j and j+1 (bit-parallel recurrence of Hyyrö).
+
+    Only every ``step``-th row is kept, and one block of rows in between, so memory grows with
+    the root of the number of rows; walking backwards makes each block once more.
+    """
+
+    def __init__(self, a: list, b: list):
+        self.a, self.full = a, (1 << len(b)) - 1
+        self.where: dict = {}
+        for j, item in enumerate(b):
+            self.where[item] = self.where.get(item, 0) | (1 << j)
+        self.step = max(1, math.isqrt(len(a)))
+        self.starts, self.block, self.at = [], [], -1
+        self.last = self.full
+        for i, item in enumerate(a):
+            if i % self.step == 0:
+                self.starts.append(self.last)
+            self.last = self._next(self.last, item)
+
+    def _next(self, v: int, item) -> int:
+        u = v & self.where.get(item, 0)
+        return ((v + u) | (v - u)) & self.full
+
+    def __getitem__(self, i: int) -> int:
+        k = i // self.step
+        if k != self.at:
+            v, self.block, self.at = self.starts[k], [], k
+            for item in self.a[k * self.step:(k + 1) * self.step]:
+                v = self._next(v, item)
+                self.block.append(v)
+        return self.block[i - k * self.step]
 
 
 def lcs_length(a: list, b: list) -> int:
     if not a or not b:
         return 0
-    return len(b) - lcs_rows(a, b)[-1].bit_count()
+    return len(b) - LcsRows(a, b).last.bit_count()
 
 
 def shared_ngrams(a: list, b: list, n: int) -> int:
@@ -114,7 +134,7 @@ def pair_counts(orders: Sequence[int] = (), lcs: bool = False):
 def diff_lines(old: str, new: str) -> list[dict]:
     """Line edits from ``old`` to ``new``; on equal choices the later edit is an addition."""
     a, b = (old or "").split("\n"), (new or "").split("\n")
-    rows = lcs_rows(a, b)
+    rows = LcsRows(a, b)
     i, j = len(a), len(b)
     out = []
     while i or j:
