@@ -15,6 +15,7 @@ from ..functions.messages import message_content, parse_message, parse_messages,
 from ..scale import left_join_sparse
 from ..schema import AGENT_METRICS, MESSAGES_DDL
 from ..session import reliable_checkpoint
+from .filters import between
 
 ROOT_MARK = "root"
 NEWEST = ("created_at", "id")
@@ -38,25 +39,24 @@ def earliest(value: Column, where: Column | None = None) -> Column:
 def trace_sessions(requests: DataFrame, start=None, end=None) -> DataFrame:
     """One row per trace: figures over the date range, name and model over the whole trace.
 
-    Both come out of one aggregation, so the spans are shuffled once, pre-aggregated.
+    With a range the figures come from its days alone; names are then looked up
+    for the traces found, in a slim projection of the log. Without one a single
+    aggregation gives both.
     """
-    inside = F.lit(True)
-    if start is not None:
-        inside = inside & (F.col("created_at") >= F.lit(start).cast("timestamp"))
-    if end is not None:
-        inside = inside & (F.col("created_at") <= F.lit(end).cast("timestamp"))
-
-    def within(column: str) -> Column:
-        return F.when(inside, F.col(column))
-
+    spans = requests.filter(has_trace())
+    figures = [F.min("created_at").alias("first_span_at"), F.max("created_at").alias("last_span_at"),
+               F.count(F.lit(1)).alias("total_spans"), F.sum("latency_ms").alias("total_latency_ms"),
+               F.round(F.sum("estimated_cost"), 6).alias("total_cost"), F.sum("total_tokens").alias("total_tokens")]
     head = F.struct("span_name", "model")
-    return (requests.filter(has_trace()).groupBy("trace_id")
-            .agg(F.min(within("created_at")).alias("first_span_at"), F.max(within("created_at")).alias("last_span_at"),
-                 F.count_if(inside).alias("total_spans"), F.sum(within("latency_ms")).alias("total_latency_ms"),
-                 F.round(F.sum(within("estimated_cost")), 6).alias("total_cost"),
-                 F.sum(within("total_tokens")).alias("total_tokens"),
-                 earliest(head, is_root()).alias("_root"), earliest(head).alias("_first"))
-            .filter(F.col("total_spans") > 0)
+    heads = [earliest(head, is_root()).alias("_root"), earliest(head).alias("_first")]
+    if start is None and end is None:
+        sessions = spans.groupBy("trace_id").agg(*figures, *heads)
+    else:
+        seen = between(spans, start, end).groupBy("trace_id").agg(*figures)
+        named = (spans.select("trace_id", "created_at", "id", "span_id", "parent_span_id", "span_name", "model")
+                 .join(seen.select("trace_id"), "trace_id", "left_semi").groupBy("trace_id").agg(*heads))
+        sessions = seen.join(named, "trace_id")
+    return (sessions
             .select("trace_id", "first_span_at", "last_span_at", "total_spans", "total_latency_ms", "total_cost",
                     "total_tokens",
                     F.coalesce("_root.span_name", "_first.span_name", F.lit("Trace Session")).alias("name"),
@@ -65,7 +65,6 @@ def trace_sessions(requests: DataFrame, start=None, end=None) -> DataFrame:
 
 
 def trace_count(requests: DataFrame, start=None, end=None) -> DataFrame:
-    from .filters import between
     return between(requests.filter(has_trace()), start, end).agg(F.count_distinct("trace_id").alias("total"))
 
 

@@ -274,6 +274,22 @@ def _gap_errors(spark, folder):
     return A.gap_fill_daily(series, "2023-12-28", "2024-02-03", "date", ["error_count", "total_count"])
 
 
+@query("gap_fill_tokens", with_log("""SELECT d.date, CAST(coalesce(c.p, 0) AS BIGINT) AS prompt_tokens, CAST(coalesce(c.t, 0) AS BIGINT) AS total_tokens FROM d LEFT JOIN
+  (SELECT strftime(created_at, '%Y-%m-%d') AS date, sum(prompt_tokens) AS p, sum(total_tokens) AS t FROM r GROUP BY 1) c ON d.date = c.date""", FILLED))
+def _gap_tokens(spark, folder):
+    series = A.token_usage(requests(spark, folder), "2023-12-28", "2024-02-03")
+    return A.gap_fill_daily(series, "2023-12-28", "2024-02-03", "date", ["prompt_tokens", "total_tokens"])
+
+
+@query("gap_fill_latency", with_log(f"""SELECT d.date, CAST(coalesce(p50, 0) AS BIGINT) AS p50, CAST(coalesce(p95, 0) AS BIGINT) AS p95 FROM d LEFT JOIN
+  (SELECT date, {_rank(0.5)} AS p50, {_rank(0.95)} AS p95 FROM (SELECT strftime(created_at, '%Y-%m-%d') AS date, latency_ms,
+    row_number() OVER (PARTITION BY strftime(created_at, '%Y-%m-%d') ORDER BY latency_ms) AS rn, count(*) OVER (PARTITION BY strftime(created_at, '%Y-%m-%d')) AS n
+    FROM r WHERE status <> 'error') z GROUP BY date) c ON d.date = c.date""", FILLED))
+def _gap_latency(spark, folder):
+    series = A.latency_stats(requests(spark, folder), "2023-12-28", "2024-02-03")
+    return A.gap_fill_daily(series, "2023-12-28", "2024-02-03", "date", ["p50", "p95"])
+
+
 # ---------------------------------------------------------------- conversations
 
 CONV_SQL = f"""SELECT conversation_id AS id, CAST(count(*) AS BIGINT) AS total_messages, CAST(sum(total_tokens) AS BIGINT) AS total_tokens,

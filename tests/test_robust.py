@@ -11,6 +11,7 @@ from calltrail.functions.messages import parse_messages
 from calltrail.functions.pii import _mask_json, mask_pii_json
 from calltrail.operators import analytics as A
 from calltrail.operators import filters as B
+from calltrail.operators import traces as T
 from calltrail.plans.views import requests
 from calltrail.sources import calls as S
 from calltrail.sources import imports as I
@@ -113,6 +114,9 @@ def test_reports_open_only_their_days(spark, folder, tmp_path):
         got = report(stored, *span)
         assert "PartitionFilters: [isnotnull(day" in got._jdf.queryExecution().executedPlan().toString()
         assert sorted(map(str, got.collect())) == sorted(map(str, report(log, *span).collect()))
+    sessions = T.trace_sessions(stored, *span)
+    assert "PartitionFilters: [isnotnull(day" in sessions._jdf.queryExecution().executedPlan().toString()
+    assert list(map(str, sessions.collect())) == list(map(str, T.trace_sessions(log, *span).collect()))
     assert B.filter_requests(stored, start=span[0], end=span[1]).count() == B.filter_requests(log, start=span[0], end=span[1]).count()
 
 
