@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_made: dict[str, str] = {}  # by application, where the setting is absent
+
+
 def build_session(app: str = "calltrail", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time and adaptive execution; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
@@ -43,9 +46,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    made = tempfile.mkdtemp(prefix="calltrail-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _made:
+        _made[app] = tempfile.mkdtemp(prefix="calltrail-")
+    return _made[app]
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
