@@ -22,6 +22,7 @@ from .quality import quality
 from .rollups import bpe_counter, commit_batch, totals, word_counter
 from .secrets import digest as secret_digest
 from .secrets import find_secrets
+from .shared import likely_in, written
 
 #: Vocabulary file of the byte-pair tokenizer, at the same place on every executor.
 BPE_FILE = os.environ.get("BPE_FILE", "/opt/tokenizers/byte_bpe_50k.tiktoken")
@@ -67,8 +68,8 @@ def op5_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = _table(spark, folder, "documents"), _table(spark, folder, "labels")
     counters = [word_counter("words"), bpe_counter(BPE_FILE, "byte_bpe_50k")]
     commit_batch(spark, store, 1, docs.select("doc_id", F.lit(False).alias("deleted"), "text", "source", "lang"), counters)
-    marked = labels.filter("quality = 0 OR toxic = 1").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    second = docs.join(marked, "doc_id").select("doc_id", (F.col("quality") == 0).alias("deleted"), F.lower("text").alias("text"), "source", "lang")
+    marked = written(labels.filter("quality = 0 OR toxic = 1").groupBy("doc_id").agg(F.min("quality").alias("quality")), "marked")
+    second = likely_in(docs, marked, "doc_id").join(marked, "doc_id").select("doc_id", (F.col("quality") == 0).alias("deleted"), F.lower("text").alias("text"), "source", "lang")
     for _ in range(2):
         commit_batch(spark, store, 2, second, counters)
     return totals(spark, store)
