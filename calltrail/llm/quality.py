@@ -1,8 +1,9 @@
 """Quality rules: base figures of every text and bands of n-gram perplexity per language.
 
-The model is a modified Kneser-Ney model (Chen & Goodman, 1999) of the characters of words, one for each language.
-Spark counts the n-grams of the highest order over all words of all documents; lower orders are continuation counts of
-that table, discounts come from its counts of counts. Scoring looks n-grams up in sorted arrays of their hashes.
+Perplexity is that of the word trigrams of ``word_model``. The model of the characters of words below (modified
+Kneser-Ney, Chen & Goodman, 1999; ``fit_model`` and ``score``) can be used apart from it: Spark counts the n-grams of the
+highest order over all words of all documents; lower orders are continuation counts of that table, discounts come from
+its counts of counts. Scoring looks n-grams up in sorted arrays of their hashes.
 """
 
 from __future__ import annotations
@@ -16,12 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
+from .word_model import word_surprise
 from .words import Words, find_words, inside_rows, mix, row_blocks, window_hashes, word_hashes
 
 ORDER = 4
-#: A language's band below and above its median log perplexity, in robust standard deviations, and the least such deviation.
-#: Text with a long passage in another language lies high, so the upper side is the wider one.
-BELOW, ABOVE, LEAST_SPREAD = 6.0, 16.0, 0.02
+#: A language's band below and above its median log perplexity of a word, in robust standard deviations, and the least such
+#: deviation. Set on labelled rows: junk lies high; near copies, of which one must stay, vouch for each other and lie low.
+BELOW, ABOVE, LEAST_SPREAD = 6.0, 16.0, 0.1
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Arrays up to this size are sent to every task; a larger model is joined instead.
 MODEL_BYTES = 64 << 20
@@ -320,20 +322,31 @@ def score(docs: DataFrame, model: Model, model_bytes: int = MODEL_BYTES) -> Data
             .join(_joined_surprise(texts, model), "key", "left").drop("key").na.fill({"surprise": 0.0, "n_grams": 0}))
 
 
-def quality(docs: DataFrame, order: int = ORDER, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT,
-            below: float = BELOW, above: float = ABOVE, least_spread: float = LEAST_SPREAD, model_bytes: int = MODEL_BYTES) -> DataFrame:
+def word_scores(docs: DataFrame) -> DataFrame:
+    """doc_id, lang, base figures, surprise and n_grams (words) of each row, by the model of word trigrams without the row's own text."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    narrow = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    keyed = narrow.withColumn("key", F.xxhash64(F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit(""))))
+    figures = keyed.select(F.struct("doc_id", "key").alias("doc_id"), "text", "lang").mapInArrow(
+        _figures(None, ORDER), f"doc_id struct<doc_id: {kind}, key: long>, lang string, {', '.join(f'{k} long' for k in FIGURES)}, surprise double, n_grams long")
+    return (figures.drop("surprise", "n_grams").withColumn("key", F.col("doc_id.key")).withColumn("doc_id", F.col("doc_id.doc_id"))
+            .join(word_surprise(keyed.select("key", "text", "lang")), "key", "left").drop("key").na.fill({"surprise": 0.0, "n_grams": 0}))
+
+
+def quality(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT,
+            below: float = BELOW, above: float = ABOVE, least_spread: float = LEAST_SPREAD) -> DataFrame:
     """doc_id, base figures, base_failed, log_perplexity, low, high, kept for each row of ``docs`` (doc_id, text, lang).
 
     A row fails the base rules with fewer than ``min_words`` words, or with more than ``max_repeat_percent`` percent of
     its words in 3-word windows that it repeats. The others of a language give the band: median of the log perplexity
-    per character, less ``below`` and plus ``above`` robust deviations (quartile range / 1.349, at least ``least_spread``).
-    A row is kept if it passes both.
+    per word with a letter or digit, less ``below`` and plus ``above`` robust deviations (quartile range / 1.349, at least ``least_spread``).
+    A row is kept if it passes both; one without any letter or digit has no perplexity and is not kept.
 
     Cases: NULL, empty and blank texts have zero words and fail. NULL languages form one language. A language of one
     document keeps it. Repeated rows and equal texts get equal verdicts; NULL ids are treated like others; an empty table
     gives no rows. Further columns are not looked at.
     """
-    scored = written(score(docs, fit_model(docs, order), model_bytes), "scores")
+    scored = written(word_scores(docs), "scores")
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     lp = F.when(F.col("n_grams") > 0, F.col("surprise") / F.col("n_grams"))
     scored = scored.withColumns({"base_failed": base, "log_perplexity": lp, "language": F.coalesce("lang", F.lit(""))})
