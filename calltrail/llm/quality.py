@@ -23,7 +23,7 @@ from .words import Words, find_words, inside_rows, mix, row_blocks, window_hashe
 ORDER = 4
 #: A language's band below and above its median log perplexity of a word, in robust standard deviations, and the least such
 #: deviation. Set on labelled rows: junk lies high; near copies, of which one must stay, vouch for each other and lie low.
-BELOW, ABOVE, LEAST_SPREAD = 6.0, 16.0, 0.1
+BELOW, ABOVE, LEAST_SPREAD = 20.0, 2.2, 0.1
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Arrays up to this size are sent to every task; a larger model is joined instead.
 MODEL_BYTES = 64 << 20

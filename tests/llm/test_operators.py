@@ -450,6 +450,32 @@ def test_band_rejects_strange_text(spark):
     assert not got[99] and all(got[i] for i in range(60))
 
 
+def test_band_parts_labelled_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    judged = [r for r in quality.quality(spark.read.parquet(f"{folder}/documents.parquet")).collect() if not r["base_failed"]]
+    bad, good = ([r["kept"] for r in judged if labels.get(r["doc_id"]) == q] for q in (0, 1))
+    assert len(bad) > 20 and sum(bad) < 0.3 * len(bad) and sum(good) > 0.98 * len(good)
+
+
+def test_band_rejects_shuffled_words(spark):
+    rng = random.Random(21)
+    after = {i: [rng.randrange(400) for _ in range(2)] for i in range(400)}
+    rows = []
+    for k in range(120):
+        walk = [rng.randrange(400)]
+        while len(walk) < 150:
+            walk.append(rng.choice(after[walk[-1]]))
+        rows.append((k, " ".join(f"word{i}" for i in walk), "en", "s"))
+    mixed = rows[7][1].split()
+    rng.shuffle(mixed)
+    rows += [(500, " ".join(mixed), "en", "s"), (501, rows[3][1], "en", "s"), (502, "| " * 60, "en", "s")]
+    got = {r["doc_id"]: r for r in quality.quality(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not got[500]["base_failed"] and not got[500]["kept"]
+    assert sum(got[i]["kept"] for i in range(120)) > 110
+    assert got[501]["log_perplexity"] == got[3]["log_perplexity"] and got[502]["log_perplexity"] is None
+
+
 # --- 9 --------------------------------------------------------------------------------------------------------------
 
 def test_myers_equals_dynamic_programming():
