@@ -25,6 +25,9 @@ PERCENT = 85
 #: Share of coordinates that must agree before sets are compared. At a similarity of 0.85 fewer agree with probability
 #: 1e-8; a pair of that similarity misses all bands with probability 4e-7, a closer one with less.
 LEAST_AGREEING = 0.6
+#: The same for a similarity of 0.8 or more, where no other one is asked for. Such a pair misses all bands with
+#: probability 5e-8, and fewer of its coordinates agree with 1e-14.
+NEAR = {"percent": 80, "bands": 32, "band_rows": 4, "least_agreeing": 0.5}
 #: Rows of a bucket that one task compares with each other; larger buckets are dealt out as pairs of blocks.
 BLOCK_ROWS = 256
 _STEP = np.uint32(0x9E3779B1)
@@ -177,7 +180,7 @@ def _linked(percent: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, band_rows: int = BAND_ROWS,
-                    percent: int = PERCENT, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                    percent: int = PERCENT, block_rows: int = BLOCK_ROWS, least_agreeing: float = LEAST_AGREEING) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Words are lower-cased in A-Z and parted by ASCII white space; shingles have five words, a shorter text is one shingle.
@@ -208,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "band", "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "n_shingles", "signature")
     wanted = placed.groupBy("band", "bucket", "lo", "hi").applyInArrow(
-        _comparable(bands, band_rows, int(LEAST_AGREEING * bands * band_rows), percent), "band int, bucket long, lo int, hi int, doc_id long")
+        _comparable(bands, band_rows, int(least_agreeing * bands * band_rows), percent), "band int, bucket long, lo int, hi int, doc_id long")
     targets = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("band", "bucket", "lo", "hi")).alias("targets"))
     targets = written(targets, "targets")
     texts = likely_in(narrow, targets, "doc_id").join(targets, "doc_id").select("doc_id", "text", "targets")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from calltrail.llm.decontaminate import find_leaks
 from calltrail.llm.lines import drop_boilerplate
-from calltrail.llm.minhash import near_duplicates
+from calltrail.llm.minhash import NEAR, near_duplicates
 from calltrail.llm.packing import pack, word_count
 from calltrail.llm.quality import quality
 from calltrail.llm.shared import likely_in, without, written
@@ -44,8 +44,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest doc_id; of repeated rows one."""
-    dropped = near_duplicates(docs).filter("NOT kept").select("doc_id").distinct()
+    """One document of each near-duplicate group (similarity of 0.8 or more), the one with the smallest doc_id; of repeated rows one."""
+    dropped = near_duplicates(docs, **NEAR).filter("NOT kept").select("doc_id").distinct()
     left = without(docs, written(dropped, "copies"), "doc_id")
     repeated = written(left.groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
     once = likely_in(left, repeated, "doc_id").join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns)

@@ -77,3 +77,13 @@ def test_edge_rows_pass_through(spark, folder):
             assert n == 0 if table is not docs else n >= 0
             if stage is not corpus_pipeline.STAGES[-1][1]:
                 assert got.columns == docs.columns
+
+
+def test_near_dedup_from_a_similarity_of_80_percent(spark, folder):
+    words = [f"w{i}" for i in range(104)]
+    close = words[:94] + [f"v{i}" for i in range(10)]  # 90 of 110 shingles
+    made = [(1, " ".join(words), "en", "a"), (2, " ".join(close), "en", "b"), (3, " ".join(words[:88] + [f"u{i}" for i in range(16)]), "en", "c")]  # 84 of 116
+    a, b, c = (brute.shingles(r[1]) for r in made)
+    assert 0.8 < len(a & b) / len(a | b) < 0.85 and max(len(a & c) / len(a | c), len(b & c) / len(b | c)) < 0.8
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string")
+    assert set(rows(corpus_pipeline.near_dedup(spark, docs, folder))) == {1, 3}
