@@ -14,7 +14,7 @@ from .debruijn import remove_repeats
 from .decontaminate import find_leaks
 from .licenses import find_licenses
 from .lines import LINES_SQL, drop_boilerplate, host_of, html_lines
-from .minhash import near_duplicates
+from .minhash import NEAR, near_duplicates
 from .packing import pack, word_count
 from .pii import digest as pii_digest
 from .pii import find_pii
@@ -52,10 +52,14 @@ def op3_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
-    """All documents packed into bins by their number of words; a cluster are documents of equal words, case aside."""
-    docs = _table(spark, folder, "documents")
-    words = F.lower(F.trim(F.regexp_replace("text", r"[ \t\n\x0B\f\r]+", " ")))
-    return pack(docs.select("doc_id", word_count(F.col("text")).alias("n_tokens"), "source", F.xxhash64(words).alias("cluster")))
+    """All documents packed into bins by their number of words; a cluster are near-duplicates of a similarity of 0.8 or more.
+
+    A document without an id takes part in clusters under a hash of its text.
+    """
+    docs = _table(spark, folder, "documents").withColumn("_node", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
+    found = near_duplicates(docs, id_col="_node", **NEAR).filter("NOT kept").select(F.col("doc_id").alias("_node"), "component_id").distinct()
+    items = docs.select("_node", "doc_id", word_count(F.col("text")).alias("n_tokens"), "source")
+    return pack(items.join(found, "_node", "left").withColumn("cluster", F.coalesce("component_id", "_node")))
 
 
 def op5_token_rollups(spark: SparkSession, folder: str) -> DataFrame:

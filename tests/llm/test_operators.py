@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import brute  # noqa: E402
-from calltrail.llm import debruijn, decontaminate, licenses, lines, minhash, packing, pii, quality, rollups, secrets, tagger  # noqa: E402
+from calltrail.llm import debruijn, decontaminate, licenses, lines, minhash, packing, pii, quality, queries, rollups, secrets, tagger  # noqa: E402
 from calltrail.llm.shared import components, likely_in, without, written  # noqa: E402
 
 SCHEMA = "doc_id long, text string, lang string, source string"
@@ -253,6 +253,15 @@ def test_packing_of_documents(spark, docs, empty):
     assert packing.pack(empty.select("doc_id", F.lit(1).alias("n_tokens"), "source", F.lit(None).alias("cluster"))).count() == 0
 
 
+def test_near_copies_share_no_bin(spark, tmp_path):
+    words = [f"w{i}" for i in range(200)]
+    rows = [(k, " ".join([*words, f"end{k}"]), "en", f"s{k}") for k in range(1, 6)] + [(None, " ".join(words), "en", "s6"), (7, "quite another text of a few words", "en", "s7")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op4_packing(spark, str(tmp_path)).collect()
+    assert len(got) == 7 and len({r["bin"] for r in got if r["doc_id"] != 7}) == 6
+    assert len({r["cluster"] for r in got}) == 2
+
+
 # --- 5 --------------------------------------------------------------------------------------------------------------
 
 def test_rollups_by_brute_force(spark, tmp_path, empty):
