@@ -51,12 +51,13 @@ def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_R
             .groupBy(found["host"]).agg(F.collect_list("line").alias("lines")))
 
 
-def drop_boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+def drop_boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, keep_emptied: bool = False) -> DataFrame:
     """``pages`` with ``text`` freed of boilerplate lines, and the columns ``_n_lines`` and ``_n_dropped`` (lines that are not blank).
 
     A line is judged without white space at its ends and counts once a page. Within a host (``host``; pages without one
     form a host) a line on at least ``min_pages`` pages and on more than ``max_ratio`` of them is dropped wherever it
-    occurs; other lines, blank ones too, keep their order and form.
+    occurs; other lines, blank ones too, keep their order and form. With ``keep_emptied`` a page that would lose all its lines
+    loses none.
 
     Cases: NULL text stays NULL with no lines; repeated rows count as pages of their own; a host of one or two pages
     loses nothing; an empty table stays empty; other columns pass through, whatever their names apart from these two.
@@ -69,6 +70,9 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float =
     kept = F.when(F.col("_bad").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x: ~dropped(x)), "\n"))
     filled = F.coalesce(F.size(F.filter(lines, lambda x: _bare(x) != "")), F.lit(0))
     n_bad = F.when(F.col("_bad").isNull(), 0).otherwise(F.size(F.filter(lines, dropped)))
+    if keep_emptied:
+        whole = (n_bad > 0) & (n_bad == filled)
+        kept, n_bad = F.when(whole, F.col(text)).otherwise(kept), F.when(whole, 0).otherwise(n_bad)
     return joined.select(*[kept.alias(c) if c == text else pages[c] for c in pages.columns],
                          F.when(F.col(text).isNull(), 0).otherwise(filled).cast("long").alias("_n_lines"),
                          F.when(F.col(text).isNull(), 0).otherwise(n_bad).cast("long").alias("_n_dropped"))

@@ -35,9 +35,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source; one without any other word goes, n_chars follows the text."""
-    cleaned = drop_boilerplate(docs, "source", "text")
-    left = cleaned.filter((F.col("_n_lines") > F.col("_n_dropped")) | (F.col("_n_dropped") == 0))
+    """Documents without the boilerplate lines of their source; n_chars follows the text.
+
+    A document that would lose all its lines stays whole: a large group of copies makes all its lines frequent, and near-dedup
+    must find it to keep one of them.
+    """
+    left = drop_boilerplate(docs, "source", "text", keep_emptied=True)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.when(F.col("_n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return left.select(docs.columns)

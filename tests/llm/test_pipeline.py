@@ -87,3 +87,14 @@ def test_near_dedup_from_a_similarity_of_80_percent(spark, folder):
     assert 0.8 < len(a & b) / len(a | b) < 0.85 and max(len(a & c) / len(a | c), len(b & c) / len(b | c)) < 0.8
     docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string")
     assert set(rows(corpus_pipeline.near_dedup(spark, docs, folder))) == {1, 3}
+
+
+def test_large_group_of_copies_keeps_one(spark, folder):
+    copy = "\n".join(" ".join(f"line{k}word{i}" for i in range(20)) for k in range(4))
+    made = [(i, copy, "en", "a") for i in range(20)] + [(100 + i, "head of the site\n" + " ".join(f"x{i}y{k}" for k in range(60)), "en", "a") for i in range(40)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long"))
+    clean = written(corpus_pipeline.line_dedup(spark, docs, folder), "clean")
+    got = rows(clean)
+    assert all(got[i]["text"] == copy and got[i]["n_chars"] == len(copy) for i in range(20))
+    assert all("head" not in got[100 + i]["text"] for i in range(40))
+    assert set(rows(corpus_pipeline.near_dedup(spark, clean, folder))) == {0, *range(100, 140)}
