@@ -88,17 +88,19 @@ def ownership(candidates: DataFrame, max_repositories: int = MAX_REPOSITORIES, m
     return repositories.join(owners, "value").withColumn("widely_copied", (F.col("n_repositories") > max_repositories) | (F.col("n_owners") > max_owners))
 
 
-def find_secrets(docs: DataFrame, repository: str = "doc_id", owner: str = "source", max_repositories: int = MAX_REPOSITORIES,
+def find_secrets(docs: DataFrame, repository: str | None = None, owner: str = "source", max_repositories: int = MAX_REPOSITORIES,
                  max_owners: int = MAX_OWNERS, least_entropy: float = LEAST_ENTROPY) -> DataFrame:
     """doc_id and found for each row of ``docs``: s, kind, e, value (digest), n_repositories, n_owners, widely_copied of each candidate.
 
     Kinds 0 to 2 are the base patterns; kind 3 are further long tokens of high entropy. A candidate is widely copied when
-    its value is in more than ``max_repositories`` repositories or belongs to more than ``max_owners`` owners.
+    its value is in more than ``max_repositories`` repositories or belongs to more than ``max_owners`` owners. Documents are no
+    repositories, so without a column ``repository`` owners decide alone and n_repositories is 0: a credential of one owner
+    stays live in any number of copies.
 
     Cases: NULL is an empty text; NULL repositories and owners count as none; repeated rows get equal results and count
     once; NULL ids are returned as such; an empty table gives no rows. Other columns are not looked at.
     """
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(repository).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(repository) if repository else F.lit(None)).cast("string").alias("repository"), F.col(owner).cast("string").alias("owner"))
     scanned = written(narrow.mapInArrow(_scan(least_entropy), f"doc_id long, repository string, owner string, found {_FOUND_SQL}").withColumn("row", F.monotonically_increasing_id()), "scanned")
     each = scanned.filter(F.size("found") > 0).select("row", "repository", "owner", F.explode("found").alias("x")).select("row", "repository", "owner", "x.*")
     judged = each.join(ownership(each, max_repositories, max_owners), "value")

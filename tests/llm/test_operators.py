@@ -558,3 +558,14 @@ def test_ownership_parts_examples_from_live_ones(spark):
     got = {r["doc_id"]: r for r in secrets.digest(secrets.find_secrets(spark.createDataFrame(rows, SCHEMA))).collect()}
     assert got[100]["spans"] == "token:3:27" and got[100]["n_live"] == 1
     assert got[0]["spans"] == "" and got[0]["n_copied"] == 1 and got[102]["spans"] == ""
+
+
+def test_credential_of_one_owner_in_many_copies_stays_live(spark):
+    own, shared = "zyxWVU987tsrQPO654nmlKJI", "abcDEF123ghiJKL456mnoPQR"
+    rows = [(i, f"my {own}", "en", "owner1") for i in range(1000)] + [(2000 + i, f"key {shared} here", "en", f"owner{i}") for i in range(4)]
+    found = secrets.find_secrets(spark.createDataFrame(rows, SCHEMA))
+    got = {r["doc_id"]: r for r in secrets.digest(found).collect()}
+    assert all(got[i]["spans"] == "token:3:27" and got[i]["n_live"] == 1 for i in range(1000))
+    assert all(got[2000 + i]["n_copied"] == 1 for i in range(4))
+    by_repository = {r["doc_id"]: r for r in secrets.digest(secrets.find_secrets(spark.createDataFrame(rows, SCHEMA), "doc_id")).collect()}
+    assert by_repository[0]["n_copied"] == 1
