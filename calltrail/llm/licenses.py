@@ -34,6 +34,14 @@ TEMPLATES = {
     "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MPL-2.0-header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
 }
+TEMPLATES["BSD-3-Clause"] = TEMPLATES["BSD-2-Clause"] + (
+    " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.")
+#: What tells a license from its neighbours: these runs of a template's words must be aligned without a gap.
+REQUIRED = {
+    "MIT-notice": ["MIT License"], "Apache-2.0-notice": ["Apache License", "2.0"], "GPL-3.0-notice": ["GNU General Public License", "version 3"],
+    "CC-BY-NC-4.0-notice": ["CC BY-NC 4.0"], "CC-BY-4.0-notice": ["Creative Commons Attribution 4.0"], "BSD-3-Clause": ["endorse or promote products"],
+    "Apache-2.0-header": ["Apache License"], "GPL-3.0-header": ["GNU General Public License", "version 3"], "MPL-2.0-header": ["Mozilla Public License"],
+}
 COMMON = "a an and are as at be by for from in is it of on or that the this to was were with you".split()
 
 # Words are runs of ASCII letters, ASCII digits and bytes beyond ASCII.
@@ -95,8 +103,11 @@ def align(template: list[int], text: list[int]) -> list[tuple[int, int]]:
 
 
 class _Template:
-    def __init__(self, text: str, common: set[int], min_coverage: float):
+    def __init__(self, text: str, common: set[int], min_coverage: float, required: list[str] = []):  # noqa: B006
         self.words = split_words(text)
+        runs = [split_words(x) for x in required]
+        firsts = [(next((i for i in range(len(self.words)) if self.words[i:i + len(r)] == r), None), len(r)) for r in runs]
+        self.runs = [(i, n) for i, n in firsts if i is not None]
         counts = Counter(self.words)
         self.place = {w: i for i, w in enumerate(self.words) if counts[w] == 1 and w not in common}
         n = len(self.words)
@@ -105,6 +116,11 @@ class _Template:
         self.least = max(1, len(self.place) - (n - self.needed))
         self.slack = max(4, n // 2)
 
+    def named(self, pairs: list[tuple[int, int]]) -> bool:
+        """Whether all required runs are aligned without a gap."""
+        at = dict(pairs)
+        return all(i in at and all(at.get(i + k) == at[i] + k for k in range(n)) for i, n in self.runs)
+
 
 def _places(found: list[tuple[int, int]], template: _Template) -> Iterator[tuple[int, int]]:
     """Regions that hold enough seeds: (place, word) of the text's seeds in order, those of one region start close together."""
@@ -146,15 +162,13 @@ def scan_words(words: list[int], seeds: list[tuple[int, int]], templates: list[t
             while rest:
                 lo, hi = rest.pop()
                 pairs = align(t.words, words[lo:hi])
-                if len(pairs) < t.needed:
-                    # Words that the region repeats are no anchors; narrower windows hold them once.
+                if len(pairs) < t.needed or pairs[-1][1] - pairs[0][1] >= 2 * len(t.words) or not t.named(pairs):
+                    # Words that the region repeats are no anchors; narrower windows hold them once, and no wide alignment.
                     if hi - lo > len(t.words) + t.slack:
                         step = max(1, len(t.words) // 2)
                         rest += [(x, min(hi, x + len(t.words) + t.slack // 2)) for x in range(lo, hi - t.needed + 1, step) if min(hi, x + len(t.words) + t.slack // 2) - x < hi - lo]
                     continue
                 first, end = lo + pairs[0][1], lo + pairs[-1][1] + 1
-                if end - first > 2 * len(t.words):
-                    continue
                 found.append((name, len(pairs), len(t.words), first, end))
                 rest += [(x, y) for x, y in ((lo, first), (end, hi)) if y - x >= t.needed]
     kept: list[tuple[str, int, int, int, int]] = []
@@ -169,7 +183,7 @@ def _scan(templates: dict[str, str], min_coverage: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = set(split_words(" ".join(COMMON)))
-        known = [(name, _Template(text, common, min_coverage)) for name, text in templates.items()]
+        known = [(name, _Template(text, common, min_coverage, REQUIRED.get(name, []))) for name, text in templates.items()]
         keys = np.sort(np.array(sorted({w for _, t in known for w in t.place}), np.uint64))
         if not len(keys):
             return
@@ -199,7 +213,7 @@ def find_licenses(docs: DataFrame, templates: dict[str, str] | None = None, min_
     """doc_id, license, coverage, n_aligned, start, end (code points) of each license notice or text found in ``docs``.
 
     A place is looked at if it holds so many of a template's rarer words that ``min_coverage`` can be reached at all, and
-    reported if that share of the template's words is aligned. Of overlapping finds the one with more aligned words stays.
+    reported if that share of the template's words is aligned, with the words of ``REQUIRED`` in one run each. Of overlapping finds the one with more aligned words stays.
 
     Cases: NULL and empty texts hold nothing; a notice that a document repeats is reported each time; repeated rows are
     reported for each row; NULL ids are reported as such; templates without words are never found; an empty table gives

@@ -388,6 +388,15 @@ def test_licenses_in_documents(docs, texts, spark, empty):
     assert licenses.find_licenses(empty).count() == 0
 
 
+def test_near_misses_get_no_other_license(spark):
+    bsd = licenses.TEMPLATES["BSD-2-Clause"]
+    rows = ["Released under the BSD License.", "Licensed under CC BY 4.0.", "This work is licensed under the GNU General Public License, version 2.",
+            "This work is licensed under the GNU Lesser General Public License, version 3.", licenses.TEMPLATES["GPL-3.0-header"].replace("GNU General", "GNU Affero General"),
+            licenses.TEMPLATES["BSD-3-Clause"], bsd, "Released under the MIT License."]
+    found = {r["doc_id"]: r["license"] for r in licenses.find_licenses(spark.createDataFrame([(i, t, "en", "s") for i, t in enumerate(rows)], SCHEMA)).collect()}
+    assert found == {5: "BSD-3-Clause", 6: "BSD-2-Clause", 7: "MIT-notice"}
+
+
 # --- 8 --------------------------------------------------------------------------------------------------------------
 
 def plain_model(types, order):
