@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import shared_dir
+from .centroids import CLUSTERS_SQL, cluster_vectors
 from .debruijn import remove_repeats
 from .decontaminate import find_leaks
 from .licenses import find_licenses
@@ -104,6 +105,11 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_digest(find_secrets(_table(spark, folder, "documents")))
 
 
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Clusters of all embeddings of 64 components after five rounds: nearest centroid, distance, inertia."""
+    return cluster_vectors(_table(spark, folder, "embeddings"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the corpus pipeline over all documents."""
     import corpus_pipeline
@@ -113,8 +119,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_minhash, op4_packing, op5_token_rollups, op6_substring_dedup, op7_licenses, op8_quality, op9_decontamination,
-                                   op10_secrets, pipeline)}
+                                   op10_secrets, op13_centroids, pipeline)}
 
 
 def checks() -> dict[str, str]:
-    return {"op2_line_dedup": LINES_SQL}
+    return {"op2_line_dedup": LINES_SQL, "op13_centroids": CLUSTERS_SQL}

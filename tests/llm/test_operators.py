@@ -6,9 +6,11 @@ import re
 import sys
 from collections import Counter, defaultdict
 
-import numpy as np
-import pytest
-from pyspark.sql import functions as F
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # training is many small products: one thread each
+
+import numpy as np  # noqa: E402
+import pytest  # noqa: E402
+from pyspark.sql import functions as F  # noqa: E402
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
