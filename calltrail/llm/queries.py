@@ -19,6 +19,7 @@ from .minhash import NEAR, near_duplicates
 from .packing import pack, word_count
 from .pii import digest as pii_digest
 from .pii import find_pii
+from .prefix_trie import TRIE_SQL, prefix_trie
 from .quality import quality
 from .rollups import bpe_counter, commit_batch, totals, word_counter
 from .secrets import digest as secret_digest
@@ -105,6 +106,11 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_digest(find_secrets(_table(spark, folder, "documents")))
 
 
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations: members, children, leaves, repeated words, digest of those that end there."""
+    return prefix_trie(_table(spark, folder, "conversations"))
+
+
 def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
     """Clusters of all embeddings of 64 components after five rounds: nearest centroid, distance, inertia."""
     return cluster_vectors(_table(spark, folder, "embeddings"))
@@ -119,8 +125,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_minhash, op4_packing, op5_token_rollups, op6_substring_dedup, op7_licenses, op8_quality, op9_decontamination,
-                                   op10_secrets, op13_centroids, pipeline)}
+                                   op10_secrets, op12_prefix_trie, op13_centroids, pipeline)}
 
 
 def checks() -> dict[str, str]:
-    return {"op2_line_dedup": LINES_SQL, "op13_centroids": CLUSTERS_SQL}
+    return {"op2_line_dedup": LINES_SQL, "op12_prefix_trie": TRIE_SQL, "op13_centroids": CLUSTERS_SQL}
