@@ -13,6 +13,7 @@ from ..session import shared_dir
 from .centroids import CLUSTERS_SQL, cluster_vectors
 from .debruijn import remove_repeats
 from .decontaminate import find_leaks
+from .languages import identify_languages
 from .licenses import find_licenses
 from .lines import LINES_SQL, drop_boilerplate, host_of, html_lines
 from .minhash import NEAR, near_duplicates
@@ -106,6 +107,11 @@ def op10_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secret_digest(find_secrets(_table(spark, folder, "documents")))
 
 
+def op11_languages(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from those that are not held out: doc_id, held_out, lang_pred, score, ambiguous."""
+    return identify_languages(_table(spark, folder, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     """Nodes of the prefix trie of all rebuilt conversations: members, children, leaves, repeated words, digest of those that end there."""
     return prefix_trie(_table(spark, folder, "conversations"))
@@ -125,7 +131,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_pii, op2_line_dedup, op3_minhash, op4_packing, op5_token_rollups, op6_substring_dedup, op7_licenses, op8_quality, op9_decontamination,
-                                   op10_secrets, op12_prefix_trie, op13_centroids, pipeline)}
+                                   op10_secrets, op11_languages, op12_prefix_trie, op13_centroids, pipeline)}
 
 
 def checks() -> dict[str, str]:
