@@ -69,15 +69,48 @@ def number_text(x: ColumnLike) -> Column:
     return F.when(value == F.lit(0.0), F.lit("0")).otherwise(F.coalesce(short, value.cast("string")))
 
 
+def is_json(text: ColumnLike) -> Column:
+    """True for a text that is one JSON value, with nothing behind it; keys may repeat."""
+    listed = F.from_json(F.concat(F.lit("["), as_col(text), F.lit("]")), "array<string>")
+    return F.coalesce(F.size(listed) == 1, F.lit(False))
+
+
+def _members(doc: Column, leave_out: Iterable[str] = ()) -> Column:
+    """Members of a JSON object as (key, value) entries; of a repeated key the last one stays, as for web clients.
+
+    NULL for what is no object, and for an object inside which a nested key repeats.
+    """
+    entries = F.map_entries(F.from_json(doc, "map<string,variant>"))
+    return let(entries, lambda all_: F.filter(all_, lambda e, i: ~e["key"].isin(*leave_out) & ~F.exists(
+        F.slice(all_, i + 2, F.greatest(F.size(all_), F.lit(1))), lambda later: later["key"] == e["key"])))
+
+
+def _appended(doc: Column, members: Column) -> Column:
+    """``doc`` with the members of a JSON object behind its own; readers take the last of a repeated key."""
+    inner = F.regexp_replace(F.trim(members), r"^\{\s*|\s*\}$", "")
+    return F.when(inner == "", doc).otherwise(F.concat(F.regexp_replace(F.rtrim(doc), r"\}$", ","), inner, F.lit("}")))
+
+
 def overlay_numbers(doc: ColumnLike, figures: ColumnLike, names: Iterable[str]) -> Column:
     """``doc`` (a JSON object) with its top-level keys ``names`` replaced by those of the JSON object ``figures``.
 
     All other keys stay, nested ones too, whatever stands in them; a ``doc`` that is no object gives ``figures``.
     """
-    old = F.from_json(as_col(doc), "map<string,variant>")
-    fresh = F.from_json(as_col(figures), "map<string,variant>")
-    kept = F.map_filter(old, lambda k, _: ~k.isin(*names))
-    return F.when(old.isNotNull() & F.json_object_keys(as_col(doc)).isNotNull(), F.to_json(F.map_concat(kept, fresh))).otherwise(as_col(figures))
+    doc, figures = as_col(doc), as_col(figures)
+    kept = lambda fresh: F.filter(_members(doc, names), lambda e: ~F.exists(fresh, lambda f: f["key"] == e["key"]))
+    merged = F.to_json(F.map_from_entries(let(_members(figures), lambda fresh: F.concat(kept(fresh), fresh))))
+    is_object = F.json_object_keys(doc).isNotNull()
+    return F.when(is_object, F.coalesce(merged, F.when(is_json(doc), _appended(doc, figures)), figures)).otherwise(figures)
+
+
+def with_member(doc: ColumnLike, key: str, value: str) -> Column:
+    """``doc`` (a JSON object) with its key ``key`` holding the JSON text ``value``; a ``doc`` without the key is only added to."""
+    doc = as_col(doc)
+    member = f'"{key}":{value}'
+    added = F.when(F.size(F.json_object_keys(doc)) > 0, _appended(doc, F.lit("{" + member + "}"))).otherwise(F.lit("{" + member + "}"))
+    others = F.to_json(F.map_from_entries(_members(doc, [key])))
+    replaced = F.when(others == "{}", F.lit("{" + member + "}")).otherwise(_appended(others, F.lit("{" + member + "}")))
+    return F.when(F.array_contains(F.json_object_keys(doc), key), F.coalesce(replaced, added)).otherwise(added)
 
 
 def json_like(text: ColumnLike, opener: str) -> Column:

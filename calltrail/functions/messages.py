@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import MESSAGES_DDL, MESSAGE_DDL
-from .base import ColumnLike, as_col, blank_to_null, js_trim, json_like, utf16_length
+from .base import ColumnLike, as_col, blank_to_null, is_json, js_trim, json_like, utf16_length
 
 PLACEHOLDER = r"\{\{[\s]*([A-Za-z0-9_]+)[\s]*\}\}"
 
@@ -14,12 +14,17 @@ PLACEHOLDER = r"\{\{[\s]*([A-Za-z0-9_]+)[\s]*\}\}"
 def parse_messages(doc: ColumnLike) -> Column:
     """JSON array text to ``array<struct<role,content>>``; anything else gives an empty array.
 
-    Elements that are no objects are left out, the others stay.
+    Elements that are no objects are left out, the others stay. Of a repeated key the last one counts.
     """
     c = as_col(doc)
     objects = F.filter(F.from_json(c, "array<variant>"), lambda v: F.schema_of_variant(v).startswith("OBJECT"))
     parsed = F.transform(objects, lambda v: F.from_json(F.to_json(v), MESSAGE_DDL))
-    return F.when(json_like(c, "["), F.coalesce(parsed, F.array().cast(MESSAGES_DDL))).otherwise(
+    # A variant takes neither repeated keys nor more than 128 MB; then the elements are read one by one from the text.
+    direct = F.filter(F.from_json(c, MESSAGES_DDL), lambda m: m.isNotNull())
+    texts = F.filter(F.from_json(c, "array<string>"), lambda x: json_like(x, "{"))
+    single = F.filter(F.transform(texts, lambda x: F.from_json(x, MESSAGE_DDL)), lambda m: m.isNotNull())
+    rest = F.when(is_json(c), F.coalesce(direct, single))
+    return F.when(json_like(c, "["), F.coalesce(parsed, rest, F.array().cast(MESSAGES_DDL))).otherwise(
         F.array().cast(MESSAGES_DDL))
 
 
@@ -47,7 +52,12 @@ def last_user_message(messages: ColumnLike) -> Column:
 
 
 def _compact(doc: Column) -> Column:
-    return F.to_json(F.try_parse_json(doc))
+    return F.coalesce(F.to_json(F.try_parse_json(doc)), F.get_json_object(doc, "$"))
+
+
+def _beyond_variant(doc: Column, opener: str) -> Column:
+    """True for an array or object that no variant holds: keys repeat, or it is too large."""
+    return F.try_parse_json(doc).isNull() & json_like(doc, opener) & is_json(doc)
 
 
 def canonical_inputs(input_messages: ColumnLike, raw_request: ColumnLike) -> Column:
@@ -61,7 +71,9 @@ def canonical_inputs(input_messages: ColumnLike, raw_request: ColumnLike) -> Col
     def one(text: Column) -> Column:
         return F.array(F.struct(F.lit("user").alias("role"), text.alias("content")))
 
-    return (F.when(variant.isNull() | kind.isin("VOID"), F.array().cast(MESSAGES_DDL))
+    return (F.when(_beyond_variant(doc, "["), parse_messages(doc))
+            .when(_beyond_variant(doc, "{"), one(_compact(doc)))
+            .when(variant.isNull() | kind.isin("VOID"), F.array().cast(MESSAGES_DDL))
             .when(kind.startswith("ARRAY"), parse_messages(doc))
             .when(kind.startswith("OBJECT"), one(_compact(doc)))
             .when(scalar.isin("", "0", "false"), F.array().cast(MESSAGES_DDL))
@@ -82,7 +94,11 @@ def canonical_output(output_message: ColumnLike, raw_response: ColumnLike) -> Co
         return F.struct(r.alias("role"), text.alias("content"))
 
     kept = message(F.get_json_object(doc, "$.role"), F.get_json_object(doc, "$.content"))
-    return (F.when(variant.isNull() | kind.isin("VOID"), F.lit(None))
+    last = F.from_json(doc, MESSAGE_DDL)
+    return (F.when(_beyond_variant(doc, "{") & has_content, message(last["role"], last["content"]))
+            .when(_beyond_variant(doc, "{"), message(F.coalesce(blank_to_null(last["role"]), F.lit("assistant")), _compact(doc)))
+            .when(_beyond_variant(doc, "["), message(F.lit("assistant"), _compact(doc)))
+            .when(variant.isNull() | kind.isin("VOID"), F.lit(None))
             .when(kind.startswith("OBJECT") & has_content, kept)
             .when(kind.startswith("OBJECT"), message(role, _compact(doc)))
             .when(kind.startswith("ARRAY"), message(F.lit("assistant"), _compact(doc)))

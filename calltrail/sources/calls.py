@@ -170,7 +170,7 @@ def normalize_calls(calls: DataFrame, models: DataFrame, provider: str = "deepin
 
 def drop_blocked(calls: DataFrame, banned: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(calls that pass the keyword guardrail, blocked calls with keyword and message)."""
-    check = guardrail_check(parse_messages(F.get_json_object("request", "$.messages")), *([banned] if banned else []))
+    check = guardrail_check(parse_messages(F.from_json("request", "struct<messages:string>")["messages"]), *([banned] if banned else []))
     marked = calls.withColumn("_check", check)
     passed = marked.filter(~F.col("_check.blocked")).drop("_check")
     blocked = marked.filter(F.col("_check.blocked")).select("id", "_check.keyword", "_check.message", "created_at")

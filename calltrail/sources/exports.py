@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.base import blank_to_null, number_text
+from ..functions.base import blank_to_null, is_json, number_text
 from ..operators.filters import filter_requests
 
 # Columns of the CSV export, in order.
@@ -55,7 +55,7 @@ def finetuning_lines(requests: DataFrame) -> DataFrame:
     keys keep their order and numbers their form.
     """
     inputs, output = F.trim("input_messages"), blank_to_null(F.trim("output_message"))
-    usable = (F.coalesce(F.json_array_length(inputs), F.lit(0)) > 0) & F.try_parse_json(output).isNotNull() & ~output.isin(
+    usable = (F.coalesce(F.json_array_length(inputs), F.lit(0)) > 0) & is_json(output) & ~output.isin(
         "null", "false", "0", '""')
     value = F.concat(F.lit('{"messages":'), F.regexp_replace(inputs, r"\s*\]$", ""), F.lit(","), output, F.lit("]}"))
     return requests.filter(usable).select("created_at", "id", value.alias("value"))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.base import blank_to_null, once
+from ..functions.base import blank_to_null, is_json, once, with_member
 from ..functions.messages import parse_created_at
 from ..operators.evaluation import BAD, text_fields
 from ..schema import REQUESTS
@@ -19,11 +19,6 @@ IMPORTED_TAG = "imported"
 LINE_NAMES, PACKED = ("jsonl", "ndjson"), ("gz", "bz2", "zst", "lz4", "snappy", "deflate")
 
 
-def _is_one(value: str) -> Column:
-    """True for a text that is one JSON value, with nothing behind it."""
-    return F.coalesce(F.size(F.from_json(F.concat(F.lit("["), value, F.lit("]")), "array<string>")) == 1, F.lit(False))
-
-
 def read_records(spark: SparkSession, path: str, lines: bool | None = None) -> DataFrame:
     """(seq, value): one JSON record text per row, from a file or a folder of files.
 
@@ -34,22 +29,23 @@ def read_records(spark: SparkSession, path: str, lines: bool | None = None) -> D
     kind that is no single JSON value is taken by line too, so that nothing is
     left out.
     """
-    def by_line(glob: str | None) -> DataFrame:
-        reader = spark.read if glob is None else spark.read.option("pathGlobFilter", glob)
-        return reader.text(path).filter(F.trim("value") != "").select("value")
+    def by_line(names: Column | None) -> DataFrame:
+        read = spark.read.text(path)
+        read = read if names is None else read.filter(names)
+        return read.filter(F.trim("value") != "").select("value")
 
     def whole(names: Column | None) -> DataFrame:
         docs = spark.read.text(path, wholetext=True)
         docs = docs if names is None else docs.filter(~names)
         parts = F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")
         listed = F.coalesce(F.from_json("value", "array<string>"), parts)
-        items = F.when(~_is_one("value"), parts).when(F.ltrim("value").startswith("["), listed).otherwise(F.array("value"))
+        items = F.when(~is_json("value"), parts).when(F.ltrim("value").startswith("["), listed).otherwise(F.array("value"))
         return docs.select(F.explode(items).alias("value"))
 
     if lines is None:
-        names = [n + p for n in LINE_NAMES for p in ("", *(f".{x}" for x in PACKED))]
+        # One predicate parts the files; Spark applies it to the list of files, so none is read twice.
         of_lines = F.lower("_metadata.file_name").rlike(rf"\.({'|'.join(LINE_NAMES)})(\.({'|'.join(PACKED)}))?$")
-        records = by_line("*.{" + ",".join([*names, *(n.upper() for n in names)]) + "}").unionAll(whole(of_lines))
+        records = by_line(of_lines).unionAll(whole(of_lines))
     else:
         records = by_line(None) if lines else whole(None)
     return records.select(F.monotonically_increasing_id().alias("seq"), "value")
@@ -69,7 +65,7 @@ def _number(name: str) -> Column:
 def _document(name: str, openers: str) -> Column:
     """A field that holds a JSON array or object (or the text of one), else NULL."""
     text = blank_to_null(F.col(f"r.{name}"))
-    return F.when(F.substring(F.ltrim(text), 1, 1).isin(*openers) & F.try_parse_json(text).isNotNull(), text)
+    return F.when(F.substring(F.ltrim(text), 1, 1).isin(*openers) & is_json(text), text)
 
 
 def import_records(records: DataFrame, existing: DataFrame | None = None, now: Column | None = None,
@@ -84,7 +80,7 @@ def import_records(records: DataFrame, existing: DataFrame | None = None, now: C
     now = F.current_timestamp() if now is None else now
     names = tuple(f.name for f in REQUESTS) + ("cost",)
     rows = once(records.select("seq", "value"), r=text_fields("value", names))
-    readable = F.col("r").isNotNull() & F.col(f"r.{BAD}").isNull() & _is_one("value")
+    readable = F.col("r").isNotNull() & F.col(f"r.{BAD}").isNull() & is_json("value")
     unreadable = rows.filter(~readable).select("seq", F.lit(None).cast("string").alias("id"), F.lit("not a JSON object").alias("reason"))
     rows = once(rows.filter(readable),
                 _id=F.coalesce(blank_to_null(F.col("r.id")), _uuid_from(F.lit(import_id), F.col("seq").cast("string"), F.col("value"))),
@@ -95,9 +91,7 @@ def import_records(records: DataFrame, existing: DataFrame | None = None, now: C
     model = F.col("_model")
     total = F.coalesce(F.nullif(_number("total_tokens").cast("long"), F.lit(0)), F.col("_prompt") + F.col("_completion"))
     cost = F.coalesce(F.nullif(_number("estimated_cost"), F.lit(0.0)), _number("cost"))
-    filled = F.size(F.json_object_keys("_meta")) > 0
-    metadata = F.when(filled, F.concat(F.regexp_replace(F.rtrim("_meta"), r"\}$", ""), F.lit(',"imported":true}'))).otherwise(
-        F.lit('{"imported":true}'))
+    metadata = F.when(F.col("_meta").isNull(), F.lit('{"imported":true}')).otherwise(with_member("_meta", IMPORTED_TAG, "true"))
     tags = F.when(F.array_contains("_tags", IMPORTED_TAG), F.col("_tags")).otherwise(F.array_append("_tags", IMPORTED_TAG))
     given = {
         "id": F.col("_id"), "model": model, "provider": F.coalesce(blank_to_null(F.col("r.provider")), F.lit("imported")),

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from calltrail.functions.base import overlay_numbers
-from calltrail.functions.messages import parse_messages
+from calltrail.functions.messages import canonical_inputs, canonical_output, parse_messages
 from calltrail.functions.pii import _mask_json, mask_pii_json
 from calltrail.operators import analytics as A
 from calltrail.operators import filters as B
@@ -16,6 +16,7 @@ from calltrail.plans.views import requests
 from calltrail.sources import calls as S
 from calltrail.sources import imports as I
 from calltrail.sources.changes import insert_if_absent
+from calltrail.sources.exports import finetuning_lines
 from calltrail.sources.tables import load_table, write_requests
 from calltrail.streaming import jobs as J
 from conftest import one
@@ -135,3 +136,67 @@ def test_sink_reads_few_folders(spark, tmp_path):
 def test_page_after_refuses_more_than_a_page(spark, folder):
     with pytest.raises(ValueError):
         B.page_after(requests(spark, folder), None, None, limit=501)
+
+
+def test_import_takes_names_in_any_case(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for k, name in enumerate(["a.Jsonl", "b.JSONL", "c.nDjson"]):
+        (folder / name).write_text(_lines(f"{k}x", f"{k}y"))
+    with gzip.open(folder / "d.jsonl.GZ", "wt") as f:
+        f.write(_lines("3x"))
+    (folder / "e.JSON").write_text(json.dumps([{"id": "4x"}]))
+    names = {r["value"] for r in I.read_records(spark, str(folder)).collect()}
+    assert {f'"{k}x"' for k in (0, 1, 2, 4)} <= {json.dumps(json.loads(v)["id"]) for v in names if v.startswith("{")}
+
+
+def test_import_keeps_documents_with_repeated_keys(spark):
+    value = '{"id":"r1","input_messages":[{"role":"user","role":"user","content":"x"}],"output_message":{"role":"a","content":1,"content":"y"},"metadata":{"k":1,"k":2}}'
+    got, rejects = I.import_records(spark.createDataFrame([(0, value)], "seq long, value string"))
+    row = got.first()
+    assert rejects.count() == 0
+    assert json.loads(row["input_messages"]) == [{"role": "user", "content": "x"}]
+    assert json.loads(row["output_message"]) == {"role": "a", "content": "y"}
+    assert json.loads(row["metadata"]) == {"k": 2, "imported": True}
+
+
+def test_metadata_survives_export_and_import(spark):
+    for first in ('{"imported":false,"k":1}', '{"k":1}', '{"imported":true}', '{"imported":1,"imported":2,"k":{"imported":3}}', '{}', '{"imported":0,"n":{"a":1,"a":2}}'):
+        text, want = first, {**json.loads(first), "imported": True}
+        for _ in range(3):
+            records = spark.createDataFrame([(0, json.dumps({"id": "m"})[:-1] + ',"metadata":' + text + "}")], "seq long, value string")
+            text = I.import_records(records)[0].first()["metadata"]
+            assert json.loads(text) == want
+
+
+@pytest.mark.parametrize("request_", [
+    '{"messages":[{"role":"user","role":"user","content":"a jailbreak"}]}',
+    '{"messages":[{"role":"user","content":"fine"},"x",{"role":"user","content":"fine","content":"a jailbreak"}]}',
+    '{"messages":[{"role":"user","content":"fine"}],"messages":[{"role":"user","content":"a jailbreak"}]}',
+    '{"messages":[{"role":"user","content":"a jailbreak","extra":{"a":1,"a":2}}]}'])
+def test_repeated_keys_are_no_way_round_the_guardrail(spark, request_):
+    calls = spark.createDataFrame([("c1", request_, None)], "id string, request string, created_at timestamp")
+    passed, blocked = S.drop_blocked(calls)
+    assert passed.count() == 0 and blocked.first()["keyword"] == "jailbreak"
+
+
+def test_repeated_keys_in_messages(spark):
+    doc = '[{"role":"a","role":"u","content":"x"},3,null,"s",{"content":"y","role":"v","z":{"q":1,"q":2}}]'
+    assert [tuple(m) for m in one(spark, parse_messages(F.lit(doc)))] == [("u", "x"), ("v", "y")]
+    assert one(spark, parse_messages(F.lit(doc + " x"))) == [] and one(spark, parse_messages(F.lit(doc[:-1]))) == []
+    assert [tuple(m) for m in one(spark, canonical_inputs(F.lit(doc), F.lit(None)))] == [("u", "x"), ("v", "y")]
+    assert json.loads(one(spark, canonical_inputs(F.lit('{"a":1,"a":2}'), F.lit(None)))[0]["content"]) == {"a": 2}
+    assert tuple(one(spark, canonical_output(F.lit('{"role":"a","content":"x","content":"y"}'), F.lit(None)))) == ("a", "y")
+
+
+@pytest.mark.parametrize("doc", ['{"bleu":1,"bleu":2,"k":3}', '{"k":1,"k":3}', '{"k":3,"deep":{"a":1,"a":2}}', '{"k":3,"bleu":1,"deep":[{"a":1,"a":2}]}'])
+def test_overlay_of_repeated_keys(spark, doc):
+    got = json.loads(one(spark, overlay_numbers(F.lit(doc), F.lit('{"bleu":0.9}'), ["bleu"])))
+    assert got == {**json.loads(doc), "bleu": 0.9}
+    assert json.loads(one(spark, overlay_numbers(F.lit(doc), F.lit("{}"), ["x"]))) == json.loads(doc)
+
+
+def test_fine_tuning_lines_keep_answers_with_repeated_keys(spark):
+    rows = requests(spark, "/root/testdata/sf0.001").limit(1).withColumns({
+        "input_messages": F.lit('[{"role":"user","content":"q"}]'), "output_message": F.lit('{"role":"a","content":"x","content":"y"}')})
+    assert json.loads(finetuning_lines(rows).first()["value"])["messages"][1] == {"role": "a", "content": "y"}
