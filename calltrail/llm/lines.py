@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import free_name, written
 
 #: Share of a host's pages above which a line is boilerplate, and the least number of pages it must be on.
 MAX_RATIO, MIN_PAGES = 0.10, 3
@@ -51,8 +51,9 @@ def boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_R
             .groupBy(found["host"]).agg(F.collect_list("line").alias("lines")))
 
 
-def drop_boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, keep_emptied: bool = False) -> DataFrame:
-    """``pages`` with ``text`` freed of boilerplate lines, and the columns ``_n_lines`` and ``_n_dropped`` (lines that are not blank).
+def drop_boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float = MAX_RATIO, min_pages: int = MIN_PAGES, keep_emptied: bool = False,
+                     n_lines: str = "_n_lines", n_dropped: str = "_n_dropped") -> DataFrame:
+    """``pages`` with ``text`` freed of boilerplate lines, and the columns ``n_lines`` and ``n_dropped`` (lines that are not blank).
 
     A line is judged without white space at its ends and counts once a page. Within a host (``host``; pages without one
     form a host) a line on at least ``min_pages`` pages and on more than ``max_ratio`` of them is dropped wherever it
@@ -60,22 +61,24 @@ def drop_boilerplate(pages: DataFrame, host: str, text: str, max_ratio: float =
     loses none.
 
     Cases: NULL text stays NULL with no lines; repeated rows count as pages of their own; a host of one or two pages
-    loses nothing; an empty table stays empty; other columns pass through, whatever their names apart from these two.
+    loses nothing; an empty table stays empty; other columns pass through, whatever their names; the two new ones need names
+    that ``pages`` does not have (``shared.free_name`` gives them).
     """
+    host_name, bad_name = free_name(pages, "_host"), free_name(pages, "_bad")
     bad = written(boilerplate(pages, host, text, max_ratio, min_pages), "boilerplate")
-    bad = bad.select(F.col("host").alias("_host"), F.col("lines").alias("_bad"))
-    joined = pages.join(bad, pages[host].eqNullSafe(bad["_host"]), "left")
+    bad = bad.select(F.col("host").alias(host_name), F.col("lines").alias(bad_name))
+    joined = pages.join(bad, F.col(host).eqNullSafe(F.col(host_name)), "left")
     lines = F.split(F.col(text), "\n", -1)
-    dropped = lambda x: F.coalesce(F.array_contains("_bad", _key(x)), F.lit(False)) & (_bare(x) != "")
-    kept = F.when(F.col("_bad").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x: ~dropped(x)), "\n"))
+    dropped = lambda x: F.coalesce(F.array_contains(bad_name, _key(x)), F.lit(False)) & (_bare(x) != "")
+    kept = F.when(F.col(bad_name).isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x: ~dropped(x)), "\n"))
     filled = F.coalesce(F.size(F.filter(lines, lambda x: _bare(x) != "")), F.lit(0))
-    n_bad = F.when(F.col("_bad").isNull(), 0).otherwise(F.size(F.filter(lines, dropped)))
+    n_bad = F.when(F.col(bad_name).isNull(), 0).otherwise(F.size(F.filter(lines, dropped)))
     if keep_emptied:
         whole = (n_bad > 0) & (n_bad == filled)
         kept, n_bad = F.when(whole, F.col(text)).otherwise(kept), F.when(whole, 0).otherwise(n_bad)
-    return joined.select(*[kept.alias(c) if c == text else pages[c] for c in pages.columns],
-                         F.when(F.col(text).isNull(), 0).otherwise(filled).cast("long").alias("_n_lines"),
-                         F.when(F.col(text).isNull(), 0).otherwise(n_bad).cast("long").alias("_n_dropped"))
+    return joined.select(*[kept.alias(c) if c == text else F.col(c) for c in pages.columns],
+                         F.when(F.col(text).isNull(), 0).otherwise(filled).cast("long").alias(n_lines),
+                         F.when(F.col(text).isNull(), 0).otherwise(n_bad).cast("long").alias(n_dropped))
 
 
 LINES_SQL = rf"""

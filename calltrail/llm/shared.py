@@ -22,37 +22,46 @@ def written(df: DataFrame, label: str) -> DataFrame:
 FILTER_BITS = 1 << 25
 
 
-def _marked(df: DataFrame, keys: DataFrame, column: str, bits: int) -> DataFrame:
-    """``df`` with ``_likely``: whether ``column`` (a long) may be among the keys; false means it is surely not.
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores behind it as it takes to differ from all columns of ``df``, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _marked(df: DataFrame, keys: DataFrame, column: str, bits: int) -> tuple[DataFrame, str]:
+    """``df`` with a new last column, and its name: whether ``column`` (a long) may be among the keys; false means it is surely not.
 
     A one-hash Bloom filter as a table of bitmaps; with its size bound it can be broadcast for any number of keys.
     """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    maps = (keys.select(place(F.col(column)).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits")))
+    bucket, bitmap, likely = (free_name(df, n) for n in ("_bucket", "_bits", "_likely"))
+    maps = (keys.select(place(F.col(column)).alias("p")).groupBy(F.bitmap_bucket_number("p").alias(bucket))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias(bitmap)))
     maps = F.broadcast(written(maps, "filter"))
     spot = F.bitmap_bit_position(place(F.col(column)))
-    byte = F.conv(F.hex(F.substring("_bits", (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
     hit = byte.bitwiseAND(F.element_at(F.array(*[F.lit(1 << k) for k in range(8)]), (spot % 8 + 1).cast("int")))
-    return (df.withColumn("_bucket", F.bitmap_bucket_number(place(F.col(column)))).join(maps, "_bucket", "left")
-            .select(*df.columns, F.coalesce(hit > 0, F.lit(False)).alias("_likely")))
+    return (df.withColumn(bucket, F.bitmap_bucket_number(place(F.col(column)))).join(maps, bucket, "left")
+            .select(*df.columns, F.coalesce(hit > 0, F.lit(False)).alias(likely))), likely
 
 
-def likely_in(df: DataFrame, keys: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
-    """Rows of ``df`` whose ``column`` may be in ``keys`` (same column name); spares the join that follows the others."""
-    return _marked(df, keys, column, bits).filter("_likely").drop("_likely")
+def split_likely(df: DataFrame, keys: DataFrame, column: str, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """Rows of ``df`` whose ``column`` may be in ``keys`` (same column name), and those where it surely is not."""
+    marked, likely = _marked(df, keys, column, bits)
+    return marked.filter(F.col(likely)).drop(likely), marked.filter(~F.col(likely)).drop(likely)
 
 
-def split_likely(df: DataFrame, keys: DataFrame, column: str, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
-    """Rows of ``df`` whose ``column`` may be in ``keys``, and those where it surely is not."""
-    marked = _marked(df, keys, column, bits)
-    return marked.filter("_likely").drop("_likely"), marked.filter("NOT _likely").drop("_likely")
+def likely_in(df: DataFrame, keys: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
+    """Rows of ``df`` whose ``column`` may be in ``keys`` (same column name); spares the join that follows the others."""
+    return split_likely(df, keys, column, bits)[0]
 
 
 def without(df: DataFrame, keys: DataFrame, column: str, bits: int = FILTER_BITS) -> DataFrame:
     """Rows of ``df`` whose ``column`` is not in ``keys`` (written, same column name). Only rows that may be go through a shuffle."""
-    marked = _marked(df, keys, column, bits)
-    return marked.filter("NOT _likely").unionAll(marked.filter("_likely").join(keys, column, "left_anti").select(*marked.columns)).drop("_likely")
+    maybe, surely_not = split_likely(df, keys, column, bits)
+    return surely_not.unionAll(maybe.join(keys, column, "left_anti").select(*df.columns))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
