@@ -13,7 +13,7 @@ from calltrail.llm.lines import drop_boilerplate
 from calltrail.llm.minhash import NEAR, near_duplicates
 from calltrail.llm.packing import pack, word_count
 from calltrail.llm.quality import quality
-from calltrail.llm.shared import likely_in, without, written
+from calltrail.llm.shared import free_name, likely_in, without, written
 from calltrail.session import shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -40,9 +40,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A document that would lose all its lines stays whole: a large group of copies makes all its lines frequent, and near-dedup
     must find it to keep one of them.
     """
-    left = drop_boilerplate(docs, "source", "text", keep_emptied=True)
+    n_lines, n_dropped = free_name(docs, "_n_lines"), free_name(docs, "_n_dropped")
+    left = drop_boilerplate(docs, "source", "text", keep_emptied=True, n_lines=n_lines, n_dropped=n_dropped)
     if "n_chars" in docs.columns:
-        left = left.withColumn("n_chars", F.when(F.col("_n_dropped") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        left = left.withColumn("n_chars", F.when(F.col(n_dropped) == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return left.select(docs.columns)
 
 
