@@ -55,8 +55,8 @@ def signatures(values: np.ndarray, bounds: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct shingle hashes of each row, sorted, and the rows' bounds in them. A shorter row is one shingle."""
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each row, sorted, the rows' bounds in them, and their numbers of words. A shorter row is one shingle."""
     words = find_words(LOWER[data], offsets)
     hashes = word_hashes(words)
     counts = np.diff(words.first)
@@ -73,16 +73,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) ->
         new = np.ones(len(owner), bool)
         new[1:] = (shingles[1:] != shingles[:-1]) | (owner[1:] != owner[:-1])
         shingles, owner = shingles[new], owner[new]
-    return shingles, np.searchsorted(owner, np.arange(len(counts) + 1))
+    return shingles, np.searchsorted(owner, np.arange(len(counts) + 1)), counts.astype(np.int64)
 
 
-def _sketch(bands: int, band_rows: int):
-    out = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("signature", pa.binary())])
+_SKETCH = "doc_id long, n_words long, n_shingles long, set_key binary, signature binary, carried "
+
 
+def _sketch(bands: int, band_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in row_blocks(batch, "text"):
-                values, bounds = shingle_sets(data, offsets)
+                values, bounds, n_words = shingle_sets(data, offsets)
                 sizes = np.diff(bounds)
                 full = np.flatnonzero(sizes)
                 keys: list[bytes | None] = [None] * len(sizes)
@@ -92,7 +93,8 @@ def _sketch(bands: int, band_rows: int):
                     for i, row in zip(full, made):
                         keys[i] = hashlib.blake2b(values[bounds[i]:bounds[i + 1]].tobytes(), digest_size=16).digest()
                         marks[i] = row.tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(sizes), pa.array(keys, pa.binary()), pa.array(marks, pa.binary())], schema=out)
+                yield pa.record_batch({"doc_id": part.column("doc_id"), "n_words": pa.array(n_words), "n_shingles": pa.array(sizes), "set_key": pa.array(keys, pa.binary()),
+                                       "signature": pa.array(marks, pa.binary()), "carried": part.column("carried")})
     return run
 
 
@@ -101,7 +103,7 @@ def _sets_for_targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     out = pa.schema([("band", pa.int32()), ("bucket", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("doc_id", pa.int64()), ("shingles", pa.binary())])
     for batch in batches:
         for part, data, offsets in row_blocks(batch, "text"):
-            values, bounds = shingle_sets(data, offsets)
+            values, bounds, _ = shingle_sets(data, offsets)
             rows = []
             for i, (doc, targets) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("targets").to_pylist())):
                 mine = values[bounds[i]:bounds[i + 1]].tobytes()
@@ -110,30 +112,67 @@ def _sets_for_targets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), out)], schema=out)
 
 
+_PLACED = ("band", "bucket", "lo", "hi")
+# Pairs whose signatures are compared at once.
+_PAIRS = 1 << 16
+
+
+def _pairs(block: np.ndarray, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that are compared at one place: within its block, or across its two blocks."""
+    if lo == hi:
+        return np.triu_indices(len(block), 1)
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    return np.repeat(left, len(right)), np.tile(right, len(left))
+
+
 def _comparable(bands: int, band_rows: int, least: int, percent: int):
-    """Rows of a block pair that have a partner worth comparing in it; a pair counts in its first common band only."""
-    def run(table: pa.Table) -> pa.Table:
-        n = table.num_rows
-        marks = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(n, -1)
-        sizes, block = table.column("n_shingles").to_numpy(), table.column("block").to_numpy()
-        lo, hi = table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        band = table.column("band")[0].as_py()
-        wanted = np.zeros(n, bool)
-        grouped = marks.reshape(n, bands, band_rows)
-        for i in range(n):
-            if lo != hi and block[i] != lo:
+    """Rows, which come sorted by place, that have a partner worth comparing there; a pair counts in its first common band only.
+
+    A place has at most two blocks of rows, so the rows held back for the next batch are few.
+    """
+    def worth(marks: np.ndarray, sizes: np.ndarray, band: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        near = 100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])
+        i, j = i[near], j[near]
+        equal = marks[i] == marks[j]
+        close = equal.sum(1) >= least
+        whole = equal[close].reshape(-1, bands, band_rows).all(2)
+        first = whole.argmax(1) == band[i[close]]
+        return np.concatenate([i[close][first], j[close][first]])
+
+    def rows_of(batch: pa.Table, starts: np.ndarray) -> pa.Table:
+        marks = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(batch.num_rows, -1)
+        sizes, band, block, lo, hi = (batch.column(c).to_numpy() for c in ("n_shingles", "band", "block", "lo", "hi"))
+        wanted = np.zeros(batch.num_rows, bool)
+        left: list[np.ndarray] = []
+        right: list[np.ndarray] = []
+        held = 0
+        for k, start in enumerate(starts[:-1]):
+            i, j = _pairs(block[start:starts[k + 1]], lo[start], hi[start])
+            left.append(i + start)
+            right.append(j + start)
+            held += len(i)
+            if held >= _PAIRS or k == len(starts) - 2:
+                a, b = np.concatenate(left), np.concatenate(right)
+                for at in range(0, len(a), _PAIRS):
+                    wanted[worth(marks, sizes, band, a[at:at + _PAIRS], b[at:at + _PAIRS])] = True
+                left, right, held = [], [], 0
+        return batch.select([*_PLACED, "doc_id"]).filter(pa.array(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            others = np.flatnonzero(block == hi) if lo != hi else np.arange(i + 1, n)
-            small, large = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-            others = others[100 * small >= percent * large]
-            others = others[(marks[others] == marks[i]).sum(1) >= least]
-            if len(others):
-                equal = (grouped[others] == grouped[i]).all(2)
-                others = others[equal.argmax(1) == band]
-                if len(others):
-                    wanted[i] = True
-                    wanted[others] = True
-        return table.select(["band", "bucket", "lo", "hi", "doc_id"]).filter(pa.array(wanted))
+            now = pa.Table.from_batches([batch])
+            now = now if rest is None else pa.concat_tables([rest, now])
+            places = [now.column(c).to_numpy() for c in _PLACED]
+            new = np.logical_or.reduce([x[1:] != x[:-1] for x in places])
+            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            rest = now.slice(int(starts[-1]))
+            if len(starts) > 1:
+                yield from rows_of(now.slice(0, int(starts[-1])), starts).to_batches()
+        if rest is not None:
+            yield from rows_of(rest, np.array([0, rest.num_rows])).to_batches()
     return run
 
 
@@ -180,8 +219,8 @@ def _linked(percent: int):
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bands: int = BANDS, band_rows: int = BAND_ROWS,
-                    percent: int = PERCENT, block_rows: int = BLOCK_ROWS, least_agreeing: float = LEAST_AGREEING) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+                    percent: int = PERCENT, block_rows: int = BLOCK_ROWS, least_agreeing: float = LEAST_AGREEING, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept; with ``carry`` also n_words and those columns of ``docs`` as the struct carried.
 
     Words are lower-cased in A-Z and parted by ASCII white space; shingles have five words, a shorter text is one shingle.
     Documents are linked when 100 * |intersection| >= percent * |union| of their full shingle sets; component_id is the
@@ -195,8 +234,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out in blocks of ``block_rows``, so a bucket of any size spreads over tasks; full sets are made again only for
     documents with a plausible partner and sent to where they are compared; tasks return spanning forests, not all pairs.
     """
-    narrow = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sketched = written(narrow.mapInArrow(_sketch(bands, band_rows), "doc_id long, n_shingles long, set_key binary, signature binary"), "sketches")
+    carried = F.struct(*[F.col(c) for c in carry]) if carry else F.lit(True)
+    wide = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), carried.alias("carried"))
+    sketched = written(wide.mapInArrow(_sketch(bands, band_rows), _SKETCH + wide.schema["carried"].dataType.simpleString()), "sketches")
+    narrow = wide.select("doc_id", "text")
     known = sketched.filter("doc_id IS NOT NULL AND set_key IS NOT NULL")
     nodes = known.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature"))
     nodes = written(nodes, "nodes")
@@ -210,7 +251,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     member = member.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     placed = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "band", "bucket", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "doc_id", "n_shingles", "signature")
-    wanted = placed.groupBy("band", "bucket", "lo", "hi").applyInArrow(
+    wanted = placed.repartition(*_PLACED).sortWithinPartitions(*_PLACED).mapInArrow(
         _comparable(bands, band_rows, int(least_agreeing * bands * band_rows), percent), "band int, bucket long, lo int, hi int, doc_id long")
     targets = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("band", "bucket", "lo", "hi")).alias("targets"))
     targets = written(targets, "targets")
@@ -223,5 +264,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # A hot set key (a third of all rows may be one text) is split by adaptive execution: one side of this join is unique.
     joined = sketched.join(named, "set_key", "left")
     component = F.coalesce("found", "doc_id")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn(
+    return joined.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id"), *(["n_words", "carried"] if carry else [])).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

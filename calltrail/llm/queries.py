@@ -17,7 +17,7 @@ from .languages import identify_languages
 from .licenses import find_licenses
 from .lines import LINES_SQL, drop_boilerplate, host_of, html_lines
 from .minhash import NEAR, near_duplicates
-from .packing import pack, word_count
+from .packing import pack
 from .pii import digest as pii_digest
 from .pii import find_pii
 from .prefix_trie import TRIE_SQL, prefix_trie
@@ -59,10 +59,9 @@ def op4_packing(spark: SparkSession, folder: str) -> DataFrame:
 
     A document without an id takes part in clusters under a hash of its text.
     """
-    docs = _table(spark, folder, "documents").withColumn("_node", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
-    found = near_duplicates(docs, id_col="_node", **NEAR).filter("NOT kept").select(F.col("doc_id").alias("_node"), "component_id").distinct()
-    items = docs.select("_node", "doc_id", word_count(F.col("text")).alias("n_tokens"), "source")
-    return pack(items.join(found, "_node", "left").withColumn("cluster", F.coalesce("component_id", "_node")))
+    docs = _table(spark, folder, "documents").select("doc_id", "text", "source", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("node"))
+    found = near_duplicates(docs, id_col="node", **NEAR, carry=("doc_id", "source"))
+    return pack(written(found.select("carried.*", F.col("n_words").alias("n_tokens"), F.col("component_id").alias("cluster")), "items"))
 
 
 def op5_token_rollups(spark: SparkSession, folder: str) -> DataFrame:
