@@ -31,6 +31,7 @@ LEAST_SHARE = 0.6
 UNKNOWN = "und"
 _HELD, _FOLDS = 2, 4
 _ROUNDS, _RATE, _DECAY, _SCALE = 150, 0.05, 1e-4, 8.0
+_SALTS = 256
 _ROWS = 256
 # Bytes of text whose n-grams are hashed at once.
 _PIECE = 1 << 20
@@ -176,9 +177,15 @@ def fit_languages(docs: DataFrame, most_languages: int = MOST_LANGUAGES, sample_
     languages = sorted(r["lang"] for r in top.collect())
     if not languages:
         return None
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("mark"))
     each = max(1, sample_texts // len(languages))
-    chosen = written(texts.filter(F.col("lang").isin(languages)).withColumn("nth", nth).filter(F.col("nth") <= each).drop("nth"), "sample")
+
+    def smallest(rows: DataFrame, *keys: str) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("mark", "doc_id"))
+        return rows.withColumn("nth", nth).filter(F.col("nth") <= each).drop("nth")
+
+    # First within parts of a language, so that a language of most texts is no single task's.
+    parted = smallest(texts.filter(F.col("lang").isin(languages)).withColumn("salt", F.pmod("mark", F.lit(_SALTS))), "lang", "salt")
+    chosen = written(smallest(parted, "lang").drop("salt"), "sample")
     # At most ``sample_texts`` ids.
     rows = usable.withColumn("mark", F.xxhash64("text")).join(F.broadcast(chosen), ["doc_id", "lang", "mark"]).dropDuplicates(["lang", "mark"])
     features = written(rows.select("mark", "lang", "text").mapInArrow(_features, "mark long, lang string, x binary"), "features")
