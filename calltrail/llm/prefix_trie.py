@@ -307,11 +307,10 @@ def prefix_trie(conversations: DataFrame, id_col: str = "conv_id", turn_col: str
     inner = figures.unionByName(alone(single.filter("NOT parent_single"))).join(above, ["conv_id", "depth"], "left").withColumn(
         "parent_conv_id", F.when(F.col("depth") == 1, F.lit(size["root"])).otherwise(F.coalesce("parent", "conv_id"))).drop("parent")
     bare = convs.join(rows.select("conv").distinct(), "conv", "left_anti").select(*[F.lit(0).cast("long").alias(k) for k in _KEY], "conv")
-    nothing = F.lit(_EMPTY)
-    children = F.count_if(F.col("top") == 1)
+    digest = ends_digests(bare).first()  # one row at most
     root = runs.agg(F.lit(size["root"]).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), F.count("*").alias("n_convs"),
-                    children.alias("n_children"), F.greatest(F.sum("leaf"), F.lit(1)).alias("n_leaves"), F.sum("repeated").alias("saved_tokens"))
-    root = root.join(ends_digests(bare).select("depth", "ends_sha256"), "depth", "left").withColumn("ends_sha256", F.coalesce("ends_sha256", nothing))
+                    F.count_if(F.col("top") == 1).alias("n_children"), F.greatest(F.sum("leaf"), F.lit(1)).alias("n_leaves"), F.sum("repeated").alias("saved_tokens"),
+                    F.lit(digest["ends_sha256"] if digest else _EMPTY).alias("ends_sha256"))
     columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
     return tails.select(columns).unionAll(inner.select(columns)).unionAll(root.select(columns))
 
