@@ -12,6 +12,7 @@ from ..session import scratch_path
 from ..sources.tables import stream_table
 from ..streaming import jobs as J
 from ..streaming.alerts import alerts
+from ..streaming.streamed_calls import stream_ingest_streamed, written_calls
 from .registry import query, stamp, stamp_sql
 from .report_queries import CONV_SQL, ERR, published_rollup
 from .source_queries import CALLS_SQL
@@ -89,3 +90,24 @@ def _ingest(spark, folder):
                        "transport_error", F.lit(False).alias("stream"), "created_at")
     J.run_available(J.stream_ingest(calls, models(spark), sink, state, banned="purchase"))
     return spark.read.parquet(sink).select("id", "model", "total_tokens", "status")
+
+
+# Every conversation text as a streamed call and a stream of chunks, some refused; the state holds them until they are whole.
+@query("stream_ingest_streamed", """SELECT CAST(conv_id AS VARCHAR) || '_' || CAST(turn AS VARCHAR) AS id, CASE WHEN turn % 5 <> 4 THEN text END AS answer,
+  CASE WHEN turn % 5 = 4 THEN CAST(0 AS BIGINT) ELSE 7 END AS prompt_tokens, CASE WHEN turn % 5 = 4 THEN CAST(0 AS BIGINT) ELSE CAST(turn AS BIGINT) END AS completion_tokens,
+  CASE WHEN turn % 5 = 4 THEN 'error' ELSE 'success' END AS status FROM conversations""")
+def _ingest_streamed(spark, folder):
+    sink, state = _paths(spark, "streamed")
+    talk = stream_table(spark, f"{folder}/conversations.parquet")
+    key = F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    calls = talk.select(
+        key.alias("id"), F.lit('{"model":"m","messages":[{"role":"user","content":"hi"}]}').alias("request"), F.lit(None).cast("string").alias("response"),
+        F.create_map(F.lit("x-user-id"), F.lit("u")).alias("headers"), F.when(F.col("turn") % 5 == 4, 500).otherwise(200).alias("http_status"), F.lit(3).cast("long").alias("latency_ms"),
+        F.lit(None).cast("string").alias("transport_error"), F.lit(True).alias("stream"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+    delta = lambda w: F.to_json(F.struct(F.array(F.struct(F.struct(w.alias("content")).alias("delta"))).alias("choices")))
+    usage = F.to_json(F.struct(F.struct(F.lit(7).cast("long").alias("prompt_tokens"), F.col("turn").cast("long").alias("completion_tokens")).alias("usage")))
+    data = F.concat(F.transform(F.split("text", "(?<= )"), delta), F.array(F.lit("{broken"), usage, F.lit("[DONE]")))
+    chunks = talk.select(key.alias("request_id"), F.posexplode(data).alias("seq", "data"))
+    J.run_available(stream_ingest_streamed(calls, chunks, models(spark), sink, state))
+    rows = written_calls(spark, sink)
+    return rows.select("id", F.get_json_object("output_message", "$.content").alias("answer"), "prompt_tokens", "completion_tokens", "status")
