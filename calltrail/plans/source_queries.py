@@ -9,7 +9,8 @@ from ..sources import calls as S
 from ..sources import changes as H
 from ..sources import exports as X
 from ..sources import imports as I
-from ..sources.tables import conform_requests
+from ..sources.rewrites import apply_changes
+from ..sources.tables import conform_requests, load_table, write_requests
 from .registry import query, stamp, stamp_sql
 from .report_queries import cents
 from .views import CALLS, MODELS, models, requests, table, unpriced, view, with_log, with_view
@@ -192,6 +193,17 @@ def _merge(spark, folder):
     return H.merge_changes(unpriced(spark, folder), _changes(spark, folder))[0].select("id", "status", "tags", "feedback", "evaluation")
 
 
+@query("apply_changes", with_log("""SELECT r.id, CASE WHEN event_type = 'click' THEN 'reviewed' ELSE status END AS status,
+  CASE WHEN event_type = 'view' THEN '["second"]' ELSE tags END AS tags, CASE WHEN event_type = 'purchase' THEN NULL ELSE feedback END AS feedback, evaluation
+  FROM r JOIN events e ON r.id = 'req_' || CAST(e.event_id AS VARCHAR) WHERE event_type <> 'signup'"""))
+def _apply(spark, folder):
+    store = scratch_path(spark, "changed")
+    write_requests(unpriced(spark, folder), store)
+    for _ in range(2):  # the second time nothing is left to do
+        apply_changes(spark, store, _changes(spark, folder), "all")
+    return load_table(spark, store).select("id", "status", "tags", "feedback", "evaluation")
+
+
 @query("merge_change_rejects", """SELECT 'req_' || CAST(event_id AS VARCHAR) AS id, 'status is required' AS reason FROM events WHERE event_type = 'error'
   UNION ALL SELECT 'nobody_' || CAST(event_id AS VARCHAR), 'unknown id' FROM events WHERE event_type = 'error'""")
 def _merge_rejects(spark, folder):
