@@ -1,4 +1,4 @@
-"""Perplexity of texts under a Kneser-Ney model of word trigrams, one for each language, each text left out of its own model.
+"""Perplexity of texts under a modified Kneser-Ney model of word trigrams, one for each language, each text left out of its own model.
 
 All tables grow with the input and are only grouped and joined by Spark. Counts of the highest order are those of texts,
 lower orders are continuation counts. A text that was counted itself would vouch for its own rare words, so a trigram's
@@ -55,41 +55,64 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     return without(docs, repeated, "key").unionAll(once)
 
 
-def _discount(table: DataFrame, count: str, name: str) -> DataFrame:
-    """(lang, name): n1 / (n1 + 2 n2) of a table's counts, 0.5 where there are no ones or twos."""
-    n1, n2 = (F.count_if(F.col(count) == k) for k in (1, 2))
-    return table.groupBy("lang").agg(F.when((n1 > 0) & (n2 > 0), n1 / (n1 + 2 * n2)).otherwise(F.lit(0.5)).alias(name))
+def _discounts(table: DataFrame, count: str, name: str) -> DataFrame:
+    """(lang, name): the three discounts of modified Kneser-Ney (Chen & Goodman, 1999) for counts of one, two and more.
+
+    They come from the counts of counts n1 to n4; where those that a discount needs are not all there, it is half its count.
+    """
+    n = table.groupBy("lang").agg(*[F.count_if(F.col(count) == k).alias(f"n{k}") for k in (1, 2, 3, 4)])
+    n1, n2, n3, n4 = (F.col(f"n{k}") for k in (1, 2, 3, 4))
+    y = n1 / (n1 + 2 * n2)
+
+    def discount(k: int, here: Column, above: Column) -> Column:
+        return F.when((n1 > 0) & (n2 > 0) & (here > 0), F.least(F.greatest(k - (k + 1) * y * above / here, F.lit(0.0)), F.lit(float(k)))).otherwise(F.lit(k / 2))
+
+    return n.select("lang", F.struct(discount(1, n1, n2).alias("one"), discount(2, n2, n3).alias("two"), discount(3, n3, n4).alias("more")).alias(name))
 
 
-def _interpolated(count: Column, total: Column, kinds: Column, discount: Column, lower: Column) -> Column:
-    return F.when(total > 0, (F.greatest(count - discount, F.lit(0.0)) + discount * kinds * lower) / total).otherwise(lower)
+def _context(table: DataFrame, keys: list[str], count: str, name: str) -> DataFrame:
+    """What follows a context: the sum of its counts, and how many of them are one, two and more."""
+    c = F.col(count)
+    return table.groupBy(*keys).agg(F.struct(F.sum(c).alias("total"), F.count_if(c == 1).alias("one"), F.count_if(c == 2).alias("two"), F.count_if(c > 2).alias("more")).alias(name))
+
+
+def _smoothed(count: Column, context: str, discounts: str, gone: Column, lower: Column) -> Column:
+    """Interpolated probability of an n-gram in its context; with ``gone`` one of its counts is taken off first."""
+    off = lambda k: F.when(gone & (count == k), 1).otherwise(0)
+    left = count - F.when(gone, 1).otherwise(0)
+    total = F.col(f"{context}.total") - F.when(gone, 1).otherwise(0)
+    one, two, more = F.col(f"{context}.one") - off(1) + off(2), F.col(f"{context}.two") - off(2) + off(3), F.col(f"{context}.more") - off(3)
+    d1, d2, d3 = (F.col(f"{discounts}.{k}") for k in ("one", "two", "more"))
+    own = left - F.when(left == 0, 0.0).when(left == 1, d1).when(left == 2, d2).otherwise(d3)
+    return F.when(total > 0, (own + (d1 * one + d2 * two + d3 * more) * lower) / total).otherwise(lower)
 
 
 def left_out_probabilities(trigrams: DataFrame) -> DataFrame:
-    """(lang, a, b, c, lp): log probability of c after a, b in the model without one text that holds the trigram."""
+    """(lang, a, b, c, lp): log probability of c after a, b in the model without one text that holds the trigram.
+
+    Discounts are those of the whole model. Below the unigrams lies a uniform distribution over the known words and one unknown.
+    """
     types = written(trigrams.groupBy("lang", "a", "b", "c").agg(F.count("*").alias("texts")), "types")
     pairs = written(types.groupBy("lang", "b", "c").agg(F.count("*").alias("before")), "pairs")
     singles = written(pairs.groupBy("lang", "c").agg(F.count("*").alias("before1")), "singles")
     # One row for each language.
-    levels = singles.groupBy("lang").agg(F.sum("before1").alias("total1"), F.count("*").alias("kinds1"))
+    levels = _context(singles, ["lang"], "before1", "all1")
     for table, count, name in ((singles, "before1", "d1"), (pairs, "before", "d2"), (types, "texts", "d3")):
-        levels = levels.join(_discount(table, count, name), "lang")
+        levels = levels.join(_discounts(table, count, name), "lang")
     levels = F.broadcast(written(levels, "levels"))
-    after_b = pairs.groupBy("lang", "b").agg(F.sum("before").alias("total2"), F.count("*").alias("kinds2"))
-    after_ab = types.groupBy("lang", "a", "b").agg(F.sum("texts").alias("total3"), F.count("*").alias("kinds3"))
-    less = lambda name, gone: F.col(name) - F.when(gone, 1).otherwise(0)
+    after_b, after_ab = _context(pairs, ["lang", "b"], "before", "all2"), _context(types, ["lang", "a", "b"], "texts", "all3")
+    words = F.col("all1.one") + F.col("all1.two") + F.col("all1.more")
 
     def second(alone: bool) -> Column:
         """Of c after b; with ``alone`` the trigram had no other text and is no longer counted."""
         gone = F.lit(alone)
-        gone1 = gone & (F.col("before") == 1)
-        first = _interpolated(less("before1", gone1), less("total1", gone1), less("kinds1", gone1 & (F.col("before1") == 1)), F.col("d1"), 1 / (F.col("kinds1") + 1))
-        return _interpolated(less("before", gone), less("total2", gone), less("kinds2", gone1), F.col("d2"), first)
+        last = gone & (F.col("before") == 1)  # then the pair is gone, too
+        first = _smoothed(F.col("before1"), "all1", "d1", last, 1 / (words - F.when(last & (F.col("before1") == 1), 1).otherwise(0) + 1))
+        return _smoothed(F.col("before"), "all2", "d2", gone, first)
 
     lower = (pairs.join(singles, ["lang", "c"]).join(after_b, ["lang", "b"]).join(levels, "lang")
              .select("lang", "b", "c", second(True).alias("p_alone"), second(False).alias("p_shared")))
-    alone = F.col("texts") == 1
-    p = _interpolated(F.col("texts") - 1, F.col("total3") - 1, less("kinds3", alone), F.col("d3"), F.when(alone, F.col("p_alone")).otherwise(F.col("p_shared")))
+    p = _smoothed(F.col("texts"), "all3", "d3", F.lit(True), F.when(F.col("texts") == 1, F.col("p_alone")).otherwise(F.col("p_shared")))
     return (types.join(after_ab, ["lang", "a", "b"]).join(lower, ["lang", "b", "c"]).join(levels.select("lang", "d3"), "lang")
             .select("lang", "a", "b", "c", F.log(p).alias("lp")))
 
