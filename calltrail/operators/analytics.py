@@ -127,7 +127,11 @@ def latency_stats(requests: DataFrame, start, end, exact: bool = True) -> DataFr
         return (ok.groupBy("date").agg(marks.alias("p"), F.sum("latency_ms").alias("s"), F.count("latency_ms").alias("n"))
                 .select("date", F.get("p", 0).alias("p50"), F.get("p", 1).alias("p95"), F.get("p", 2).alias("p99"),
                         js_round(F.col("s") / F.col("n")).alias("avg")).orderBy("date"))
-    counts = ok.filter(F.col("latency_ms").isNotNull()).groupBy("date", "latency_ms").agg(F.count(F.lit(1)).alias("n"))
+    return latency_percentiles(ok.filter(F.col("latency_ms").isNotNull()).groupBy("date", "latency_ms").agg(F.count(F.lit(1)).alias("n")))
+
+
+def latency_percentiles(counts: DataFrame) -> DataFrame:
+    """Nearest-rank percentiles and rounded average per date from counts of latencies (date, latency_ms, n)."""
     day = Window.partitionBy("date")
     upto = day.orderBy("latency_ms").rangeBetween(Window.unboundedPreceding, 0)
     ranked = counts.select("date", "latency_ms", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(day).alias("all"))
@@ -173,6 +177,17 @@ def daily_stats(requests: DataFrame) -> DataFrame:
                  F.count_if(is_error()).alias("error_count")))
 
 
+def daily_stats_of(counts: DataFrame) -> DataFrame:
+    """As :func:`daily_stats`, from additive counts (date, model, latency_ms, failed, n and totals)."""
+    known = F.when(F.col("latency_ms").isNotNull(), F.col("n"))
+    average = F.sum(F.col("latency_ms") * F.col("n")) / F.sum(known)
+    return (counts.groupBy("date", "model")
+            .agg(F.sum("n").alias("total_requests"), F.sum("total_tokens").alias("total_tokens"),
+                 F.sum("total_prompt_tokens").alias("total_prompt_tokens"), F.sum("total_completion_tokens").alias("total_completion_tokens"),
+                 cost0("total_cost").alias("total_cost"), js_round(F.coalesce(average, F.lit(0.0)), 6).alias("avg_latency_ms"),
+                 F.sum(F.when(F.col("failed"), F.col("n")).otherwise(0)).alias("error_count")))
+
+
 def write_daily_stats(requests: DataFrame, path: str) -> None:
     """Replace the rollup partitions of the dates present in ``requests``."""
     (daily_stats(requests).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

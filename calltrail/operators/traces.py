@@ -68,11 +68,15 @@ def trace_count(requests: DataFrame, start=None, end=None) -> DataFrame:
     return between(requests.filter(has_trace()), start, end).agg(F.count_distinct("trace_id").alias("total"))
 
 
+def span_kinds() -> tuple[Column, Column, Column]:
+    """Whether a span is a tool call, successful, and one that may stand for its trace."""
+    return (F.col("span_type") == "tool", F.coalesce(F.col("status") == "success", F.lit(False)),
+            F.col("parent_span_id").isNull() | is_root() | (F.col("span_type") == "agent"))
+
+
 def agent_metric_columns() -> list[Column]:
     """Aggregates behind :func:`agent_metrics`; all of them merge, so streams can keep them too."""
-    tool = F.col("span_type") == "tool"
-    good = F.coalesce(F.col("status") == "success", F.lit(False))
-    top = F.col("parent_span_id").isNull() | is_root() | (F.col("span_type") == "agent")
+    tool, good, top = span_kinds()
     head = F.struct("id", "status")
     return [earliest(head, top).alias("_root"), earliest(head).alias("_first"),
             F.count_if(tool).alias("_tools"), F.count_if(tool & good).alias("_tools_ok"),

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..session import scratch_path
 from ..sources.tables import stream_table
 from ..streaming import jobs as J
+from ..streaming import partials as P
 from ..streaming.alerts import alerts
 from ..streaming.streamed_calls import stream_ingest_streamed, written_calls
-from .registry import query, stamp, stamp_sql
+from .registry import CHECKS, END, START, query, stamp, stamp_sql
 from .report_queries import CONV_SQL, ERR, published_rollup
 from .source_queries import CALLS_SQL
 from .trace_queries import AGENT_OUT, AGENT_SQL, ALERT_SQL
@@ -111,3 +112,30 @@ def _ingest_streamed(spark, folder):
     J.run_available(stream_ingest_streamed(calls, chunks, models(spark), sink, state))
     rows = written_calls(spark, sink)
     return rows.select("id", F.get_json_object("output_message", "$.content").alias("answer"), "prompt_tokens", "completion_tokens", "status")
+
+
+def _rollup(spark, folder, name, rollup):
+    sink, state = _paths(spark, name)
+    J.run_available(P.stream_rollup(_stream(spark, folder), rollup, sink, state))
+    return sink
+
+
+@query("stream_conversation_partials", with_log(CONV_SQL))
+def _conversation_partials(spark, folder):
+    return published_rollup(P.current(spark, _rollup(spark, folder, "conversation-partials", P.conversations()), P.conversations()))
+
+
+@query("stream_agent_partials", with_log(AGENT_OUT, AGENT_SQL))
+def _agent_partials(spark, folder):
+    return P.current_agent_metrics(spark, _rollup(spark, folder, "agent-partials", P.agents()))
+
+
+@query("stream_latency_stats", CHECKS["latency_stats"])
+def _latency_partials(spark, folder):
+    histogram = P.current(spark, _rollup(spark, folder, "latency-partials", P.latencies()), P.latencies())
+    return P.latency_stats_of(histogram, START[:10], END[:10])
+
+
+@query("stream_daily_stats", CHECKS["daily_stats"])
+def _daily_partials(spark, folder):
+    return P.daily_stats_from(P.current(spark, _rollup(spark, folder, "daily-partials", P.latencies()), P.latencies())).withColumn("total_cost", F.round("total_cost", 6))
