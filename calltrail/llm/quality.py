@@ -350,7 +350,9 @@ def quality(docs: DataFrame, min_words: int = MIN_WORDS, max_repeat_percent: int
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     lp = F.when(F.col("n_grams") > 0, F.col("surprise") / F.col("n_grams"))
     scored = scored.withColumns({"base_failed": base, "log_perplexity": lp, "language": F.coalesce("lang", F.lit(""))})
-    quartiles = scored.filter("NOT base_failed").groupBy("language").agg(F.percentile_approx("log_perplexity", [0.25, 0.5, 0.75], 10000).alias("q"))
+    # Exact quartiles of values rounded to four decimals: a language comes to one task as the counts of at most some 300,000 of them.
+    rounded = scored.filter("NOT base_failed AND log_perplexity IS NOT NULL").groupBy("language", F.round("log_perplexity", 4).alias("x")).agg(F.count("*").alias("n"))
+    quartiles = rounded.groupBy("language").agg(F.percentile("x", [0.25, 0.5, 0.75], F.col("n")).alias("q"))
     spread = F.greatest(F.lit(least_spread), (F.col("q")[2] - F.col("q")[0]) / 1.349)
     bands = quartiles.select("language", (F.col("q")[1] - below * spread).alias("low"), (F.col("q")[1] + above * spread).alias("high"))
     inside = F.col("log_perplexity").between(F.col("low"), F.col("high"))
