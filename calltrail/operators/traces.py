@@ -149,6 +149,23 @@ def subsequent_spans(requests: DataFrame, anchors: DataFrame) -> DataFrame:
             .drop("anchored_at").select(*requests.columns))
 
 
+def spans_after(requests: DataFrame, anchors: DataFrame, block: str = "minute") -> DataFrame:
+    """(anchor_id, later spans): a row for each anchor (id, trace_id, created_at) and each span of its trace after it.
+
+    An anchor is handed to the blocks of time at and after its own in which its trace has spans, so it meets them by
+    (trace, block): a trace of any size is spread over its blocks, and no pair is made that is not in the result, but
+    for those within the anchor's own block. Anchors and spans without a trace or a time follow nothing.
+    """
+    at = F.date_trunc(block, "created_at").alias("_block")
+    spans = requests.filter(has_trace() & F.col("created_at").isNotNull()).select("*", at)
+    blocks = spans.select("trace_id", "_block").distinct()
+    marks = anchors.filter(has_trace() & F.col("created_at").isNotNull()).select(
+        F.col("id").alias("anchor_id"), "trace_id", F.col("created_at").alias("_after"), F.date_trunc(block, "created_at").alias("_from"))
+    handed = marks.join(blocks, "trace_id").filter(F.col("_block") >= F.col("_from"))
+    return (spans.join(handed, ["trace_id", "_block"]).filter(F.col("created_at") > F.col("_after"))
+            .select("anchor_id", *requests.columns))
+
+
 def approval_queue(requests: DataFrame) -> DataFrame:
     """Check spans: those waiting for a person, and those already decided."""
     state = (F.when(F.col("status").isin("awaiting_approval", "paused"), F.lit("pending"))

@@ -101,6 +101,12 @@ def _later(spark, folder):
     return T.subsequent_spans(log, log.filter(F.col("span_type") == "check")).select("trace_id", "id", stamp("created_at").alias("created_at"))
 
 
+@query("spans_after_checks", with_log("""SELECT c.id AS anchor_id, s.trace_id, s.id FROM r s JOIN r c ON c.span_type = 'check' AND c.trace_id = s.trace_id AND s.created_at > c.created_at"""))
+def _after_each(spark, folder):
+    log = requests(spark, folder)
+    return T.spans_after(log, log.filter(F.col("span_type") == "check")).select("anchor_id", "trace_id", "id")
+
+
 @query("approval_queue", with_log("""SELECT id, trace_id, status, CASE WHEN status IN ('awaiting_approval', 'paused') THEN 'pending' WHEN status = 'success' THEN 'approved' ELSE 'rejected' END AS state
   FROM r WHERE span_type = 'check' AND status IN ('awaiting_approval', 'paused', 'success', 'rejected')"""))
 def _approvals(spark, folder):
