@@ -191,6 +191,21 @@ def stalled_checks(requests: DataFrame) -> DataFrame:
 
 # ------------------------------------------------------------------ span trees
 
+def span_parents(requests: DataFrame) -> DataFrame:
+    """(trace_id, id, span_id, created_at, parent_id): the request id of every span's parent, NULL where the trace has none.
+
+    Where several spans of a trace share a span id, the newest one acts as the parent.
+    """
+    spans = requests.filter(has_trace()).select("trace_id", "id", "span_id", "parent_span_id", "created_at")
+    owner = (spans.filter(F.col("span_id").isNotNull()).groupBy("trace_id", "span_id")
+             .agg(F.max_by("id", F.struct("created_at", "id")).alias("parent_id"))
+             .withColumnRenamed("span_id", "parent_span_id"))
+    wanted = F.when(~is_root(), F.col("parent_span_id"))
+    return (left_join_sparse(spans.withColumn("parent_span_id", wanted), owner, ["trace_id", "parent_span_id"],
+                             "parent_span_id", "id")
+            .select("trace_id", "id", "span_id", "created_at", "parent_id"))
+
+
 def span_tree(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(tree, cycles) over the spans of every trace.
 
@@ -205,15 +220,8 @@ def span_tree(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
     log2(d) rounds. Spans that reached a root leave the rounds. Where several
     spans of a trace share a span id, the newest one acts as the parent.
     """
-    spans = requests.filter(has_trace()).select("trace_id", "id", "span_id", "parent_span_id", "created_at")
-    owner = (spans.filter(F.col("span_id").isNotNull()).groupBy("trace_id", "span_id")
-             .agg(F.max_by("id", F.struct("created_at", "id")).alias("parent_id"))
-             .withColumnRenamed("span_id", "parent_span_id"))
-    wanted = F.when(~is_root(), F.col("parent_span_id"))
-    nodes = (left_join_sparse(spans.withColumn("parent_span_id", wanted), owner, ["trace_id", "parent_span_id"],
-                              "parent_span_id", "id")
-             .select("trace_id", "id", "span_id", "parent_id",
-                     F.array(F.struct("created_at", "id")).alias("path"), F.col("parent_id").alias("next_id")))
+    nodes = span_parents(requests).select("trace_id", "id", "span_id", "parent_id",
+                                          F.array(F.struct("created_at", "id")).alias("path"), F.col("parent_id").alias("next_id"))
     nodes = reliable_checkpoint(nodes)
     done, still = nodes.filter(F.col("next_id").isNull()), nodes.filter(F.col("next_id").isNotNull())
     left = still.count()

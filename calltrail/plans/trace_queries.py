@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import evaluation as E
 from ..operators import filters as B
 from ..operators import traces as T
+from ..operators import trees as N
 from ..streaming.alerts import alerts
 from .registry import END, LATE_END, LATE_START, START, query, stamp, stamp_sql, within_sql
 from .report_queries import cents
@@ -135,6 +136,32 @@ def _tree(spark, folder):
     return T.flatten_tree(tree)
 
 
+NUMBERS_SQL = """p AS (SELECT n.trace_id, n.id, n.span_id, n.parent_id, n.id AS root_id, 0 AS depth, [{'at': n.created_at, 'id': n.id}] AS path FROM n WHERE parent_id IS NULL
+    UNION ALL SELECT n.trace_id, n.id, n.span_id, n.parent_id, p.root_id, p.depth + 1, list_append(p.path, {'at': n.created_at, 'id': n.id}) FROM n JOIN p ON n.parent_id = p.id),
+  u AS (SELECT a.id, count(*) AS size FROM (SELECT unnest(list_transform(path, lambda s: s.id)) AS id FROM p) a GROUP BY a.id),
+  e AS (SELECT p.trace_id, p.id, p.span_id, p.parent_id, p.root_id, p.depth, row_number() OVER (PARTITION BY p.trace_id ORDER BY p.path) - 1 AS enter, u.size FROM p JOIN u USING (id))"""
+
+
+@query("span_tree_numbers", with_log("""SELECT trace_id, id, parent_id, root_id, CAST(depth AS INT) AS depth, CAST(enter AS BIGINT) AS enter,
+  CAST(enter + size - 1 AS BIGINT) AS leave, CAST(size AS BIGINT) AS size FROM e""", TREE_SQL, NUMBERS_SQL))
+def _numbers(spark, folder):
+    tree, _ = N.number_spans(unpriced(spark, folder))
+    return tree.select("trace_id", "id", "parent_id", "root_id", "depth", "enter", "leave", "size")
+
+
+@query("span_children", with_log("""SELECT trace_id, parent_id, id, CAST(enter AS BIGINT) AS enter, CAST(lead(enter) OVER (PARTITION BY trace_id, parent_id ORDER BY enter) AS BIGINT) AS next_enter
+  FROM e WHERE parent_id IS NOT NULL""", TREE_SQL, NUMBERS_SQL))
+def _children(spark, folder):
+    return N.children(N.number_spans(unpriced(spark, folder))[0])
+
+
+@query("span_tree_nested", with_log("""SELECT trace_id, CAST(enter AS BIGINT) AS enter, '{"id":"' || id || '",' || CASE WHEN span_id IS NULL THEN '' ELSE '"span_id":"' || span_id || '",' END || '"children":['
+    || repeat(']}', depth - coalesce(after, 0) + 1) || CASE WHEN after <= depth THEN ',' ELSE '' END AS part
+  FROM (SELECT *, lead(depth) OVER (PARTITION BY trace_id ORDER BY enter) AS after FROM e) z""", TREE_SQL, NUMBERS_SQL))
+def _nested(spark, folder):
+    return N.nested_parts(N.number_spans(unpriced(spark, folder))[0])
+
+
 @query("split_tool_io", with_log("""SELECT id, 'q' || regexp_extract(input_messages, 'Input: q([0-9]+)', 1) AS tool_input,
   'rows ' || regexp_extract(input_messages, 'nOutput: rows ([0-9]+)', 1) AS tool_output FROM r WHERE span_type = 'tool'"""))
 def _tool_io(spark, folder):
