@@ -14,7 +14,7 @@ from ..schema import (AGENT_METRICS, CONTEXT_METRICS, RAG_METRICS, RETRIEVAL_MET
 from .analytics import as_time
 from .filters import between
 from .metrics import text_metrics, text_scores
-from .traces import gather_tool_context
+from .traces import gather_tool_context, join_slices, tool_outputs
 
 BAD = "_malformed"
 
@@ -110,6 +110,10 @@ def _expected() -> Column:
                       blank_to_null(F.get_json_object("feedback", "$.expected_answer")))
 
 
+# Fixed value: heading of the context in a prompt.
+CONTEXT_HEADING = "[Retrieved Context Documents]:\n"
+
+
 def judge_inputs(requests: DataFrame, inline_context: bool = True) -> DataFrame:
     """One prompt per candidate, with the parts it is built from.
 
@@ -150,6 +154,45 @@ def judge_inputs(requests: DataFrame, inline_context: bool = True) -> DataFrame:
     return parts.withColumn("prompt", prompt)
 
 
+def context_slices(requests: DataFrame) -> DataFrame:
+    """(trace_id, created_at, id, text): the context of every trace, each tool output once; traces whose context is empty are left out."""
+    slices = tool_outputs(requests)
+    filled = slices.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("text")).alias("longest"))
+    return slices.join(filled.filter((F.col("n") > 1) | (F.col("longest") > 0)).select("trace_id"), "trace_id", "left_semi")
+
+
+def judge_prompt_parts(requests: DataFrame) -> DataFrame:
+    """(id, position, text, context_of): the prompts of :func:`judge_inputs` as ordered parts, a trace's context by reference.
+
+    Position 1 is the prompt without the tool outputs of the trace. Where it needs them, position 0 has the heading and
+    names the trace in ``context_of``; the outputs themselves are the rows of :func:`context_slices`, stored once. What is
+    written is linear in the log, also for a trace of very many spans. A join against the distinct traces with a context
+    decides, so no text of it is shuffled.
+    """
+    own = judge_inputs(requests, inline_context=False)
+    asks = own.select("id", "prompt", F.when(F.col("context").isNull(), blank_to_null("trace_id")).alias("_trace"))
+    known = context_slices(requests).select(F.col("trace_id").alias("_trace")).distinct().withColumn("_has", F.lit(True))
+    rows = left_join_sparse(asks, known, ["_trace"], "_trace", "id")
+    none = F.lit(None).cast("string")
+    whole = F.struct(F.lit(1).alias("position"), F.col("prompt").alias("text"), none.alias("context_of"))
+    heading = F.struct(F.lit(0).alias("position"), F.lit(CONTEXT_HEADING).alias("text"), F.col("_trace").alias("context_of"))
+    return rows.select("id", F.inline(F.when(F.col("_has"), F.array(heading, whole)).otherwise(F.array(whole))))
+
+
+def join_prompt_parts(parts: DataFrame, slices: DataFrame) -> DataFrame:
+    """(id, prompt) of the prompts whose ``parts`` are given; pass those that are about to be sent, since contexts are copied here.
+
+    The context of a trace is put together once (by minute first, as in
+    :func:`~calltrail.operators.traces.gather_tool_context`), for traces that the parts name.
+    """
+    named = parts.filter(F.col("context_of").isNotNull()).select(F.col("context_of").alias("trace_id")).distinct()
+    contexts = join_slices(slices.join(named, "trace_id", "left_semi")).select(F.col("trace_id").alias("context_of"), "context")
+    filled = left_join_sparse(parts, contexts, ["context_of"], "context_of", "id")
+    text = F.concat("text", F.when(F.col("context_of").isNotNull(), F.concat(F.col("context"), F.lit("\n\n"))).otherwise(F.lit("")))
+    ordered = F.array_sort(F.collect_list(F.struct("position", text.alias("text"))))
+    return filled.groupBy("id").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias("prompt"))
+
+
 def local_metrics(requests: DataFrame) -> DataFrame:
     """Text metrics (where an expected answer exists) and retrieval metrics (where ids exist) per candidate."""
     candidates = _metadata(eval_candidates(requests))

@@ -123,14 +123,19 @@ def tool_outputs(requests: DataFrame) -> DataFrame:
 
 
 def gather_tool_context(requests: DataFrame) -> DataFrame:
-    """(trace_id, context): all tool outputs of a trace joined by a blank line, in time order.
+    """(trace_id, context): all tool outputs of a trace joined by a blank line, in time order."""
+    return join_slices(tool_outputs(requests))
+
+
+def join_slices(outputs: DataFrame) -> DataFrame:
+    """(trace_id, context) from rows of :func:`tool_outputs`.
 
     Outputs are joined per minute first, then minutes, so the rows that meet in one task are few even in a long trace.
     """
     def joined(position: list[str]) -> Column:
         return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*position, "text"))), lambda s: s["text"]), "\n\n")
 
-    slices = (tool_outputs(requests).withColumn("slice", F.date_trunc("minute", "created_at")).groupBy("trace_id", "slice")
+    slices = (outputs.withColumn("slice", F.date_trunc("minute", "created_at")).groupBy("trace_id", "slice")
               .agg(joined(["created_at", "id"]).alias("text")))
     return slices.groupBy("trace_id").agg(joined(["slice"]).alias("context"))
 

@@ -247,6 +247,26 @@ def _judge_inputs(spark, folder):
     return E.judge_inputs(requests(spark, folder)).select("id", "system_message", "user_message", "response", "context", "expected", "prompt")
 
 
+BY_REFERENCE_SQL = ("""j AS (SELECT r.id, r.trace_id, CASE WHEN json_array_length(input_messages) = 2 THEN json_extract_string(input_messages, '$[0].content') ELSE '' END AS sys,
+    CASE WHEN json_array_length(input_messages) = 2 THEN json_extract_string(input_messages, '$[1].content') ELSE json_extract_string(input_messages, '$[0].content') END AS usr,
+    json_extract_string(output_message, '$.content') AS ans, json_extract_string(metadata, '$.context') AS ctx, json_extract_string(metadata, '$.expected_answer') AS exp
+    FROM r WHERE status <> 'error' AND output_message IS NOT NULL)""",
+  """k AS (SELECT o.trace_id FROM o WHERE text IS NOT NULL GROUP BY o.trace_id HAVING count(*) > 1 OR max(length(text)) > 0)""")
+
+
+@query("judge_prompt_parts", with_log("""SELECT j.id, CAST(0 AS INT) AS position, '[Retrieved Context Documents]:' || chr(10) AS text, j.trace_id AS context_of FROM j JOIN k ON k.trace_id = j.trace_id WHERE ctx IS NULL
+  UNION ALL SELECT id, CAST(1 AS INT), CASE WHEN ctx IS NOT NULL THEN '[Retrieved Context Documents]:' || chr(10) || ctx || chr(10) || chr(10) ELSE '' END || '[System Prompt Given to Assistant]:' || chr(10)
+    || CASE WHEN sys = '' THEN '(none)' ELSE sys END || chr(10) || chr(10) || '[User Query]:' || chr(10) || usr || chr(10) || chr(10) || '[Assistant Response]:' || chr(10) || ans
+    || CASE WHEN exp IS NOT NULL THEN chr(10) || chr(10) || '[Expected Ground Truth Answer]:' || chr(10) || exp ELSE '' END, NULL FROM j""", TOOLS_SQL, *BY_REFERENCE_SQL))
+def _prompt_parts(spark, folder):
+    return E.judge_prompt_parts(requests(spark, folder))
+
+
+@query("judge_context_slices", with_log("SELECT o.trace_id, o.id, o.text FROM o JOIN k ON k.trace_id = o.trace_id WHERE o.text IS NOT NULL", TOOLS_SQL, *BY_REFERENCE_SQL))
+def _context_slices(spark, folder):
+    return E.context_slices(requests(spark, folder)).select("trace_id", "id", "text")
+
+
 # ---------------------------------------------------------------- alerts
 
 ALERT_SQL = """SELECT id, model, upper(status) AS status, CAST(latency_ms AS VARCHAR) || ' ms' AS latency,
