@@ -9,6 +9,7 @@ from ..sources import calls as S
 from ..sources import changes as H
 from ..sources import exports as X
 from ..sources import imports as I
+from ..sources import lookup as K
 from ..sources.rewrites import apply_changes
 from ..sources.tables import conform_requests, load_table, write_requests
 from .registry import query, stamp, stamp_sql
@@ -204,6 +205,31 @@ def _apply(spark, folder):
     return load_table(spark, store).select("id", "status", "tags", "feedback", "evaluation")
 
 
+def _indexed(spark, folder):
+    """The log as a stored table, indexed in two batches."""
+    store = scratch_path(spark, "indexed")
+    log = unpriced(spark, folder)
+    first = F.xxhash64("id") % 2 == 0
+    for part in (log.filter(first), log.filter(~first)):
+        write_requests(part, store)
+        K.update_index(spark, store)
+    return store
+
+
+@query("lookup_traces_indexed", with_log("""SELECT id, trace_id, status FROM r WHERE trace_id IN (SELECT trace_id FROM r WHERE span_type = 'check' AND status = 'rejected' AND trace_id <> '')"""))
+def _traces_indexed(spark, folder):
+    keys = unpriced(spark, folder).filter("span_type = 'check' AND status = 'rejected'").select(F.col("trace_id").alias("key"))
+    return K.rows_with(spark, _indexed(spark, folder), "trace_id", keys).select("id", "trace_id", "status")
+
+
+@query("lookup_requests_indexed", with_log("""SELECT k.key, coalesce(a.id, b.id) AS id, coalesce(a.model, b.model) AS model
+  FROM k LEFT JOIN r a ON a.id = k.key LEFT JOIN r b ON a.id IS NULL AND b.span_id = k.key WHERE coalesce(a.id, b.id) IS NOT NULL""",
+  "k AS (SELECT CASE event_type WHEN 'click' THEN 'req_' WHEN 'view' THEN 'span_' ELSE 'none_' END || CAST(event_id AS VARCHAR) AS key FROM events)"))
+def _requests_indexed(spark, folder):
+    keys = view(spark, folder, "SELECT CASE event_type WHEN 'click' THEN 'req_' WHEN 'view' THEN 'span_' ELSE 'none_' END || CAST(event_id AS STRING) AS key FROM events")
+    return K.find_requests(spark, _indexed(spark, folder), keys).select("key", "id", "model")
+
+
 @query("merge_change_rejects", """SELECT 'req_' || CAST(event_id AS VARCHAR) AS id, 'status is required' AS reason FROM events WHERE event_type = 'error'
   UNION ALL SELECT 'nobody_' || CAST(event_id AS VARCHAR), 'unknown id' FROM events WHERE event_type = 'error'""")
 def _merge_rejects(spark, folder):
