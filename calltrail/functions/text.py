@@ -71,14 +71,21 @@ class LcsRows:
     table grows between columns j and j+1 (bit-parallel recurrence of Hyyrö).
 
     Only every ``step``-th row is kept, and one block of rows in between, so memory grows with
-    the root of the number of rows; walking backwards makes each block once more.
+    the root of the number of rows; walking backwards makes each block once more. Of the places of
+    an item in ``b`` only a list is kept; those that stand at more places than the root of its
+    length, of which there are no more than that root, also keep theirs as a bit set.
     """
 
     def __init__(self, a: list, b: list):
         self.a, self.full = a, (1 << len(b)) - 1
-        self.where: dict = {}
+        used = set(a)
+        places: dict = {}
         for j, item in enumerate(b):
-            self.where[item] = self.where.get(item, 0) | (1 << j)
+            if item in used:
+                places.setdefault(item, []).append(j)
+        often = math.isqrt(len(b))
+        self.places = places
+        self.masks = {item: self._mask(at) for item, at in places.items() if len(at) > often}
         self.step = max(1, math.isqrt(len(a)))
         self.starts, self.block, self.at = [], [], -1
         self.last = self.full
@@ -87,8 +94,19 @@ class LcsRows:
                 self.starts.append(self.last)
             self.last = self._next(self.last, item)
 
+    def _mask(self, at: list[int]) -> int:
+        if len(at) < 4:
+            return sum(1 << j for j in at)
+        bits = bytearray(at[-1] // 8 + 1)
+        for j in at:
+            bits[j >> 3] |= 1 << (j & 7)
+        return int.from_bytes(bits, "little")
+
     def _next(self, v: int, item) -> int:
-        u = v & self.where.get(item, 0)
+        at = self.places.get(item)
+        if at is None:
+            return v
+        u = v & (self.masks.get(item) or self._mask(at))
         return ((v + u) | (v - u)) & self.full
 
     def __getitem__(self, i: int) -> int:
@@ -134,9 +152,12 @@ def pair_counts(orders: Sequence[int] = (), lcs: bool = False):
 def diff_lines(old: str, new: str) -> list[dict]:
     """Line edits from ``old`` to ``new``; on equal choices the later edit is an addition."""
     a, b = (old or "").split("\n"), (new or "").split("\n")
+    out = []
+    while a and b and a[-1] == b[-1]:  # the walk from the end takes equal lines first, so they need no table
+        out.append({"type": "unchanged", "text": a.pop()})
+        b.pop()
     rows = LcsRows(a, b)
     i, j = len(a), len(b)
-    out = []
     while i or j:
         if i and j and a[i - 1] == b[j - 1]:
             out.append({"type": "unchanged", "text": a[i - 1]})

@@ -326,7 +326,18 @@ def _diff_sides(spark, folder):
     return edits.groupBy("name", "to_version").agg(F.count_if(F.col("type") != "added").alias("old_lines"), F.count_if(F.col("type") != "removed").alias("new_lines"))
 
 
-@query("prompt_diff")
+# The walk back through the whole table of common subsequences, from the ends of both texts; on equal choices an addition.
+WALK_SQL = """w AS (SELECT name, from_version, to_version, a, b, len(a) AS i, len(b) AS j, 0 AS k, '' AS kind, '' AS line FROM d
+  UNION ALL SELECT name, from_version, to_version, a, b, CASE WHEN kind <> 'added' THEN i - 1 ELSE i END, CASE WHEN kind <> 'removed' THEN j - 1 ELSE j END, k + 1, kind, CASE WHEN kind = 'added' THEN b[j] ELSE a[i] END
+  FROM (SELECT w.name, w.from_version, w.to_version, w.a, w.b, w.i, w.j, w.k, CASE WHEN w.i > 0 AND w.j > 0 AND w.a[w.i] = w.b[w.j] THEN 'unchanged'
+      WHEN w.j > 0 AND (w.i = 0 OR coalesce(CASE WHEN w.j > 1 THEN here.line[w.j - 1] END, 0) >= up.line[w.j]) THEN 'added' ELSE 'removed' END AS kind
+    FROM w JOIN s here ON here.name = w.name AND here.to_version = w.to_version AND here.i = w.i
+      LEFT JOIN s up ON up.name = w.name AND up.to_version = w.to_version AND up.i = w.i - 1 WHERE w.i > 0 OR w.j > 0) x)"""
+
+
+@query("prompt_diff", with_view(PROMPTS, """SELECT name, from_version, to_version, CAST(row_number() OVER (PARTITION BY name, to_version ORDER BY k DESC) - 1 AS INT) AS line_no, kind AS type, line AS text
+  FROM w WHERE k > 0""", STEPS_SQL.replace("SELECT name, to_version, string_split(old", "SELECT name, from_version, to_version, string_split(old").replace("SELECT name, version AS to_version,", "SELECT name, version AS to_version, lag(version) OVER (PARTITION BY name ORDER BY version) AS from_version,"),
+                                _lcs_cte("d", "name, to_version", "a", "b"), WALK_SQL).replace("WITH ", "WITH RECURSIVE ", 1))
 def _diff(spark, folder):
     return P.prompt_diff(view(spark, folder, PROMPTS))
 
