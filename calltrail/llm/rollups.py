@@ -1,8 +1,9 @@
 """Token counts as rollups kept by signed changes: by source, language and tokenizer version, with idempotent batches.
 
-A store is a folder of two tables. ``ledger/batch=N`` holds, for each changed document and tokenizer version, the count
-before and after; ``commits/batch=N`` marks a batch as done once its ledger part is complete. Totals are sums of signed
-ledger rows of committed batches, so a batch that is committed again, or was left half written, changes nothing.
+A store is a folder of three tables. ``ledger/batch=N`` holds, for each changed document and tokenizer version, the count
+before and after; ``deltas/batch=N`` the signed sums of these rows by source, language and version; ``commits/batch=N`` marks
+a batch as done once both are complete. Totals add up the deltas of committed batches and never look at documents again,
+so a batch that is committed again, or was left half written, changes nothing.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 Counter = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 STATE = "source string, lang string, version string, tokens bigint"
 LEDGER = "doc_id bigint, version string, before struct<source: string, lang: string, tokens: bigint>, after struct<source: string, lang: string, tokens: bigint>"
+DELTA = "source string, lang string, version string, n_docs bigint, n_tokens bigint"
 _encodings: dict = {}
 
 
@@ -131,13 +133,24 @@ def commit_batch(spark: SparkSession, store: str, batch: int, changes: DataFrame
     after = F.when(~F.col("x.deleted"), F.struct(F.col("x.source").alias("source"), F.col("x.lang").alias("lang"), F.col("x.tokens").alias("tokens")))
     part = last.join(state, ["doc_id", "version"], "left").select("doc_id", "version", "before", after.alias("after")).filter("before IS NOT NULL OR after IS NOT NULL")
     part.write.mode("overwrite").parquet(f"{store}/ledger/batch={batch}")
+    signed_sums(spark.read.schema(part.schema).parquet(f"{store}/ledger/batch={batch}")).write.mode("overwrite").parquet(f"{store}/deltas/batch={batch}")
     spark.range(1).select(F.lit(True).alias("done")).write.mode("overwrite").parquet(f"{store}/commits/batch={batch}")
     return True
 
 
-def totals(spark: SparkSession, store: str) -> DataFrame:
-    """source, lang, version, n_docs, n_tokens: sums of the signed changes of all committed batches, without empty groups."""
-    rows = ledger(spark, store)
+def signed_sums(rows: DataFrame) -> DataFrame:
+    """source, lang, version, n_docs, n_tokens: what ledger rows add to each group, less what they take off; no group without change."""
     signed = rows.select("version", F.inline(F.array(
         F.struct(F.col("after").alias("x"), F.lit(1).cast("long").alias("sign")), F.struct(F.col("before").alias("x"), F.lit(-1).cast("long").alias("sign"))))).filter("x IS NOT NULL")
-    return signed.groupBy("x.source", "x.lang", "version").agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("x.tokens")).alias("n_tokens")).filter("n_docs <> 0")
+    sums = signed.groupBy("x.source", "x.lang", "version").agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("x.tokens")).alias("n_tokens"))
+    return sums.filter("n_docs <> 0 OR n_tokens <> 0")
+
+
+def totals(spark: SparkSession, store: str) -> DataFrame:
+    """source, lang, version, n_docs, n_tokens: the sums of the deltas of all committed batches, without empty groups."""
+    done = committed(spark, store)
+    if not done:
+        return spark.createDataFrame([], DELTA)
+    deltas = spark.read.schema(DELTA).parquet(*[f"{store}/deltas/batch={b}" for b in done])
+    return (deltas.groupBy("source", "lang", "version").agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+            .filter("n_docs <> 0"))
