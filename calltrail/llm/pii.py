@@ -12,15 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .tagger import Params, best_path, emissions, symbols, train
+from .tagger import Params, best_path, emissions, joined_path, symbols, train
 
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window and between window starts.
 WIDTH, STEP = 96, 48
 #: Bound of the training sample, in windows with labelled spans and in windows without; made-up windows fill it up.
 LABELLED, UNLABELLED, WINDOWS = 600, 200, 2800
-#: Longest stretch of windows that is decoded at once; longer ones are cut with this overlap.
-STRETCH, OVERLAP = 1 << 15, 512
+#: Characters that are scored together; a longer stretch is scored in blocks of windows, one path runs through them all.
+STRETCH = 1 << 15
 N_TAGS = 1 + 2 * len(KINDS)
 
 # The base patterns. Each is written so that a scan stays linear: a run of digits is only entered at its
@@ -90,14 +90,7 @@ def stretches(text: str) -> list[tuple[int, int]]:
             out[-1][1] = max(out[-1][1], high)
         else:
             out.append([low, high])
-    cut = []
-    for a, b in out:
-        b = min(b, len(text))
-        while b - a > STRETCH:
-            cut.append((a, a + STRETCH))
-            a += STRETCH - OVERLAP
-        cut.append((a, b))
-    return cut
+    return [(a, min(b, len(text))) for a, b in out]
 
 
 _SCAN = pa.schema([("doc_id", pa.int64()), ("row_key", pa.int64()), ("base", pa.list_(pa.struct([("kind", pa.int32()), ("s", pa.int64()), ("e", pa.int64())]))),
@@ -190,9 +183,8 @@ def training_windows(rows: list[tuple[str, list[Span]]], seed: int = 7, made_up:
 
 def _spans_of(tags: np.ndarray) -> list[Span]:
     out: list[Span] = []
-    for t, tag in enumerate(tags.tolist()):
-        if tag == 0:
-            continue
+    for t in np.flatnonzero(tags).tolist():
+        tag = int(tags[t])
         kind = (tag - 1) // 2
         if tag % 2 == 0 and out and out[-1][0] == kind and out[-1][2] == t:
             out[-1] = (kind, out[-1][1], t + 1)
@@ -201,26 +193,62 @@ def _spans_of(tags: np.ndarray) -> list[Span]:
     return out
 
 
-def tag_stretches(texts: list[str], p: Params, rows: int = 512) -> list[list[Span]]:
+_TENT = np.minimum(np.arange(1, WIDTH + 1), np.arange(WIDTH, 0, -1)).astype(np.float32)
+
+
+def _window_scores(ids: list[np.ndarray], places: list[tuple[int, int]], p: Params) -> np.ndarray:
+    block = np.zeros((len(places), WIDTH), np.int64)
+    for r, (i, a) in enumerate(places):
+        piece = ids[i][a:a + WIDTH]
+        block[r, :len(piece)] = piece
+    return emissions(block, p)
+
+
+def _starts(length: int) -> range:
+    return range(0, max(1, length - WIDTH + STEP), STEP)
+
+
+def _score_blocks(text: str, p: Params, rows: int) -> Iterator[np.ndarray]:
+    """Averaged scores of one stretch, a block of windows after the other; what the next block adds to is handed over."""
+    ids, starts = symbols(text), _starts(len(text))
+    sums, weights, done = np.zeros((0, N_TAGS), np.float32), np.zeros(0, np.float32), 0
+    for at in range(0, len(starts), rows):
+        some = starts[at:at + rows]
+        grown = min(len(text), some[-1] + WIDTH) - done - len(sums)
+        sums, weights = np.concatenate([sums, np.zeros((grown, N_TAGS), np.float32)]), np.concatenate([weights, np.zeros(grown, np.float32)])
+        scores = _window_scores([ids], [(0, a) for a in some], p)
+        for r, a in enumerate(some):
+            n = min(WIDTH, len(text) - a)
+            sums[a - done:a - done + n] += scores[:n, r] * _TENT[:n, None]
+            weights[a - done:a - done + n] += _TENT[:n]
+        ready = len(sums) if at + rows >= len(starts) else some[-1] + STEP - done
+        yield sums[:ready] / weights[:ready, None]
+        sums, weights, done = sums[ready:], weights[ready:], done + ready
+
+
+def tag_stretches(texts: list[str], p: Params, rows: int = 512, together: int = STRETCH) -> list[list[Span]]:
     """Spans of each stretch: windows are scored on their own, scores of overlapping windows are averaged with weights that
-    fall towards a window's edges, and one best path runs through the whole stretch."""
-    places = [(i, a) for i, t in enumerate(texts) for a in range(0, max(1, len(t) - WIDTH + STEP), STEP)]
-    sums = [np.zeros((len(t), N_TAGS), np.float32) for t in texts]
-    weights = [np.zeros(len(t), np.float32) for t in texts]
-    ids = [symbols(t) for t in texts]
-    tent = np.minimum(np.arange(1, WIDTH + 1), np.arange(WIDTH, 0, -1)).astype(np.float32)
+    fall towards a window's edges, and one best path runs through the whole stretch, however long it is. Stretches above
+    ``together`` characters are scored block by block, which gives the same scores in less memory."""
+    out: list[list[Span]] = [[] for _ in texts]
+    for i, t in enumerate(texts):
+        if len(t) > together:
+            out[i] = _spans_of(joined_path(_score_blocks(t, p, rows), p))
+    short = [i for i, t in enumerate(texts) if 0 < len(t) <= together]
+    ids = [symbols(texts[i]) for i in short]
+    sums = [np.zeros((len(x), N_TAGS), np.float32) for x in ids]
+    weights = [np.zeros(len(x), np.float32) for x in ids]
+    places = [(k, a) for k, x in enumerate(ids) for a in _starts(len(x))]
     for at in range(0, len(places), rows):
         some = places[at:at + rows]
-        block = np.zeros((len(some), WIDTH), np.int64)
-        for r, (i, a) in enumerate(some):
-            piece = ids[i][a:a + WIDTH]
-            block[r, :len(piece)] = piece
-        scores = emissions(block, p)
-        for r, (i, a) in enumerate(some):
-            n = min(WIDTH, len(texts[i]) - a)
-            sums[i][a:a + n] += scores[:n, r] * tent[:n, None]
-            weights[i][a:a + n] += tent[:n]
-    return [_spans_of(best_path(s / w[:, None], p)) if len(w) else [] for s, w in zip(sums, weights)]
+        scores = _window_scores(ids, some, p)
+        for r, (k, a) in enumerate(some):
+            n = min(WIDTH, len(ids[k]) - a)
+            sums[k][a:a + n] += scores[:n, r] * _TENT[:n, None]
+            weights[k][a:a + n] += _TENT[:n]
+    for k, i in enumerate(short):
+        out[i] = _spans_of(best_path(sums[k] / weights[k][:, None], p))
+    return out
 
 
 def plausible(kind: int, text: str) -> bool:
@@ -234,7 +262,7 @@ def plausible(kind: int, text: str) -> bool:
         return len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     if kind == 2:
         return 16 <= len(digits) <= 19 and not re.search(r"[^0-9 -]", text) and luhn(digits)
-    return 10 <= len(digits) <= 15 and len(text) > len(digits) and not re.search(r"[^0-9 ().+-]", text) and text[0] in "+(0123456789" and text[-1].isdigit()
+    return 8 <= len(digits) <= 15 and len(text) > len(digits) and not re.search(r"[^0-9 ().+-]", text) and text[0] in "+(0123456789" and text[-1].isdigit()
 
 
 def settled(kind: int, text: str) -> int | None:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 
 _KNOWN = " \n\tabcdefghijklmnopqrstuvwxyz0123456789@.+-()_%:/,;=\"'#"
@@ -146,17 +148,33 @@ def train(ids: np.ndarray, tags: np.ndarray, n_tags: int, epochs: int = 8, batch
     return p
 
 
+def joined_path(blocks: Iterable[np.ndarray], p: Params) -> np.ndarray:
+    """The likeliest tags of one sequence whose scores (time x tags) come in blocks; a byte for each time and tag is kept of them."""
+    back, now = [], None
+    for scores in blocks:
+        here = np.zeros(scores.shape, np.int8)
+        for t in range(len(scores)):
+            if now is None:
+                now = scores[t].astype(np.float64) + p["begin"]
+                continue
+            ways = now[:, None] + p["moves"]
+            here[t] = ways.argmax(0)
+            now = ways.max(0) + scores[t]
+        if len(scores):
+            now -= now.max()  # sums of long sequences stay small
+        back.append(here)
+    tags = np.zeros(sum(map(len, back)), np.int8)
+    at = len(tags) - 1
+    if at >= 0:
+        tags[at] = now.argmax()
+    for here in reversed(back):
+        for t in range(len(here) - 1, -1, -1):
+            if at:
+                tags[at - 1] = here[t, tags[at]]
+            at -= 1
+    return tags
+
+
 def best_path(scores: np.ndarray, p: Params) -> np.ndarray:
     """The likeliest tags of one sequence of scores (time x tags)."""
-    steps, n = scores.shape
-    back = np.zeros((steps, n), np.int8)
-    now = scores[0] + p["begin"]
-    for t in range(1, steps):
-        ways = now[:, None] + p["moves"]
-        back[t] = ways.argmax(0)
-        now = ways.max(0) + scores[t]
-    tags = np.empty(steps, np.int64)
-    tags[-1] = now.argmax()
-    for t in range(steps - 1, 0, -1):
-        tags[t - 1] = back[t, tags[t]]
-    return tags
+    return joined_path([scores], p)
