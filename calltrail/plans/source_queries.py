@@ -10,6 +10,7 @@ from ..sources import changes as H
 from ..sources import exports as X
 from ..sources import imports as I
 from ..sources import lookup as K
+from ..sources import text_index as G
 from ..sources.rewrites import apply_changes
 from ..sources.tables import conform_requests, load_table, write_requests
 from .registry import query, stamp, stamp_sql
@@ -230,6 +231,18 @@ def _requests_indexed(spark, folder):
     return K.find_requests(spark, _indexed(spark, folder), keys).select("key", "id", "model")
 
 
+@query("search_requests_indexed", with_log("""SELECT id, status FROM r
+  WHERE input_messages ILIKE '%USER1_@example%' OR output_message ILIKE '%USER1_@example%' OR model ILIKE '%USER1_@example%'"""))
+def _search_indexed(spark, folder):
+    store = scratch_path(spark, "searched")
+    log = unpriced(spark, folder)
+    first = F.xxhash64("id") % 2 == 0
+    for part in (log.filter(first), log.filter(~first)):
+        write_requests(part, store)
+        G.update_text_index(spark, store)
+    return G.search_stored(spark, store, "USER1_@example").select("id", "status")
+
+
 @query("merge_change_rejects", """SELECT 'req_' || CAST(event_id AS VARCHAR) AS id, 'status is required' AS reason FROM events WHERE event_type = 'error'
   UNION ALL SELECT 'nobody_' || CAST(event_id AS VARCHAR), 'unknown id' FROM events WHERE event_type = 'error'""")
 def _merge_rejects(spark, folder):

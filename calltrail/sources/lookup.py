@@ -30,9 +30,9 @@ def _files(spark: SparkSession, store: str) -> dict[str, str]:
     return {_inside(f, store): f for f in load_table(spark, store).inputFiles()}
 
 
-def _index(spark: SparkSession, store: str) -> tuple[list[int], set[str]]:
-    """Numbers of the finished batches, and the files they cover."""
-    home = f"{store.rstrip('/')}/_keys"
+def _index(spark: SparkSession, store: str, name: str = "_keys") -> tuple[list[int], set[str]]:
+    """Numbers of the finished batches of the index ``name``, and the files they cover."""
+    home = f"{store.rstrip('/')}/{name}"
     done = []
     while _there(spark, f"{home}/batch={len(done)}/files/_SUCCESS"):
         done.append(len(done))
