@@ -36,11 +36,30 @@ TEMPLATES = {
 }
 TEMPLATES["BSD-3-Clause"] = TEMPLATES["BSD-2-Clause"] + (
     " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.")
+TEMPLATES["BSD-4-Clause"] = TEMPLATES["BSD-2-Clause"] + (
+    " 3. All advertising materials mentioning features or use of this software must display the following acknowledgement: This product includes software developed by the copyright holder."
+    " 4. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.")
+TEMPLATES |= {
+    "GPL-3.0-only-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, version 3 of the License.",
+    "GPL-2.0-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "GPL-2.0-only-header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
+    "LGPL-3.0-header": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "LGPL-2.1-header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC0-1.0-notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
+}
 #: What tells a license from its neighbours: these runs of a template's words must be aligned without a gap.
 REQUIRED = {
     "MIT-notice": ["MIT License"], "Apache-2.0-notice": ["Apache License", "2.0"], "GPL-3.0-notice": ["GNU General Public License", "version 3"],
     "CC-BY-NC-4.0-notice": ["CC BY-NC 4.0"], "CC-BY-4.0-notice": ["Creative Commons Attribution 4.0"], "BSD-3-Clause": ["endorse or promote products"],
-    "Apache-2.0-header": ["Apache License"], "GPL-3.0-header": ["GNU General Public License", "version 3"], "MPL-2.0-header": ["Mozilla Public License"],
+    "Apache-2.0-header": ["Apache License"], "GPL-3.0-header": ["GNU General Public License", "version 3", "any later version"], "MPL-2.0-header": ["Mozilla Public License"],
+    "BSD-4-Clause": ["All advertising materials mentioning", "endorse or promote products"], "GPL-3.0-only-header": ["GNU General Public License", "Free Software Foundation, version 3"],
+    "GPL-2.0-header": ["GNU General Public License", "either version 2 of", "any later version"], "GPL-2.0-only-header": ["GNU General Public License version 2 as"],
+    "LGPL-3.0-header": ["GNU Lesser General Public License", "version 3", "any later version"], "LGPL-2.1-header": ["GNU Lesser General Public License", "version 2.1", "any later version"],
+    "CC-BY-SA-4.0-notice": ["Attribution-ShareAlike 4.0"], "CC0-1.0-notice": ["waived all copyright and related or neighboring rights"],
 }
 COMMON = "a an and are as at be by for from in is it of on or that the this to was were with you".split()
 
