@@ -228,11 +228,14 @@ def _bleu(spark, folder):
     return K.bleu4(_pairs_view(spark, folder), KEY).withColumn("bleu", F.round("bleu", 9))
 
 
-@query("text_metrics", with_view(TEXT_PAIRS, f"""SELECT p.conv_id, p.turn, CAST({norm_sql('v.generated')} = {norm_sql('v.expected')} AS INT) AS exact_match,
+METRICS_SQL = f"""SELECT p.conv_id, p.turn, CAST({norm_sql('v.generated')} = {norm_sql('v.expected')} AS INT) AS exact_match,
   coalesce(CASE WHEN o1.o > 0 THEN round((2.0 * (o1.o / len(g)) * (o1.o / len(e))) / (o1.o / len(g) + o1.o / len(e)), 9) END, 0.0) AS f1_score,
   coalesce(round(o1.o / len(e), 9), 0.0) AS rouge_1, coalesce(round(o2.o / (len(e) - 1), 9), 0.0) AS rouge_2
   FROM p JOIN v ON v.conv_id = p.conv_id AND v.turn = p.turn LEFT JOIN o1 ON o1.conv_id = p.conv_id AND o1.turn = p.turn
-  LEFT JOIN o2 ON o2.conv_id = p.conv_id AND o2.turn = p.turn WHERE v.expected <> ''""", TOKENS_SQL, _overlap_ctes(1), _overlap_ctes(2)))
+  LEFT JOIN o2 ON o2.conv_id = p.conv_id AND o2.turn = p.turn WHERE v.expected <> ''"""
+
+
+@query("text_metrics", with_view(TEXT_PAIRS, METRICS_SQL, TOKENS_SQL, _overlap_ctes(1), _overlap_ctes(2)))
 def _all_metrics(spark, folder):
     rows = K.text_metrics(_pairs_view(spark, folder), KEY)
     return rows.select(*KEY, "exact_match", *[F.round(c, 9).alias(c) for c in ("f1_score", "rouge_1", "rouge_2")])
@@ -373,6 +376,31 @@ def _assemble(spark, folder):
     return done.select("id", "score", "coherence", "fluency", "faithfulness", F.array_join("task_metrics", ",").alias("task_metrics"), F.col("safety.status").alias("safety_status"))
 
 
+# Judge rows of the text pairs, with ids found for them: scores 0 and 6 are no scores, a third is not called aligned.
+PAIR_ID, PAIR_SCORE, PAIR_ALIGNED = "CAST(conv_id AS {S}) || '-' || CAST(turn AS {S})", "(conv_id + turn) % 7", "conv_id % 3 <> 0"
+FOUND, RELEVANT = ("conv_id % 5", "turn % 5", "(conv_id + turn) % 5"), ("conv_id % 4", "turn % 3")
+
+
+@query("assemble_evaluation_metrics", with_view(TEXT_PAIRS, f"""SELECT id, CASE WHEN judged THEN CAST(s AS DOUBLE) ELSE 0.0 END AS score,
+  CASE WHEN aligned OR NOT judged THEN exact_match END AS exact_match, CASE WHEN aligned OR NOT judged THEN f1_score END AS f1_score,
+  CASE WHEN aligned OR NOT judged THEN rouge_1 END AS rouge_1, CASE WHEN aligned OR NOT judged THEN rouge_2 END AS rouge_2,
+  round({_hits('found')} / CAST(2 AS DOUBLE), 9) AS recall_at_k, round({_hits('found')} / CAST(3 AS DOUBLE), 9) AS precision_at_k,
+  coalesce(round(1.0 / list_min([i FOR i IN range(1, 4) IF list_contains(relevant_ids, found[i])]), 9), 0.0) AS mrr
+  FROM (SELECT {PAIR_ID.format(S='VARCHAR')} AS id, {PAIR_SCORE} AS s, {PAIR_SCORE} BETWEEN 1 AND 5 AS judged, {PAIR_ALIGNED} AS aligned, [{', '.join(FOUND)}] AS found, [{', '.join(RELEVANT)}] AS relevant_ids,
+    m.* EXCLUDE (conv_id, turn) FROM v LEFT JOIN m USING (conv_id, turn)) z""", TOKENS_SQL, _overlap_ctes(1), _overlap_ctes(2), f"m AS ({METRICS_SQL})"))
+def _assemble_metrics(spark, folder):
+    pairs = _pairs_view(spark, folder).withColumn("id", F.expr(PAIR_ID.format(S="STRING")))
+    fit = F.expr(f"IF({PAIR_ALIGNED}, '\"ground_truth_alignment\"', '')")
+    parsed = pairs.select("id", F.concat(F.lit('{"score":'), F.expr(PAIR_SCORE).cast("string"), F.lit(',"applicable_metrics":['), fit, F.lit("]}")).alias("judge_json"))
+    found, relevant = F.array(*map(F.expr, FOUND)), F.array(*map(F.expr, RELEVANT))
+    places = pairs.select("id", recall_at_k(found, relevant).alias("recall_at_k"), precision_at_k(found, relevant).alias("precision_at_k"), mrr(found, relevant).alias("mrr"))
+    metrics = places.join(K.text_metrics(pairs, "id"), "id", "left")
+    done, rejects = E.assemble_evaluation(parsed, metrics=metrics)
+    names = ("f1_score", "rouge_1", "rouge_2", "recall_at_k", "precision_at_k", "mrr")
+    both = done.select("id", "score", "exact_match", *names).unionByName(E.failed_evaluations(rejects, metrics).select("id", "score", "exact_match", *names))
+    return both.select("id", "score", "exact_match", *[F.round(c, 9).alias(c) for c in names])
+
+
 @query("assemble_evaluation_rejects", with_view(JUDGED, "SELECT id FROM v WHERE CAST(json_extract_string(judge_json, '$.score') AS DOUBLE) NOT BETWEEN 1 AND 5"))
 def _assemble_rejects(spark, folder):
     return E.assemble_evaluation(view(spark, folder, JUDGED))[1].select("id")
