@@ -14,12 +14,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import LOWER, find_words, inside_rows, row_blocks, window_hashes, word_hashes
+from .shared import written
+from .words import LOWER, find_words, inside_rows, mix, row_blocks, window_hashes, word_hashes
 
 #: Share of an item's words that may be edited, and the least number of words an item must have to be looked for.
 ERROR_RATE, MIN_WORDS = 0.2, 8
-#: Bytes of item text that go to every task at once; more items are searched for in several passes over the documents.
+#: Item text that goes to every task at once; beyond it documents are screened once, and passes read what the screen left.
 ITEM_BYTES = 8 << 20
+#: Bits of the screen (a Bloom filter): 32 for each piece at least, within these powers of two (32 MB at most); probes of a hash.
+SCREEN_BITS, PROBES = (15, 28), 8
 
 Index = tuple[list[int], list[list[int]], dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
@@ -36,6 +39,12 @@ def _hashed(texts: list[str]) -> list[np.ndarray]:
     return [hashes[words.first[i]:words.first[i + 1]] for i in range(len(texts))]
 
 
+def _cuts(n_words: int, error_rate: float) -> list[int]:
+    """Bounds of an item's pieces, one more than may be edited."""
+    e = budget(n_words, error_rate)
+    return [n_words * k // (e + 1) for k in range(e + 2)]
+
+
 def build_index(items: list[tuple[int, str]], error_rate: float = ERROR_RATE, min_words: int = MIN_WORDS) -> Index:
     """Item ids, their words' hashes, and by piece length: sorted piece hashes with item and place."""
     ids, found, pieces = [], [], {}
@@ -43,8 +52,7 @@ def build_index(items: list[tuple[int, str]], error_rate: float = ERROR_RATE, mi
         n = len(words)
         if n < min_words:
             continue
-        e = budget(n, error_rate)
-        cuts = [n * k // (e + 1) for k in range(e + 2)]
+        cuts = _cuts(n, error_rate)
         for a, b in zip(cuts, cuts[1:]):
             pieces.setdefault(b - a, []).append((int(window_hashes(words[a:b], b - a)[0]), len(ids), a))
         ids.append(item)
@@ -121,6 +129,74 @@ def _search(index, error_rate: float):
     return run
 
 
+def _pieces(error_rate: float, min_words: int):
+    """(size, hash) of each piece of the items in a column ``text``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, *_ in row_blocks(batch, "text"):
+                sizes, hashes = [], []
+                for words in _hashed(part.column("text").to_pylist()):
+                    cuts = _cuts(len(words), error_rate) if len(words) >= min_words else []
+                    for a, b in zip(cuts, cuts[1:]):
+                        sizes.append(b - a)
+                        hashes.append(window_hashes(words[a:b], b - a)[0])
+                yield pa.record_batch({"size": pa.array(sizes, pa.int32()), "hash": pa.array(np.array(hashes, np.uint64).view(np.int64))})
+    return run
+
+
+def _probe(hashes: np.ndarray, k: int, power: int) -> np.ndarray:
+    return mix(hashes + np.uint64(k)) >> np.uint64(64 - power)
+
+
+def _places(power: int):
+    """Places of the screen that the pieces set, counted from one as Spark's bitmap functions do."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes = batch.column("hash").to_numpy(zero_copy_only=False).view(np.uint64)
+            for k in range(PROBES):
+                yield pa.record_batch({"place": pa.array(_probe(hashes, k, power).view(np.int64) + 1)})
+    return run
+
+
+def _screened(screen):
+    """Rows of (doc_id, text) in which a window of words may be a piece."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes, power, bits = screen.value
+        for batch in batches:
+            for part, data, offsets in row_blocks(batch, "text"):
+                words = find_words(LOWER[data], offsets)
+                hashes = word_hashes(words)
+                likely = np.zeros(part.num_rows, bool)
+                for size in sizes:
+                    windows = window_hashes(hashes, size)
+                    hit = np.flatnonzero(inside_rows(words.first, size))
+                    for k in range(PROBES):
+                        place = _probe(windows[hit], k, power)
+                        hit = hit[(bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)]
+                    likely[np.searchsorted(words.first, hit, side="right") - 1] = True
+                if likely.any():
+                    yield part.filter(pa.array(likely))
+    return run
+
+
+def suspects(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_words: int = MIN_WORDS) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text) that may hold a piece of an item, written: all that can hold an item, and few more.
+
+    Spark makes the bits of all pieces; at most 32 MB of them go through the driver to every task, whatever the number of items.
+    """
+    spark = docs.sparkSession
+    pieces = written(items.select("text").mapInArrow(_pieces(error_rate, min_words), "size int, hash long"), "pieces")
+    sizes = sorted(r["size"] for r in pieces.select("size").distinct().collect())
+    power = min(max((32 * pieces.count()).bit_length(), SCREEN_BITS[0]), SCREEN_BITS[1])
+    maps = (pieces.select("hash").mapInArrow(_places(power), "place long").groupBy(F.bitmap_bucket_number("place").alias("bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")))
+    bits = np.zeros(1 << (power - 3), np.uint8)
+    for r in maps.collect():
+        begin = (r["bucket"] - 1) * 4096
+        bits[begin:begin + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return written(docs.select("doc_id", "text").mapInArrow(_screened(spark.sparkContext.broadcast((sizes, power, bits))), docs.select("doc_id", "text").schema), "suspects")
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE, min_words: int = MIN_WORDS, item_bytes: int = ITEM_BYTES) -> DataFrame:
     """(doc_id, item_id, distance, end_word) for every document and item that occurs in it within its error budget.
 
@@ -130,13 +206,16 @@ def find_leaks(docs: DataFrame, items: DataFrame, error_rate: float = ERROR_RATE
 
     Cases: NULL and empty texts contain nothing; items with fewer than ``min_words`` words or without text are not looked
     for; items of equal text are all reported; a repeated document is reported for each row; NULL ids are reported as
-    such. Items are read in blocks of ``item_bytes`` of text, one pass over the documents for each, so any number works.
+    such. Items are read in blocks of ``item_bytes`` of text. With one block there is one pass over the documents; with more
+    the documents are screened in one pass (``suspects``), and each block's pass reads only what may hold a piece.
     """
     spark = docs.sparkSession
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text IS NOT NULL")
     schema = "doc_id long, item_id long, distance long, end_word long"
     result, block, size = None, [], 0
+    if (wanted.agg(F.sum(F.length("text"))).first()[0] or 0) > item_bytes:
+        narrow = suspects(narrow, wanted, error_rate, min_words)
 
     def searched(now: list[tuple[int, str]], before: DataFrame | None) -> DataFrame:
         index = spark.sparkContext.broadcast(build_index(now, error_rate, min_words))
