@@ -11,9 +11,10 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -173,8 +174,30 @@ def diff_lines(old: str, new: str) -> list[dict]:
 
 
 EDITS = T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("text", T.StringType())]))
+_EDITS = pa.list_(pa.struct([("type", pa.string()), ("text", pa.string())]))
 
 
-@F.pandas_udf(EDITS)
-def line_diff(old: pd.Series, new: pd.Series) -> pd.Series:
-    return pd.Series([diff_lines(x, y) for x, y in zip(old, new)])
+# Edits made at once: about so many characters of both texts, or one pair.
+DIFF_CHARS = 1 << 20
+
+
+def diff_blocks(pairs: Iterable[tuple[str, str]], limit: int = DIFF_CHARS) -> Iterator[list[list[dict]]]:
+    """Edits of pairs of texts in lists that come from about ``limit`` characters; an edit takes many times the memory of its line."""
+    block, size = [], 0
+    for old, new in pairs:
+        block.append(diff_lines(old, new))
+        size += len(old or "") + len(new or "")
+        if size >= limit:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+@F.arrow_udf(EDITS)
+def line_diff(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Edits leave in smaller batches than the texts come in, so a worker holds those of few texts."""
+    for old, new in batches:
+        pairs = ((x.as_py(), y.as_py()) for x, y in zip(old, new))
+        for block in diff_blocks(pairs):
+            yield pa.array(block, _EDITS)
