@@ -4,12 +4,14 @@ Call records and chunks are one keyed stream. What belongs to a call waits in it
 record, the end mark and every chunk number up to it. Then record and chunks are released, assembled and written once. A
 timer releases what is incomplete when nothing has come for some time, so state is bounded by the calls that are
 open. Time is that of arrival (the micro-batch), so nothing is ever late, and a run over what is there comes to an end.
-Chunks stay in the state store as a list and are read in batches, whatever their number.
+Chunks that wait stay in the state store as a list and are read in batches, whatever their number; a call that comes whole
+passes without touching it.
 """
 
 from __future__ import annotations
 
 import json
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from typing import Any
 
@@ -33,14 +35,15 @@ _ROWS = 5000
 
 def add_ranges(ranges: list[list[int]], numbers: Iterable[int]) -> tuple[list[list[int]], list[int]]:
     """(sorted disjoint ranges with ``numbers`` added, those of the numbers that are new)."""
-    fresh = []
-    held = [list(r) for r in ranges]
-    for n in sorted(set(numbers)):
-        if not any(a <= n <= b for a, b in held):
-            fresh.append(n)
-            held.append([n, n])
+    starts = [a for a, _ in ranges]
+
+    def held(n: int) -> bool:
+        k = bisect_right(starts, n)
+        return k > 0 and n <= ranges[k - 1][1]
+
+    fresh = [n for n in sorted(set(numbers)) if not held(n)]
     merged: list[list[int]] = []
-    for a, b in sorted(held):
+    for a, b in sorted([*map(list, ranges), *([n, n] for n in fresh)]):
         if merged and a <= merged[-1][1] + 1:
             merged[-1][1] = max(merged[-1][1], b)
         else:
@@ -49,7 +52,11 @@ def add_ranges(ranges: list[list[int]], numbers: Iterable[int]) -> tuple[list[li
 
 
 class OpenCalls(StatefulProcessor):
-    """Holds a call's record and chunks until it is complete or nothing has come for ``patience_ms``."""
+    """Holds a call's record and chunks until it is complete or nothing has come for ``patience_ms``.
+
+    A call that comes whole in one micro-batch goes out as it came: each use of the state is a round trip to the JVM, so
+    only what has to wait, or is beyond ``_ROWS`` chunks, is put there.
+    """
 
     def __init__(self, patience_ms: int):
         self.patience_ms = patience_ms
@@ -60,34 +67,46 @@ class OpenCalls(StatefulProcessor):
         self.chunks = handle.getListState("chunks", "seq long, data string")
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        known = self.progress.get() if self.progress.exists() else (None, "[]", None)
-        call, ranges, last = known[0], json.loads(known[1]), known[2]
-        arrived = 0
+        known = self.progress.get()
+        call, ranges, last = (known[0], json.loads(known[1]), known[2]) if known else (None, [], None)
+        arrived, stored = 0, known is not None
+        held: list[tuple[int, str]] = []
         for batch in rows:
-            arrived = max(arrived, int(batch["at"].max().timestamp() * 1000))
-            records = batch["call"].dropna()
-            if call is None and len(records):
-                call = records.iloc[0]
-            parts = batch[batch["seq"].notna()].drop_duplicates("seq")
-            if len(parts):
-                ranges, fresh = add_ranges(ranges, parts["seq"].astype("int64").tolist())
-                new = parts[parts["seq"].isin(set(fresh))]
-                if len(new):
-                    self.chunks.appendList([(int(s), d) for s, d in zip(new["seq"], new["data"])])
-                ends = new[new["data"] == STREAM_END]["seq"]
-                if len(ends):
-                    last = int(ends.max())
-        if call is not None and last is not None and any(a <= 0 and b >= last for a, b in ranges):
+            arrived = max(arrived, int(batch["at"].max()))
+            parts: dict[int, str] = {}
+            for record, seq, data in zip(batch["call"].tolist(), batch["seq"].tolist(), batch["data"].tolist()):
+                if call is None and isinstance(record, str):
+                    call = record
+                if seq is not None and seq == seq:
+                    parts.setdefault(int(seq), data if isinstance(data, str) else None)
+            ranges, fresh = add_ranges(ranges, parts)
+            held += [(seq, parts[seq]) for seq in fresh]
+            last = max((seq for seq in fresh if parts[seq] == STREAM_END), default=last)
+            if len(held) > _ROWS:
+                self.chunks.appendList(held)
+                held, stored = [], True
+        whole = call is not None and last is not None and any(a <= 0 and b >= last for a, b in ranges)
+        if whole and not stored:
+            yield self._frame(key, [(None, None), *held], call)
+            return
+        if held:
+            self.chunks.appendList(held)
+        if whole:
             yield from self._release(key, call)
         else:
             self.progress.update((call, json.dumps(ranges), last))
-            for old in list(self.handle.listTimers()):
-                self.handle.deleteTimer(old)
+            if known is not None:
+                self._stop_timers()
             self.handle.registerTimer(arrived + self.patience_ms)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        if self.progress.exists():
-            yield from self._release(key, self.progress.get()[0])
+        known = self.progress.get()
+        if known is not None:
+            yield from self._release(key, known[0])
+
+    def _stop_timers(self) -> None:
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
 
     def _release(self, key: Any, call: str | None) -> Iterator[pd.DataFrame]:
         held: list[tuple[int, str]] = []
@@ -100,15 +119,15 @@ class OpenCalls(StatefulProcessor):
                     held = []
         if held:
             yield self._frame(key, held)
-        for old in list(self.handle.listTimers()):
-            self.handle.deleteTimer(old)
+        self._stop_timers()
         self.progress.clear()
         self.chunks.clear()
 
     @staticmethod
     def _frame(key: Any, rows: list[tuple], call: str | None = None) -> pd.DataFrame:
-        return pd.DataFrame({"request_id": [key[0]] * len(rows), "call": pd.Series([call] * len(rows), dtype=object),
-                             "seq": pd.Series([r[0] for r in rows], dtype="Int64"), "data": pd.Series([r[1] for r in rows], dtype=object)})
+        """Released rows; the record stands in the first."""
+        seqs, data = zip(*rows)
+        return pd.DataFrame({"request_id": [key[0]] * len(rows), "call": [call, *[None] * (len(rows) - 1)], "seq": seqs, "data": data}, dtype=object)
 
     def close(self) -> None:
         pass
@@ -126,7 +145,7 @@ def released_calls(calls: DataFrame, chunks: DataFrame, patience_ms: int = PATIE
             .unionByName(chunks.select("request_id", nothing.alias("call"), F.col("seq").cast("long").alias("seq"), "data", F.lit(True).alias("held"))))
     arriving = both.filter("request_id IS NOT NULL").withColumn("at", F.current_timestamp()).withWatermark("at", clock_slack)
     # Records that are not held move time on, too: the mention of time keeps this filter behind the watermark.
-    held = arriving.filter(F.col("held") | (F.col("at") < F.lit("1970-01-01").cast("timestamp"))).drop("held")
+    held = arriving.filter(F.col("held") | (F.col("at") < F.lit("1970-01-01").cast("timestamp"))).select("request_id", "call", "seq", "data", F.unix_millis("at").alias("at"))
     return held.groupBy("request_id").transformWithStateInPandas(
         OpenCalls(patience_ms), outputStructType=_RELEASED, outputMode="append", timeMode="eventTime")
 
