@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.base import blank_to_null, is_json, once, with_member
 from ..functions.messages import parse_created_at
 from ..operators.evaluation import BAD, text_fields
+from ..scale import BLOCK
 from ..schema import REQUESTS
 
 IMPORTED_TAG = "imported"
@@ -68,14 +69,55 @@ def _document(name: str, openers: str) -> Column:
     return F.when(F.substring(F.ltrim(text), 1, 1).isin(*openers) & is_json(text), text)
 
 
+def _block() -> Column:
+    return F.floor(F.col("seq") / F.lit(BLOCK))
+
+
+def _first_of_id(typed: DataFrame) -> DataFrame:
+    """One row of each id, the one with the smallest ``seq``, without ``seq``.
+
+    Rows are dealt out by (id, block of positions) before the first ranking: a task that reads files passes them on
+    and keeps none, and an id that fills a large part of the file comes in many parts.
+    """
+    rows = typed.withColumn("_block", _block()).repartition("id", "_block")
+    for keys in (["id", "_block"], ["id"]):
+        nth = F.row_number().over(Window.partitionBy(*keys).orderBy("seq"))
+        rows = rows.withColumn("_nth", nth).filter(F.col("_nth") == 1).drop("_nth")
+    return rows.drop("_block", "seq")
+
+
+def _refused(slim: DataFrame, existing: DataFrame | None) -> DataFrame:
+    """(seq, id, reason) of the rows (seq, id) that a smaller ``seq`` of their id goes before, and of first rows whose id ``existing`` holds.
+
+    Within (id, block of positions) all rows but the smallest are known as duplicates. The smallest meet by id, with
+    the stored ids; the others go along, spread by position, so that records are parsed once.
+    """
+    least = F.min("seq").over(Window.partitionBy("id", "_block"))
+    head = F.col("seq").isNull() | (F.col("seq") == least)
+    rows = (slim.withColumn("_block", _block()).withColumn("_head", head)
+            .select("seq", "id", F.when(F.col("_head"), F.col("id")).alias("_key"), F.when(~F.col("_head"), F.col("seq")).alias("_spread"), F.lit(False).alias("_stored")))
+    if existing is not None:
+        stored = existing.select(F.col("id").cast("string").alias("id")).filter("id IS NOT NULL")
+        rows = rows.unionByName(stored.select("id", F.col("id").alias("_key"), F.lit(True).alias("_stored")), allowMissingColumns=True)
+    group = Window.partitionBy("_key", "_spread")
+    rows = rows.withColumns({"_least": F.min("seq").over(group), "_known": F.max("_stored").over(group), "_nth": F.row_number().over(group.orderBy("_stored", "seq"))})
+    # A record without a position never comes first, though it may be the one that is taken.
+    duplicate = F.col("_key").isNull() | F.col("seq").isNull() | (F.col("seq") > F.col("_least"))
+    known = F.col("_key").isNotNull() & F.col("_known") & (F.col("_nth") == 1)
+    reasons = F.array_compact(F.array(F.when(duplicate, F.lit("duplicate id")), F.when(known, F.lit("id exists"))))
+    return rows.filter(~F.col("_stored")).select("seq", "id", F.explode(reasons).alias("reason"))
+
+
 def import_records(records: DataFrame, existing: DataFrame | None = None, now: Column | None = None,
                    import_id: str = "") -> tuple[DataFrame, DataFrame]:
     """(request rows, rejects with seq, id and reason) from rows (seq, value).
 
     Of several records with one id the first is taken; an id that ``existing``
-    holds is rejected. Spark limits the ranking to one row per id and task before
-    the shuffle, so an id repeated in a large part of the file does no harm. Ids
-    are made for records without one from ``import_id``, position and text.
+    holds is rejected. Both are found block by block of positions before rows
+    meet by id, so an id repeated in a large part of the file does no harm, and
+    no task holds more than its share of a shuffle, however many records it
+    reads. Ids are made for records without one from ``import_id``, position and
+    text.
     """
     now = F.current_timestamp() if now is None else now
     names = tuple(f.name for f in REQUESTS) + ("cost",)
@@ -110,19 +152,10 @@ def import_records(records: DataFrame, existing: DataFrame | None = None, now: C
         return (blank_to_null(F.col(f"r.{field.name}")) if c is None else c).try_cast(field.dataType).alias(field.name)
 
     typed = rows.select("seq", *[column(f) for f in REQUESTS])
-    nth = F.row_number().over(Window.partitionBy("id").orderBy("seq"))
-    first = typed.withColumn("_nth", nth).filter(F.col("_nth") == 1).drop("_nth")
-    slim = typed.select("seq", "id")
-    winner = slim.groupBy("id").agg(F.min("seq").alias("seq"))
-    rejects = [unreadable, slim.join(winner, ["id", "seq"], "left_anti").select("seq", "id", F.lit("duplicate id").alias("reason"))]
+    first = _first_of_id(typed)
     if existing is not None:
-        stored = existing.select("id")
-        rejects.append(first.join(stored, "id", "left_semi").select("seq", "id", F.lit("id exists").alias("reason")))
-        first = first.join(stored, "id", "left_anti")
-    out = rejects[0]
-    for r in rejects[1:]:
-        out = out.unionByName(r)
-    return first.select(*[f.name for f in REQUESTS]), out
+        first = first.join(existing.select("id"), "id", "left_anti")
+    return first.select(*[f.name for f in REQUESTS]), unreadable.unionByName(_refused(typed.select("seq", "id"), existing))
 
 
 def import_logs(spark: SparkSession, path: str, existing: DataFrame | None = None, lines: bool | None = None,
