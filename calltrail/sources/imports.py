@@ -99,8 +99,10 @@ def _refused(slim: DataFrame, existing: DataFrame | None) -> DataFrame:
     if existing is not None:
         stored = existing.select(F.col("id").cast("string").alias("id")).filter("id IS NOT NULL")
         rows = rows.unionByName(stored.select("id", F.col("id").alias("_key"), F.lit(True).alias("_stored")), allowMissingColumns=True)
-    group = Window.partitionBy("_key", "_spread")
-    rows = rows.withColumns({"_least": F.min("seq").over(group), "_known": F.max("_stored").over(group), "_nth": F.row_number().over(group.orderBy("_stored", "seq"))})
+    # One order for all three, so that a task sorts its rows once.
+    order = Window.partitionBy("_key", "_spread").orderBy("_stored", "seq")
+    group = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rows = rows.withColumns({"_least": F.min("seq").over(group), "_known": F.max("_stored").over(group), "_nth": F.row_number().over(order)})
     # A record without a position never comes first, though it may be the one that is taken.
     duplicate = F.col("_key").isNull() | F.col("seq").isNull() | (F.col("seq") > F.col("_least"))
     known = F.col("_key").isNotNull() & F.col("_known") & (F.col("_nth") == 1)
