@@ -1,125 +1,477 @@
 """Perplexity of texts under a modified Kneser-Ney model of word trigrams, one for each language, each text left out of its own model.
 
-All tables grow with the input and are only grouped and joined by Spark. Counts of the highest order are those of texts,
-lower orders are continuation counts. A text that was counted itself would vouch for its own rare words, so a trigram's
-probability is that of the model without one text that holds it: it depends on the trigram alone.
+Counts of the highest order are those of texts, lower orders are continuation counts. A text that was counted itself would
+vouch for its own rare words, so a trigram's probability is that of the model without one text that holds it: it depends on
+the trigram alone.
+
+Spark deals trigrams out by their middle word: all contexts and pairs of a word meet in one cell, and only the counts of
+last words come from elsewhere. The trigrams of all texts at once would take many times the disk of the texts. So the cells
+are handled in passes over the texts, a fixed number of them whatever the input, and each pass gives its shuffle files back.
+The first passes count (discounts, counts of last words), the second ones score. Trigrams travel as packed columns, one row
+for each cell and block of text; words that are frequent in a sample are numbers of two bytes there, others their hashes.
+The sample decides about bytes only, never about results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import hashlib
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import likely_in, without, written
-from .words import find_words, mix, row_blocks, window_hashes, word_hashes
+from .shared import split_likely, written
+from .words import find_words, mix, row_blocks, word_hashes
 
-_BEGIN = np.uint64(1)
 _SPOKEN = np.zeros(256, bool)
 _SPOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_TRIGRAMS = "key long, lang string, a long, b long, c long, n long"
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+_BEGIN = mix(np.ones(1, np.uint64))[0]
+#: Passes over the texts that count and that score; cells of one scoring pass at least. None of them changes a result.
+COUNT_PASSES, SCORE_PASSES, MIN_CELLS = 3, 5, 32
+#: Words sent as numbers, the number of all others, and how many rows are sampled to choose them.
+_NUMBERED, _SAMPLE_ROWS = 65535, 4000
+_RARE = np.uint16(_NUMBERED)
+_SLOT_BITS = 20
+#: A word that would fill more than so many cells is split by its other words.
+FULL_CELLS = 2
+_BLOCK = 2 << 20
+
+#: Keys and languages of rows; row and middle word of each trigram; its first word, last word and weight at some places.
+Occurrences = tuple[np.ndarray, list[str], np.ndarray, np.ndarray, tuple[Callable[[np.ndarray], np.ndarray], ...]]
+Source = Callable[[pa.RecordBatch], Iterator[Occurrences]]
+
+_PACKED = {k: "binary" for k in ("a", "b", "c", "rare_a", "rare_b", "rare_c", "n", "keys", "runs")}
+_KNOWN = {"mid": "long", "last": "long", "before": "long", "before1": "long"}
+_SCHEMA = ", ".join(f"{k} {v}" for k, v in ({"lang": "string", "cell": "int"} | _PACKED).items())
+#: Rows of the counting passes: counts of counts (order in cell, count in last), of frequent last words, of other ones by
+#: cell (-1: of split words), and of the pairs of split words.
+_COUNTS, _FREQUENT, _OTHER, _PAIRS = range(4)
+
+
+class Plan(NamedTuple):
+    """What all tasks know: number of cells, frequent words (sorted by slot, one a slot), over how many cells each is split."""
+
+    cells: int
+    words: np.ndarray
+    splits: np.ndarray
+
+    def slots(self) -> np.ndarray:
+        at = np.full(1 << _SLOT_BITS, _RARE, np.uint16)
+        at[self.words >> np.uint64(64 - _SLOT_BITS)] = np.arange(len(self.words), dtype=np.uint16)
+        return at
+
+    def numbers(self, words: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        number = slots[words >> np.uint64(64 - _SLOT_BITS)]
+        number[np.append(self.words, np.uint64(0))[np.minimum(number, len(self.words))] != words] = _RARE
+        return number
 
+    def cell_of(self, mid: np.ndarray, other: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+        """Cells by middle word; those of a split word by ``other``, too (the other word at some places)."""
+        out = mid >> np.uint64(2)
+        split = np.zeros(1 << _SLOT_BITS, bool)
+        split[self.words[self.splits > 1] >> np.uint64(64 - _SLOT_BITS)] = True
+        at = np.flatnonzero(split[mid >> np.uint64(64 - _SLOT_BITS)])
+        if len(at):
+            by_slot = np.argsort(self.words)  # sorted by their first bits, so by slot
+            spot, hit = _found(self.words[by_slot], mid[at])
+            at, over = at[hit], self.splits[by_slot][spot[hit]].astype(np.uint64)
+            out[at] += mix(other(at) + _PRIME) % over
+        return (out % np.uint64(self.cells)).astype(np.int64)
 
-def _trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct trigrams of each row as hashes of their words, and how often they count; two begin marks lead a row.
 
-    Words without letter or digit are in the model, but do not count in a text's score: as every other word of a table
+class Level(NamedTuple):
+    """Of one language: what follows the empty context (total, one, two, more) and the discounts of each order (0, then of one, two and more)."""
+
+    all1: tuple[float, ...]
+    d1: np.ndarray
+    d2: np.ndarray
+    d3: np.ndarray
+
+
+def _salt(lang: str) -> int:
+    return int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+def _of_texts(batch: pa.RecordBatch) -> Iterator[Occurrences]:
+    """Trigrams of each row; two begin marks lead a row.
+
+    Words without letter or digit are in the model, but have no weight in a text's score: as every other word of a table
     they are so likely that the table would pass for prose.
     """
+    for part, data, offsets in row_blocks(batch, "text", _BLOCK):
+        words = find_words(data, offsets)
+        if not len(words.starts):
+            continue
+        counts, first = np.diff(words.first), words.first
+        owner = np.repeat(np.arange(len(counts)), counts)
+        langs = part.column("lang").to_pylist()
+        salt = np.array([_salt(x) for x in langs], np.uint64)
+        begin = _BEGIN ^ salt
+        c = word_hashes(words) ^ np.repeat(salt, counts)
+        b = np.roll(c, 1)
+        b[first[:-1][counts > 0]] = begin[counts > 0]
+
+        def before_last(at: np.ndarray, c=c, owner=owner, first=first, begin=begin) -> np.ndarray:
+            of = owner[at]
+            return np.where(at - first[of] > 1, c[at - 2], begin[of])
+
+        def spoken(at: np.ndarray, data=data, words=words) -> np.ndarray:
+            so_far = np.append(np.int32(0), np.cumsum(_SPOKEN[data], dtype=np.int32))
+            return so_far[words.ends[at]] > so_far[words.starts[at]]
+
+        yield part.column("key").to_numpy(), langs, owner, b, (before_last, c.__getitem__, spoken)
+
+
+def _of_trigrams(batch: pa.RecordBatch) -> Iterator[Occurrences]:
+    """Every row (key, lang, a, b, c) as a text of one trigram."""
+    langs = batch.column("lang").to_pylist()
+    salt = np.array([_salt(x) for x in langs], np.uint64)
+    a, b, c = (mix(batch.column(k).to_numpy().view(np.uint64)) ^ salt for k in "abc")
+    yield batch.column("key").to_numpy(), langs, np.arange(len(a)), b, (a.__getitem__, c.__getitem__, np.ones(len(a), bool).__getitem__)
+
+
+class Groups(NamedTuple):
+    """Equal keys: where one of each is, how often each is there, and the group of every key."""
+
+    at: np.ndarray
+    counts: np.ndarray
+    of: np.ndarray
+
+
+def _grouped(keys: np.ndarray) -> Groups:
+    """As ``np.unique``, but by numpy's quicksort, which is several times as fast as the stable sort it takes for indices."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.append(True, keys[1:] != keys[:-1])[:len(keys)]
+    starts = np.flatnonzero(new)
+    of = np.empty(len(keys), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return Groups(order[starts], np.diff(np.append(starts, len(keys))), of)
+
+
+def _hash(*columns: np.ndarray) -> np.ndarray:
+    out = columns[0].astype(np.uint64)
+    for x in columns[1:]:
+        out = mix(out * _PRIME + x)
+    return out
+
+
+def _column(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """A binary value for each size: so many of the values."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _packed(source: Source, plan: Plan, low: int, high: int, scoring: bool):
+    """Distinct trigrams of each row in the cells from ``low`` to ``high``, a row for each language and cell; for scoring with keys and weights."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        slots = plan.slots()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            for keys, langs, owner, b, (a_at, c_at, weight_at) in source(batch):
+                cell = plan.cell_of(b, a_at if scoring else c_at)
+                here = np.flatnonzero((cell >= low) & (cell < high))
+                if not len(here):
+                    continue
+                owner, b, cell, a, c = owner[here], b[here], cell[here], a_at(here), c_at(here)
+                weight = weight_at(here) if scoring else np.ones(len(here), bool)
+                names, code = np.unique(np.array(langs, object), return_inverse=True)
+                group = code[owner] * plan.cells + cell
+                # One sort by cell, row and, in the bits that are left, trigram.
+                place = group * len(langs) + owner
+                bits = np.uint64(64 - int(len(names) * plan.cells * len(langs)).bit_length())
+                order = np.argsort((place.astype(np.uint64) << bits) | (_hash(a, b, c) >> (np.uint64(64) - bits)))
+                owner, a, b, c, weight, group, place = (x[order] for x in (owner, a, b, c, weight, group, place))
+                new = np.append(True, (place[1:] != place[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (c[1:] != c[:-1]))
+                at = np.flatnonzero(new)
+                n = np.diff(np.append(at, len(new))) * weight[at]
+                owner, a, b, c, group = (x[at] for x in (owner, a, b, c, group))
+                first = np.append(True, group[1:] != group[:-1])
+                starts = np.flatnonzero(first)
+                sizes = np.diff(np.append(starts, len(at)))
+                out = {"lang": pa.array(names[group[starts] // plan.cells].tolist(), pa.string()), "cell": pa.array((group[starts] % plan.cells).astype(np.int32))}
+                numbers = {k: plan.numbers(x, slots) for k, x in (("a", a), ("b", b), ("c", c))}
+                out |= {k: _column(x, sizes) for k, x in numbers.items()}
+                for k, x in (("a", a), ("b", b), ("c", c)):
+                    rare = numbers[k] == _RARE
+                    out[f"rare_{k}"] = _column(x[rare], np.add.reduceat(rare.astype(np.int64), starts))
+                if scoring:
+                    turn = first | np.append(True, owner[1:] != owner[:-1])
+                    runs = np.flatnonzero(turn)
+                    per = np.add.reduceat(turn.astype(np.int64), starts)
+                    out["n"] = _column(n.astype(np.uint32), sizes)
+                    out["keys"] = _column(keys[owner[runs]], per)
+                    out["runs"] = _column(np.diff(np.append(runs, len(at))).astype(np.uint32), per)
+                else:
+                    out |= {k: pa.nulls(len(starts), pa.binary()) for k in ("n", "keys", "runs")}
+                yield pa.record_batch(out)
+    return run
+
+
+def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.Table]]:
+    """Language, cell and rows of each cell; the rows come sorted by language and cell."""
+    now, held = None, []
     for batch in batches:
-        for part, data, offsets in row_blocks(batch, "text"):
-            words = find_words(data, offsets)
-            c = word_hashes(words)
-            if not len(c):
+        if not batch.num_rows:
+            continue
+        langs, cells = batch.column("lang").dictionary_encode(), batch.column("cell").to_numpy()
+        code = langs.indices.to_numpy()
+        cuts = [0, *(np.flatnonzero((cells[1:] != cells[:-1]) | (code[1:] != code[:-1])) + 1).tolist(), len(cells)]
+        for begin, end in zip(cuts, cuts[1:]):
+            key = (langs.dictionary[int(code[begin])].as_py(), int(cells[begin]))
+            if held and key != now:
+                yield *now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(begin, end - begin))
+    if held:
+        yield *now, pa.Table.from_batches(held)
+
+
+def _values(rows: pa.Table, column: str, kind: type) -> np.ndarray:
+    return np.frombuffer(b"".join(x for x in rows.column(column).to_pylist() if x), kind)
+
+
+def _words(rows: pa.Table, plan: Plan, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and numbers of the words of a cell."""
+    number = _values(rows, name, np.uint16)
+    words = np.append(plan.words, np.uint64(0))[np.minimum(number, len(plan.words))]
+    words[number == _RARE] = _values(rows, f"rare_{name}", np.uint64)
+    return words, number
+
+
+def _counted(plan: Plan):
+    """Counts of counts, of last words and of the pairs of split words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(kind: int, lang: str, cell, mid, last, n) -> pa.RecordBatch:
+            n = np.asarray(n, np.int64)
+            full = lambda x, t: pa.array(np.broadcast_to(np.asarray(x), n.shape).astype(t))
+            return pa.record_batch({"kind": full(kind, np.int32), "lang": pa.array([lang] * len(n), pa.string()), "cell": full(cell, np.int32), "mid": full(mid, np.int64), "last": full(last, np.int64), "n": pa.array(n)})
+
+        frequent: dict[str, np.ndarray] = {}
+        split = np.append(plan.splits > 1, False)
+        for lang, cell, table in _cells(batches):
+            (a, _), (b, mid), (c, last) = (_words(table, plan, k) for k in "abc")
+            at, texts, _ = _grouped(_hash(a, b, c))
+            b, c, mid, last = b[at], c[at], mid[at], last[at]
+            at, before, _ = _grouped(_hash(b, c))
+            b, c, mid, last = b[at], c[at], mid[at], last[at]
+            for order, counts in ((3, texts), (2, before)):
+                yield rows(_COUNTS, lang, order, 0, [1, 2, 3, 4], np.bincount(np.minimum(counts, 5), minlength=6)[1:5])
+            frequent[lang] = frequent.get(lang, 0) + np.bincount(last, minlength=_NUMBERED + 1)[:_NUMBERED]
+            heavy = split[np.minimum(mid, len(plan.splits))]
+            for where, there in ((cell, ~heavy), (-1, heavy)):
+                words, n = np.unique(c[there & (last == _RARE)], return_counts=True)
+                yield rows(_OTHER, lang, where, 0, words.view(np.int64), n)
+            yield rows(_PAIRS, lang, 0, b[heavy].view(np.int64), c[heavy].view(np.int64), before[heavy])
+        for lang, counts in frequent.items():
+            at = np.flatnonzero(counts)
+            yield rows(_FREQUENT, lang, 0, 0, plan.words[at].view(np.int64), counts[at])
+    return run
+
+
+def _context(inverse: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What follows a context: the sum of its counts, and how many of them are one, two and more."""
+    return np.bincount(inverse, counts), *(np.bincount(inverse, x) for x in (counts == 1, counts == 2, counts > 2))
+
+
+def _smoothed(count: np.ndarray, context: tuple, discounts: np.ndarray, gone: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Interpolated probability of an n-gram in its context; where ``gone`` one of its counts is taken off first."""
+    off = [(gone & (count == k)).astype(np.int64) for k in (1, 2, 3)]
+    total, one, two, more = context
+    left, total = count - gone, total - gone
+    one, two, more = one - off[0] + off[1], two - off[1] + off[2], more - off[2]
+    own = left - discounts[np.minimum(left, 3)]
+    rest = (discounts[1] * one + discounts[2] * two + discounts[3] * more) * lower
+    return np.where(total > 0, (own + rest) / np.maximum(total, 1), lower)
+
+
+def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the keys are among sorted ones, and whether they are."""
+    if not len(sorted_keys):
+        return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+    at = np.minimum(np.searchsorted(sorted_keys, keys), len(sorted_keys) - 1)
+    return at, sorted_keys[at] == keys
+
+
+def _scored(plan: Plan, levels: dict[str, Level], before1: np.ndarray, split_contexts: dict[int, tuple[int, ...]]):
+    """(key, surprise, n_grams) of each cell and text. ``before1`` are counts of frequent last words, ``split_contexts`` what follows split words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, _, table in _cells(batches):
+            level = levels[lang]
+            (a, _), (b, _), (c, last) = (_words(table, plan, k) for k in "abc")
+            if not len(a):
                 continue
-            counts = np.diff(words.first)
-            owner = np.repeat(np.arange(len(counts)), counts)
-            place = np.arange(len(c)) - words.first[:-1][owner]
-            b = np.where(place > 0, np.roll(c, 1), _BEGIN)
-            a = np.where(place > 1, np.roll(c, 2), _BEGIN)
-            whole = window_hashes(np.stack([owner.astype(np.uint64), a, b, c], 1).ravel(), 4)[::4]
-            spoken = np.concatenate([[0], np.cumsum(_SPOKEN[data])])
-            _, at, n = np.unique(mix(whole), return_index=True, return_counts=True)
-            n = n * (spoken[words.ends[at]] > spoken[words.starts[at]])
-            rows = pa.array(owner[at])
-            yield pa.record_batch({"key": part.column("key").take(rows), "lang": part.column("lang").take(rows), **{k: pa.array(x[at].view(np.int64)) for k, x in (("a", a), ("b", b), ("c", c))}, "n": pa.array(n.astype(np.int64))})
+            keys = np.repeat(_values(table, "keys", np.int64), _values(table, "runs", np.uint32))
+            n = _values(table, "n", np.uint32).astype(np.int64)
+            known = table.filter(pc.is_valid(table.column("last")))
+            w, z, pairs, firsts = (known.column(k).fill_null(0).to_numpy() for k in _KNOWN)
+            del table, known
+
+            at, texts, trigram = _grouped(_hash(a, b, c))
+            a, b, c, last = a[at], b[at], c[at], last[at]
+            context3 = tuple(x[i] for i in [_grouped(_hash(a, b)).of] for x in _context(i, texts))
+            # Pairs: those of split words were counted before.
+            at, before, pair = _grouped(_hash(b, c))
+            b, c, last = b[at], c[at], last[at]
+            of_split = np.flatnonzero(w)
+            told = _hash(w[of_split].view(np.uint64), z[of_split].view(np.uint64))
+            order = np.argsort(told)
+            spot, hit = _found(told[order], _hash(b, c)) if len(told) else (None, np.zeros(len(b), bool))
+            if hit.any():
+                before[hit] = pairs[of_split[order]][spot[hit]]
+            at, _, follows = _grouped(b)
+            words = b[at]
+            context2 = np.stack(_context(follows, before))
+            for x, counts in split_contexts.items():
+                context2[:, words == np.uint64(x)] = np.array(counts, float)[:, None]
+            context2 = context2[:, follows]
+            # Last words: one pair at least, more where it was counted.
+            single = np.append(before1, 0)[np.minimum(last, len(before1))]
+            order = np.argsort(z)
+            spot, hit = _found(z[order], c.view(np.int64))
+            rare = last == _RARE
+            single[rare] = np.where(hit, firsts[order][spot] if len(z) else 1, 1)[rare]
+
+            before, single, context2 = before[pair], np.maximum(single, 1)[pair], tuple(context2[:, pair])
+            alone = texts == 1  # without it the trigram had no other text and is no longer counted
+            gone = alone & (before == 1)  # then the pair is gone, too
+            kinds = sum(level.all1[1:])
+            p = _smoothed(single, level.all1, level.d1, gone, 1 / (kinds - (gone & (single == 1)) + 1))
+            p = _smoothed(before, context2, level.d2, alone, p)
+            lp = np.log(_smoothed(texts, context3, level.d3, np.ones(len(texts), bool), p))
+            at, _, row = _grouped(keys)
+            yield pa.record_batch({"key": pa.array(keys[at]), "surprise": pa.array(-np.bincount(row, lp[trigram] * n)), "n_grams": pa.array(np.bincount(row, n).astype(np.int64))})
+    return run
 
 
 def distinct_texts(docs: DataFrame) -> DataFrame:
     """One row of each ``key`` (a hash of text and language) of ``docs`` (key, text, lang); only copies go through a shuffle."""
     repeated = written(docs.groupBy("key").count().filter("count > 1").select("key"), "repeated")
-    once = likely_in(docs, repeated, "key").join(repeated, "key", "left_semi").dropDuplicates(["key"]).select(docs.columns)
-    return without(docs, repeated, "key").unionAll(once)
+    maybe, surely_not = split_likely(docs, repeated, "key")
+    return surely_not.unionAll(written(maybe.dropDuplicates(["key"]), "once").select(docs.columns))
+
 
+@contextmanager
+def _sparing(spark: SparkSession) -> Iterator[None]:
+    """Queries run here delete their shuffle files when they end, and send Python few rows at once, since packed rows are large."""
+    wanted = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    was = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
 
-def _discounts(table: DataFrame, count: str, name: str) -> DataFrame:
-    """(lang, name): the three discounts of modified Kneser-Ney (Chen & Goodman, 1999) for counts of one, two and more.
+
+def _discounts(counts: list[int]) -> np.ndarray:
+    """0 and the three discounts of modified Kneser-Ney (Chen & Goodman, 1999) for counts of one, two and more.
 
     They come from the counts of counts n1 to n4; where those that a discount needs are not all there, it is half its count.
     """
-    n = table.groupBy("lang").agg(*[F.count_if(F.col(count) == k).alias(f"n{k}") for k in (1, 2, 3, 4)])
-    n1, n2, n3, n4 = (F.col(f"n{k}") for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2)
+    n = [0, *counts]
+    y = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else None
+    return np.array([0.0, *(k / 2 if y is None or not n[k] else min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.0), float(k)) for k in (1, 2, 3))])
 
-    def discount(k: int, here: Column, above: Column) -> Column:
-        return F.when((n1 > 0) & (n2 > 0) & (here > 0), F.least(F.greatest(k - (k + 1) * y * above / here, F.lit(0.0)), F.lit(float(k)))).otherwise(F.lit(k / 2))
 
-    return n.select("lang", F.struct(discount(1, n1, n2).alias("one"), discount(2, n2, n3).alias("two"), discount(3, n3, n4).alias("more")).alias(name))
+def _plan(rows: DataFrame, source: Source) -> Plan:
+    """Frequent words of a sample of rows, and over how many cells they are split."""
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                for *_, owner, _, (_, c_at, _) in source(batch):
+                    found, n = np.unique(c_at(np.arange(len(owner))), return_counts=True)
+                    yield pa.record_batch({"word": pa.array(found.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
+    spark = rows.sparkSession
+    cells = SCORE_PASSES * max(MIN_CELLS, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    every = max(1, rows.select("key").count() // _SAMPLE_ROWS)
+    counted = rows.filter(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).mapInArrow(words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    top = counted.orderBy(F.desc("n"), "word").limit(_NUMBERED).toArrow()
+    found, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    total = counted.agg(F.sum("n")).first()[0] or 1
+    _, at = np.unique(found >> np.uint64(64 - _SLOT_BITS), return_index=True)  # the most frequent one of a slot
+    return Plan(cells, found[at], np.maximum(1, np.ceil(n[at] / total * cells / FULL_CELLS)).astype(np.int64))
 
-def _context(table: DataFrame, keys: list[str], count: str, name: str) -> DataFrame:
-    """What follows a context: the sum of its counts, and how many of them are one, two and more."""
-    c = F.col(count)
-    return table.groupBy(*keys).agg(F.struct(F.sum(c).alias("total"), F.count_if(c == 1).alias("one"), F.count_if(c == 2).alias("two"), F.count_if(c > 2).alias("more")).alias(name))
 
+def _surprise(rows: DataFrame, source: Source, plan: Plan) -> DataFrame:
+    """(key, surprise, n_grams) of each key of ``rows`` with a trigram."""
+    spark = rows.sparkSession
+    sums = lambda k: F.sum(F.col(k)).alias(k)
+
+    def dealt(k: int, passes: int, scoring: bool) -> DataFrame:
+        low, high = k * plan.cells // passes, (k + 1) * plan.cells // passes
+        return rows.mapInArrow(_packed(source, plan, low, high, scoring), _SCHEMA)
+
+    def gathered(packed: DataFrame) -> DataFrame:
+        return packed.repartition("lang", "cell").sortWithinPartitions("lang", "cell")
+
+    keys = ["kind", "lang", "cell", "mid", "last"]
+    tables = []
+    for k in range(COUNT_PASSES):
+        found = gathered(dealt(k, COUNT_PASSES, False)).mapInArrow(_counted(plan), "kind int, lang string, cell int, mid long, last long, n long")
+        tables.append(written(found.groupBy(keys).agg(sums("n")), "counts"))
+    counts = reduce(DataFrame.unionAll, tables)
+    frequent, other = counts.filter(F.col("kind") == _FREQUENT), counts.filter(F.col("kind") == _OTHER)
+    singles = written(frequent.unionAll(other).groupBy("lang", "last", "kind").agg(F.sum("n").alias("before1")), "singles")
+    pairs = counts.filter(F.col("kind") == _PAIRS).select("lang", "mid", "last", F.col("n").alias("before"))
+
+    one = lambda c, k: F.count_if(F.col(c) == k)
+    figures = {r[0]: r[1:] for r in singles.groupBy("lang").agg(F.sum("before1"), one("before1", 1), one("before1", 2), F.count_if(F.col("before1") > 2), *[one("before1", k) for k in (1, 2, 3, 4)]).collect()}
+    seen = {(r["lang"], r["cell"], r["last"]): r["n"] for r in counts.filter(F.col("kind") == _COUNTS).groupBy("lang", "cell", "last").agg(sums("n")).collect()}
+    levels = {lang: Level(tuple(x[:4]), _discounts(x[4:]), *(_discounts([seen.get((lang, order, k), 0) for k in (1, 2, 3, 4)]) for order in (2, 3))) for lang, x in figures.items()}
+    before1 = np.zeros(len(plan.words), np.int64)
+    top = singles.filter(F.col("kind") == _FREQUENT).groupBy("last").agg(F.sum("before1").alias("n")).toArrow()
+    order = np.argsort(plan.words)
+    before1[order[np.searchsorted(plan.words[order], top.column("last").to_numpy().view(np.uint64))]] = top.column("n").to_numpy()
+    followed = pairs.groupBy("mid").agg(F.sum("before"), one("before", 1), one("before", 2), F.count_if(F.col("before") > 2)).collect()
+    split_contexts = {r[0] & 0xFFFFFFFFFFFFFFFF: tuple(r[1:]) for r in followed}
+
+    # What cells have to know: counts of last words that are not frequent, and pairs of words that are split over cells.
+    many = singles.filter((F.col("kind") == _OTHER) & (F.col("before1") > 1)).select("lang", "last", "before1")
+    ask = other.filter("cell >= 0").select("lang", "cell", "last").join(many, ["lang", "last"])
+    known = ask.select("lang", "cell", F.lit(None).cast("long").alias("mid"), "last", F.lit(None).cast("long").alias("before"), "before1")
+    over = [(int(w), int(s)) for w, s in zip(plan.words.view(np.int64), plan.splits) if s > 1]
+    if over:
+        spread = F.broadcast(spark.createDataFrame(over, "mid long, split long"))
+        told = pairs.join(many, ["lang", "last"], "left").join(spread, "mid").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("split") - 1)))
+        known = known.unionAll(told.select("lang", F.pmod(F.shiftrightunsigned("mid", 2) + F.col("i"), F.lit(plan.cells)).cast("int").alias("cell"), "mid", "last", "before", "before1"))
+    known = written(known, "known")
 
-def _smoothed(count: Column, context: str, discounts: str, gone: Column, lower: Column) -> Column:
-    """Interpolated probability of an n-gram in its context; with ``gone`` one of its counts is taken off first."""
-    off = lambda k: F.when(gone & (count == k), 1).otherwise(0)
-    left = count - F.when(gone, 1).otherwise(0)
-    total = F.col(f"{context}.total") - F.when(gone, 1).otherwise(0)
-    one, two, more = F.col(f"{context}.one") - off(1) + off(2), F.col(f"{context}.two") - off(2) + off(3), F.col(f"{context}.more") - off(3)
-    d1, d2, d3 = (F.col(f"{discounts}.{k}") for k in ("one", "two", "more"))
-    own = left - F.when(left == 0, 0.0).when(left == 1, d1).when(left == 2, d2).otherwise(d3)
-    return F.when(total > 0, (own + (d1 * one + d2 * two + d3 * more) * lower) / total).otherwise(lower)
+    scores = []
+    for k in range(SCORE_PASSES):
+        low, high = k * plan.cells // SCORE_PASSES, (k + 1) * plan.cells // SCORE_PASSES
+        packed = dealt(k, SCORE_PASSES, True).withColumns({x: F.lit(None).cast(t) for x, t in _KNOWN.items()})
+        told = known.filter((F.col("cell") >= low) & (F.col("cell") < high)).select("lang", "cell", *[F.lit(None).cast(t).alias(x) for x, t in _PACKED.items()], *_KNOWN)
+        found = gathered(packed.unionAll(told)).mapInArrow(_scored(plan, levels, before1, split_contexts), "key long, surprise double, n_grams long")
+        scores.append(written(found.groupBy("key").agg(sums("surprise"), sums("n_grams")), "scores"))
+    return reduce(DataFrame.unionAll, scores).groupBy("key").agg(sums("surprise"), sums("n_grams"))
 
 
 def left_out_probabilities(trigrams: DataFrame) -> DataFrame:
     """(lang, a, b, c, lp): log probability of c after a, b in the model without one text that holds the trigram.
 
-    Discounts are those of the whole model. Below the unigrams lies a uniform distribution over the known words and one unknown.
+    Every row of ``trigrams`` is one text's. Discounts are those of the whole model. Below the unigrams lies a uniform
+    distribution over the known words and one unknown.
     """
-    types = written(trigrams.groupBy("lang", "a", "b", "c").agg(F.count("*").alias("texts")), "types")
-    pairs = written(types.groupBy("lang", "b", "c").agg(F.count("*").alias("before")), "pairs")
-    singles = written(pairs.groupBy("lang", "c").agg(F.count("*").alias("before1")), "singles")
-    # One row for each language.
-    levels = _context(singles, ["lang"], "before1", "all1")
-    for table, count, name in ((singles, "before1", "d1"), (pairs, "before", "d2"), (types, "texts", "d3")):
-        levels = levels.join(_discounts(table, count, name), "lang")
-    levels = F.broadcast(written(levels, "levels"))
-    after_b, after_ab = _context(pairs, ["lang", "b"], "before", "all2"), _context(types, ["lang", "a", "b"], "texts", "all3")
-    words = F.col("all1.one") + F.col("all1.two") + F.col("all1.more")
-
-    def second(alone: bool) -> Column:
-        """Of c after b; with ``alone`` the trigram had no other text and is no longer counted."""
-        gone = F.lit(alone)
-        last = gone & (F.col("before") == 1)  # then the pair is gone, too
-        first = _smoothed(F.col("before1"), "all1", "d1", last, 1 / (words - F.when(last & (F.col("before1") == 1), 1).otherwise(0) + 1))
-        return _smoothed(F.col("before"), "all2", "d2", gone, first)
-
-    lower = (pairs.join(singles, ["lang", "c"]).join(after_b, ["lang", "b"]).join(levels, "lang")
-             .select("lang", "b", "c", second(True).alias("p_alone"), second(False).alias("p_shared")))
-    p = _smoothed(F.col("texts"), "all3", "d3", F.lit(True), F.when(F.col("texts") == 1, F.col("p_alone")).otherwise(F.col("p_shared")))
-    return (types.join(after_ab, ["lang", "a", "b"]).join(lower, ["lang", "b", "c"]).join(levels.select("lang", "d3"), "lang")
-            .select("lang", "a", "b", "c", F.log(p).alias("lp")))
+    rows = trigrams.select(F.xxhash64("lang", "a", "b", "c").alias("key"), "lang", "a", "b", "c")
+    with _sparing(rows.sparkSession):
+        scores = written(_surprise(rows, _of_trigrams, _plan(rows, _of_trigrams)), "lp")
+    return rows.distinct().join(scores, "key").select("lang", "a", "b", "c", (-F.col("surprise") / F.col("n_grams")).alias("lp"))
 
 
 def word_surprise(docs: DataFrame) -> DataFrame:
     """(key, surprise, n_grams) of each distinct key of ``docs`` (key, text, lang) with words: negative log probability and number of words with a letter or digit."""
-    rows = distinct_texts(docs.withColumn("lang", F.coalesce("lang", F.lit(""))))
-    found = rows.mapInArrow(_trigrams, _TRIGRAMS)
-    model = left_out_probabilities(found)
-    return found.join(model, ["lang", "a", "b", "c"]).groupBy("key").agg((-F.sum(F.col("lp") * F.col("n"))).alias("surprise"), F.sum("n").alias("n_grams"))
+    with _sparing(docs.sparkSession):
+        rows = distinct_texts(docs.withColumn("lang", F.coalesce("lang", F.lit(""))))
+        return written(_surprise(rows, _of_texts, _plan(rows, _of_texts)), "surprise")
