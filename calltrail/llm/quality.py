@@ -200,23 +200,14 @@ def _log_probabilities(codes: np.ndarray, starts: np.ndarray, lang: str, model:
 def _base_figures(words: Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
     data, counts = words.data, np.diff(words.first)
     rows = len(counts)
-
-    def by_row(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(mask)])
-        return total[words.offsets[1:]] - total[words.offsets[:-1]]
-
-    inside = np.zeros(len(data) + 1, np.int32)
-    np.add.at(inside, words.starts, 1)
-    np.add.at(inside, words.ends, -1)
-    in_word = np.cumsum(inside[:-1]) > 0
     owner = np.repeat(np.arange(rows), counts)
+    by_row = lambda mask: np.diff(np.searchsorted(np.flatnonzero(mask), words.offsets))
+    lengths = np.concatenate([[0], np.cumsum(words.ends - words.starts)])
     # Words in 3-word windows that occur twice or more in their row.
-    keep = inside_rows(words.first, 3)
-    at = np.flatnonzero(keep)
+    at = np.flatnonzero(inside_rows(words.first, 3))
     windows = mix(window_hashes(hashes, 3)[at] + owner[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    _, inverse, seen = np.unique(windows, return_inverse=True, return_counts=True)
     covered = np.zeros(len(hashes), bool)
-    again = at[seen[inverse] > 1] if len(at) else at
+    again = at[_repeated(windows)]
     for k in range(3):
         covered[again + k] = True
     # Lines with a word that equal an earlier line of their row.
@@ -225,22 +216,33 @@ def _base_figures(words: Words, hashes: np.ndarray) -> dict[str, np.ndarray]:
     starts = starts[starts < len(data)]
     line_row = np.searchsorted(words.offsets, starts, side="right") - 1
     ends = np.minimum(breaks[np.searchsorted(breaks, starts)], words.offsets[line_row + 1])
-    filled = np.concatenate([[0], np.cumsum(in_word)])
-    with_word = filled[ends] > filled[starts]
+    with_word = np.append(words.starts, len(data))[np.searchsorted(words.starts, starts)] < ends
     starts, ends, line_row = starts[with_word], ends[with_word], line_row[with_word]
-    lines = mix(word_hashes(Words(data, starts, ends, words.first, words.offsets), 4096) + line_row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    # Only lines that are as long as another line of their row and begin like it are hashed whole.
+    salt = line_row.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    head = word_hashes(Words(data, starts, np.minimum(ends, starts + 16), words.first, words.offsets))
+    like = np.sort(_repeated(mix(mix(head + (ends - starts).astype(np.uint64)) + salt)))
+    starts, ends, line_row = starts[like], ends[like], line_row[like]
+    lines = mix(word_hashes(Words(data, starts, ends, words.first, words.offsets), 4096) + salt[like])
     _, first = np.unique(lines, return_index=True)
     extra = np.ones(len(lines), bool)
     extra[first] = False
     return {
         "n_words": counts.astype(np.int64),
-        "word_chars": by_row(in_word & ((data & 0xC0) != 0x80)),
+        "word_chars": np.diff(lengths[words.first]) - by_row((data & 0xC0) == 0x80),
         "n_symbols": by_row(IS_SYMBOL[data]),
         "n_dup_lines": np.bincount(line_row[extra], minlength=rows),
         "n_repeat_words": np.bincount(owner[covered], minlength=rows),
     }
 
 
+def _repeated(keys: np.ndarray) -> np.ndarray:
+    """Where the keys are that occur twice or more, in no order."""
+    order = np.argsort(keys)
+    same = keys[order[1:]] == keys[order[:-1]]
+    return order[np.append(same, False) | np.append(False, same)] if len(keys) else order
+
+
 FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 

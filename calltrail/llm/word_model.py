@@ -4,12 +4,13 @@ Counts of the highest order are those of texts, lower orders are continuation co
 vouch for its own rare words, so a trigram's probability is that of the model without one text that holds it: it depends on
 the trigram alone.
 
-Spark deals trigrams out by their middle word: all contexts and pairs of a word meet in one cell, and only the counts of
-last words come from elsewhere. The trigrams of all texts at once would take many times the disk of the texts. So the cells
-are handled in passes over the texts, a fixed number of them whatever the input, and each pass gives its shuffle files back.
-The first passes count (discounts, counts of last words), the second ones score. Trigrams travel as packed columns, one row
-for each cell and block of text; words that are frequent in a sample are numbers of two bytes there, others their hashes.
-The sample decides about bytes only, never about results.
+The trigrams of all texts at once would take many times the disk of the texts. So Spark deals them out to cells, which are
+handled in passes over the texts, a fixed number of them whatever the input, and each pass gives its shuffle files back.
+The first passes count, with trigrams dealt by their last word: counts of counts, pairs and what precedes a last word are
+whole in a cell. The second ones score, dealt by middle word: all contexts and pairs of a word meet in one cell. What else such a
+cell has to know, the counts of its last words, the counting cells have written for it. Trigrams travel as packed columns, one
+row for each cell and block of text; words that are frequent in a sample are numbers of two bytes there, others their
+hashes. The sample decides about bytes only, never about results.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
-from functools import reduce
+from functools import lru_cache, reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -34,25 +35,27 @@ _SPOKEN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = T
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _BEGIN = mix(np.ones(1, np.uint64))[0]
 #: Passes over the texts that count and that score; cells of one scoring pass at least. None of them changes a result.
-COUNT_PASSES, SCORE_PASSES, MIN_CELLS = 3, 5, 32
+COUNT_PASSES, SCORE_PASSES, MIN_CELLS = 3, 4, 32
 #: Words sent as numbers, the number of all others, and how many rows are sampled to choose them.
 _NUMBERED, _SAMPLE_ROWS = 65535, 4000
 _RARE = np.uint16(_NUMBERED)
 _SLOT_BITS = 20
 #: A word that would fill more than so many cells is split by its other words.
-FULL_CELLS = 2
+FULL_CELLS = 1
 _BLOCK = 2 << 20
+#: Distinct trigrams whose probabilities are computed at once, and words for other cells that a task keeps before it writes them.
+_AT_ONCE, _HELD = 1 << 17, 1 << 20
 
 #: Keys and languages of rows; row and middle word of each trigram; its first word, last word and weight at some places.
 Occurrences = tuple[np.ndarray, list[str], np.ndarray, np.ndarray, tuple[Callable[[np.ndarray], np.ndarray], ...]]
 Source = Callable[[pa.RecordBatch], Iterator[Occurrences]]
 
 _PACKED = {k: "binary" for k in ("a", "b", "c", "rare_a", "rare_b", "rare_c", "n", "keys", "runs")}
-_KNOWN = {"mid": "long", "last": "long", "before": "long", "before1": "long"}
 _SCHEMA = ", ".join(f"{k} {v}" for k, v in ({"lang": "string", "cell": "int"} | _PACKED).items())
-#: Rows of the counting passes: counts of counts (order in cell, count in last), of frequent last words, of other ones by
-#: cell (-1: of split words), and of the pairs of split words.
-_COUNTS, _FREQUENT, _OTHER, _PAIRS = range(4)
+#: Rows of the counting passes: counts of counts (order in cell; in last: 0 their sum, 5 those above two), counts of frequent last
+#: words, what follows split words (as in ``_context``), and, packed for a scoring cell, counts of its last words and of its pairs of split words.
+_COUNTS, _FREQUENT, _FOLLOWED, _SINGLES, _PAIRS = range(5)
+_COUNTED = "kind int, lang string, cell int, last long, n long, rare_b binary, rare_c binary, counts binary"
 
 
 class Plan(NamedTuple):
@@ -67,23 +70,30 @@ class Plan(NamedTuple):
         at[self.words >> np.uint64(64 - _SLOT_BITS)] = np.arange(len(self.words), dtype=np.uint16)
         return at
 
-    def numbers(self, words: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    def by_number(self) -> np.ndarray:
+        return np.append(self.words, np.zeros(_NUMBERED + 1 - len(self.words), np.uint64))
+
+    def numbers(self, words: np.ndarray, slots: np.ndarray, by_number: np.ndarray) -> np.ndarray:
         number = slots[words >> np.uint64(64 - _SLOT_BITS)]
-        number[np.append(self.words, np.uint64(0))[np.minimum(number, len(self.words))] != words] = _RARE
+        number[by_number[number] != words] = _RARE
         return number
 
-    def cell_of(self, mid: np.ndarray, other: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
-        """Cells by middle word; those of a split word by ``other``, too (the other word at some places)."""
-        out = mid >> np.uint64(2)
-        split = np.zeros(1 << _SLOT_BITS, bool)
-        split[self.words[self.splits > 1] >> np.uint64(64 - _SLOT_BITS)] = True
-        at = np.flatnonzero(split[mid >> np.uint64(64 - _SLOT_BITS)])
-        if len(at):
-            by_slot = np.argsort(self.words)  # sorted by their first bits, so by slot
-            spot, hit = _found(self.words[by_slot], mid[at])
-            at, over = at[hit], self.splits[by_slot][spot[hit]].astype(np.uint64)
-            out[at] += mix(other(at) + _PRIME) % over
-        return (out % np.uint64(self.cells)).astype(np.int64)
+    def dealer(self) -> Callable[[np.ndarray, Callable[[np.ndarray], np.ndarray]], np.ndarray]:
+        """Gives cells by a word; those of a split word by another one, too (given by a function of places)."""
+        heavy, over = self.words[self.splits > 1], self.splits[self.splits > 1].astype(np.uint64)
+        mark = np.zeros(1 << _SLOT_BITS, np.uint16)
+        mark[heavy >> np.uint64(64 - _SLOT_BITS)] = np.arange(1, len(heavy) + 1, dtype=np.uint16)
+
+        def cells(word: np.ndarray, other: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+            out = word >> np.uint64(2)
+            at = np.flatnonzero(mark[word >> np.uint64(64 - _SLOT_BITS)]) if len(heavy) else []
+            if len(at):
+                which = mark[word[at] >> np.uint64(64 - _SLOT_BITS)] - 1
+                hit = heavy[which] == word[at]
+                at, which = at[hit], which[hit]
+                out[at] += mix(other(at) + _PRIME) % over[which]
+            return (out % np.uint64(self.cells)).astype(np.int64)
+        return cells
 
 
 class Level(NamedTuple):
@@ -95,6 +105,7 @@ class Level(NamedTuple):
     d3: np.ndarray
 
 
+@lru_cache(4096)
 def _salt(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
@@ -123,8 +134,14 @@ def _of_texts(batch: pa.RecordBatch) -> Iterator[Occurrences]:
             return np.where(at - first[of] > 1, c[at - 2], begin[of])
 
         def spoken(at: np.ndarray, data=data, words=words) -> np.ndarray:
-            so_far = np.append(np.int32(0), np.cumsum(_SPOKEN[data], dtype=np.int32))
-            return so_far[words.ends[at]] > so_far[words.starts[at]]
+            out = _SPOKEN[data[words.starts[at]]]
+            left = np.flatnonzero(~out)
+            left = left[words.ends[at[left]] - words.starts[at[left]] > 1]
+            if len(left):
+                so_far = np.flatnonzero(_SPOKEN[data])
+                begin = np.searchsorted(so_far, words.starts[at[left]])
+                out[left] = np.append(so_far, len(data))[begin] < words.ends[at[left]]
+            return out
 
         yield part.column("key").to_numpy(), langs, owner, b, (before_last, c.__getitem__, spoken)
 
@@ -151,8 +168,8 @@ def _grouped(keys: np.ndarray) -> Groups:
     keys = keys[order]
     new = np.append(True, keys[1:] != keys[:-1])[:len(keys)]
     starts = np.flatnonzero(new)
-    of = np.empty(len(keys), np.int64)
-    of[order] = np.cumsum(new) - 1
+    of = np.empty(len(keys), np.int32)
+    of[order] = np.cumsum(new, dtype=np.int32) - 1
     return Groups(order[starts], np.diff(np.append(starts, len(keys))), of)
 
 
@@ -170,14 +187,17 @@ def _column(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
 
 
 def _packed(source: Source, plan: Plan, low: int, high: int, scoring: bool):
-    """Distinct trigrams of each row in the cells from ``low`` to ``high``, a row for each language and cell; for scoring with keys and weights."""
+    """Distinct trigrams of each row in the cells from ``low`` to ``high``, a row for each language and cell.
+
+    For scoring they are dealt by middle word and have keys and weights, for counting by last word.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        slots = plan.slots()
+        slots, by_number, cells = plan.slots(), plan.by_number(), plan.dealer()
         for batch in batches:
             if not batch.num_rows:
                 continue
             for keys, langs, owner, b, (a_at, c_at, weight_at) in source(batch):
-                cell = plan.cell_of(b, a_at if scoring else c_at)
+                cell = cells(b, a_at) if scoring else cells(c_at(slice(None)), b.__getitem__)
                 here = np.flatnonzero((cell >= low) & (cell < high))
                 if not len(here):
                     continue
@@ -198,7 +218,7 @@ def _packed(source: Source, plan: Plan, low: int, high: int, scoring: bool):
                 starts = np.flatnonzero(first)
                 sizes = np.diff(np.append(starts, len(at)))
                 out = {"lang": pa.array(names[group[starts] // plan.cells].tolist(), pa.string()), "cell": pa.array((group[starts] % plan.cells).astype(np.int32))}
-                numbers = {k: plan.numbers(x, slots) for k, x in (("a", a), ("b", b), ("c", c))}
+                numbers = {k: plan.numbers(x, slots, by_number) for k, x in (("a", a), ("b", b), ("c", c))}
                 out |= {k: _column(x, sizes) for k, x in numbers.items()}
                 for k, x in (("a", a), ("b", b), ("c", c)):
                     rare = numbers[k] == _RARE
@@ -237,7 +257,15 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.Tab
 
 
 def _values(rows: pa.Table, column: str, kind: type) -> np.ndarray:
-    return np.frombuffer(b"".join(x for x in rows.column(column).to_pylist() if x), kind)
+    """The values of packed rows, one row's behind the other's."""
+    parts = [np.zeros(0, kind)]
+    for x in rows.column(column).chunks:
+        x = x.fill_null(b"") if x.null_count else x
+        if len(x):
+            ends = np.frombuffer(x.buffers()[1], np.int32)[[x.offset, x.offset + len(x)]]
+            if ends[1] > ends[0]:
+                parts.append(np.frombuffer(x.buffers()[2], np.uint8)[ends[0]:ends[1]].copy().view(kind))
+    return np.concatenate(parts)
 
 
 def _words(rows: pa.Table, plan: Plan, name: str) -> tuple[np.ndarray, np.ndarray]:
@@ -249,32 +277,66 @@ def _words(rows: pa.Table, plan: Plan, name: str) -> tuple[np.ndarray, np.ndarra
 
 
 def _counted(plan: Plan):
-    """Counts of counts, of last words and of the pairs of split words."""
+    """Counts of counts, of last words and of the pairs of split words; cells come by last word."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(kind: int, lang: str, cell, mid, last, n) -> pa.RecordBatch:
+        empty = {k: pa.binary() for k in ("rare_b", "rare_c", "counts")}
+
+        def rows(kind: int, lang: str, cell, last, n) -> pa.RecordBatch:
             n = np.asarray(n, np.int64)
             full = lambda x, t: pa.array(np.broadcast_to(np.asarray(x), n.shape).astype(t))
-            return pa.record_batch({"kind": full(kind, np.int32), "lang": pa.array([lang] * len(n), pa.string()), "cell": full(cell, np.int32), "mid": full(mid, np.int64), "last": full(last, np.int64), "n": pa.array(n)})
+            return pa.record_batch({"kind": full(kind, np.int32), "lang": pa.array([lang] * len(n), pa.string()), "cell": full(cell, np.int32), "last": full(last, np.int64),
+                                    "n": pa.array(n), **{k: pa.nulls(len(n), t) for k, t in empty.items()}})
+
+        def packed(kind: int, lang: str, parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+            """One row for each scoring cell: its words (pairs of words) and their counts."""
+            target, b, c, n = (np.concatenate(x) for x in zip(*parts))
+            if not len(target):
+                return
+            order = np.argsort(target, kind="stable")
+            at, sizes = np.unique(target, return_counts=True)
+            none = pa.nulls(len(at), pa.int64())
+            words = {"rare_b": _column(b[order], sizes) if kind == _PAIRS else pa.nulls(len(at), pa.binary()), "rare_c": _column(c[order], sizes), "counts": _column(n[order].astype(np.uint32), sizes)}
+            yield pa.record_batch({"kind": pa.array(np.full(len(at), kind, np.int32)), "lang": pa.array([lang] * len(at), pa.string()), "cell": pa.array(at.astype(np.int32)), "last": none, "n": none, **words})
 
         frequent: dict[str, np.ndarray] = {}
-        split = np.append(plan.splits > 1, False)
-        for lang, cell, table in _cells(batches):
+        held: dict[tuple[int, str], list[tuple[np.ndarray, ...]]] = {}
+        cells, split = plan.dealer(), np.append(plan.splits > 1, False)
+        for lang, _, table in _cells(batches):
             (a, _), (b, mid), (c, last) = (_words(table, plan, k) for k in "abc")
+            del table
             at, texts, _ = _grouped(_hash(a, b, c))
-            b, c, mid, last = b[at], c[at], mid[at], last[at]
-            at, before, _ = _grouped(_hash(b, c))
-            b, c, mid, last = b[at], c[at], mid[at], last[at]
-            for order, counts in ((3, texts), (2, before)):
-                yield rows(_COUNTS, lang, order, 0, [1, 2, 3, 4], np.bincount(np.minimum(counts, 5), minlength=6)[1:5])
-            frequent[lang] = frequent.get(lang, 0) + np.bincount(last, minlength=_NUMBERED + 1)[:_NUMBERED]
+            a, b, c, mid, last = (x[at] for x in (a, b, c, mid, last))
+            at, before, pair = _grouped(_hash(b, c))
+            frequent[lang] = frequent.get(lang, 0) + np.bincount(last[at], minlength=_NUMBERED + 1)[:_NUMBERED]
+            rare = np.flatnonzero(last[at] == _RARE)
+            _, firsts, word = _grouped(c[at[rare]])
+            for order, counts in ((3, texts), (2, before), (1, firsts)):
+                yield rows(_COUNTS, lang, order, range(6), [counts.sum(), *np.bincount(np.minimum(counts, 5), minlength=6)[1:5], (counts > 2).sum()])
+            single = np.ones(len(at), np.int64)
+            single[rare] = firsts[word]
+            # Every scoring cell with a trigram learns what it cannot count itself: counts above one.
+            ask = {_SINGLES: np.flatnonzero((single > 1)[pair])}
             heavy = split[np.minimum(mid, len(plan.splits))]
-            for where, there in ((cell, ~heavy), (-1, heavy)):
-                words, n = np.unique(c[there & (last == _RARE)], return_counts=True)
-                yield rows(_OTHER, lang, where, 0, words.view(np.int64), n)
-            yield rows(_PAIRS, lang, 0, b[heavy].view(np.int64), c[heavy].view(np.int64), before[heavy])
+            if heavy.any():
+                ask[_PAIRS] = np.flatnonzero(heavy & (before > 1)[pair])
+                of = at[heavy[at]]
+                first, _, word = _grouped(b[of])
+                yield rows(_FOLLOWED, lang, np.repeat(range(4), len(first)), np.tile(b[of][first].view(np.int64), 4), np.concatenate(_context(word, before[heavy[at]])))
+            for kind, places in ask.items():
+                to = cells(b[places], a[places].__getitem__)
+                once = _grouped(_hash(to, c[places]) if kind == _SINGLES else _hash(to, b[places], c[places])).at
+                places, to = places[once], to[once]
+                parts = held.setdefault((kind, lang), [])
+                parts.append((to, b[places] if kind == _PAIRS else c[:0], c[places], (single if kind == _SINGLES else before)[pair[places]]))
+                if sum(len(x[0]) for x in parts) > _HELD:
+                    yield from packed(kind, lang, parts)
+                    parts.clear()
+        for (kind, lang), parts in held.items():
+            if parts:
+                yield from packed(kind, lang, parts)
         for lang, counts in frequent.items():
             at = np.flatnonzero(counts)
-            yield rows(_FREQUENT, lang, 0, 0, plan.words[at].view(np.int64), counts[at])
+            yield rows(_FREQUENT, lang, 0, plan.words[at].view(np.int64), counts[at])
     return run
 
 
@@ -302,54 +364,68 @@ def _found(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nd
     return at, sorted_keys[at] == keys
 
 
+def _told(table: pa.Table, kind: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows of one kind: sorted hashes of words or pairs, one of each, their words and counts."""
+    rows = table.filter(pc.equal(table.column("kind"), kind))
+    words, counts = _values(rows, "rare_c", np.uint64), _values(rows, "counts", np.uint32).astype(np.int64)
+    if kind == _PAIRS:
+        words = _hash(_values(rows, "rare_b", np.uint64), words)
+    order = np.argsort(words)
+    return words[order], counts[order]
+
+
 def _scored(plan: Plan, levels: dict[str, Level], before1: np.ndarray, split_contexts: dict[int, tuple[int, ...]]):
     """(key, surprise, n_grams) of each cell and text. ``before1`` are counts of frequent last words, ``split_contexts`` what follows split words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, _, table in _cells(batches):
-            level = levels[lang]
+            singles, pairs = _told(table, _SINGLES), _told(table, _PAIRS)
+            table = table.filter(pc.is_null(table.column("kind")))
+            level = levels.get(lang)
             (a, _), (b, _), (c, last) = (_words(table, plan, k) for k in "abc")
             if not len(a):
                 continue
-            keys = np.repeat(_values(table, "keys", np.int64), _values(table, "runs", np.uint32))
-            n = _values(table, "n", np.uint32).astype(np.int64)
-            known = table.filter(pc.is_valid(table.column("last")))
-            w, z, pairs, firsts = (known.column(k).fill_null(0).to_numpy() for k in _KNOWN)
-            del table, known
+            keys, runs = _values(table, "keys", np.int64), _values(table, "runs", np.uint32).astype(np.int64)
+            n = _values(table, "n", np.uint32)
+            del table
 
             at, texts, trigram = _grouped(_hash(a, b, c))
             a, b, c, last = a[at], b[at], c[at], last[at]
-            context3 = tuple(x[i] for i in [_grouped(_hash(a, b)).of] for x in _context(i, texts))
-            # Pairs: those of split words were counted before.
+            of = _grouped(_hash(a, b)).of
+            context3, of3 = np.stack(_context(of, texts)), of
+            del a
+            # Pairs: those of split words were counted before, where they are not alone.
             at, before, pair = _grouped(_hash(b, c))
             b, c, last = b[at], c[at], last[at]
-            of_split = np.flatnonzero(w)
-            told = _hash(w[of_split].view(np.uint64), z[of_split].view(np.uint64))
-            order = np.argsort(told)
-            spot, hit = _found(told[order], _hash(b, c)) if len(told) else (None, np.zeros(len(b), bool))
-            if hit.any():
-                before[hit] = pairs[of_split[order]][spot[hit]]
+            if len(pairs[0]):
+                spot, hit = _found(pairs[0], _hash(b, c))
+                before[hit] = pairs[1][spot[hit]]
             at, _, follows = _grouped(b)
             words = b[at]
             context2 = np.stack(_context(follows, before))
             for x, counts in split_contexts.items():
                 context2[:, words == np.uint64(x)] = np.array(counts, float)[:, None]
-            context2 = context2[:, follows]
             # Last words: one pair at least, more where it was counted.
             single = np.append(before1, 0)[np.minimum(last, len(before1))]
-            order = np.argsort(z)
-            spot, hit = _found(z[order], c.view(np.int64))
-            rare = last == _RARE
-            single[rare] = np.where(hit, firsts[order][spot] if len(z) else 1, 1)[rare]
-
-            before, single, context2 = before[pair], np.maximum(single, 1)[pair], tuple(context2[:, pair])
-            alone = texts == 1  # without it the trigram had no other text and is no longer counted
-            gone = alone & (before == 1)  # then the pair is gone, too
-            kinds = sum(level.all1[1:])
-            p = _smoothed(single, level.all1, level.d1, gone, 1 / (kinds - (gone & (single == 1)) + 1))
-            p = _smoothed(before, context2, level.d2, alone, p)
-            lp = np.log(_smoothed(texts, context3, level.d3, np.ones(len(texts), bool), p))
+            rare = np.flatnonzero(last == _RARE)
+            spot, hit = _found(singles[0], c[rare])
+            single[rare] = 1
+            single[rare[hit]] = singles[1][spot[hit]]
+            single = np.maximum(single, 1)
+
+            kinds, lp = sum(level.all1[1:]), np.empty(len(texts))
+            for begin in range(0, len(texts), _AT_ONCE):
+                now = slice(begin, begin + _AT_ONCE)
+                own, two = texts[now], pair[now]
+                twice, once = before[two], single[two]
+                alone = own == 1  # without it the trigram had no other text and is no longer counted
+                gone = alone & (twice == 1)  # then the pair is gone, too
+                p = _smoothed(once, level.all1, level.d1, gone, 1 / (kinds - (gone & (once == 1)) + 1))
+                p = _smoothed(twice, tuple(context2[:, follows[two]]), level.d2, alone, p)
+                lp[now] = np.log(_smoothed(own, tuple(context3[:, of3[now]]), level.d3, np.ones(len(own), bool), p))
+            starts = np.cumsum(runs) - runs
+            surprise, spoken = np.add.reduceat(lp[trigram] * n, starts), np.add.reduceat(n, starts, dtype=np.int64)
             at, _, row = _grouped(keys)
-            yield pa.record_batch({"key": pa.array(keys[at]), "surprise": pa.array(-np.bincount(row, lp[trigram] * n)), "n_grams": pa.array(np.bincount(row, n).astype(np.int64))})
+            yield pa.record_batch({"key": pa.array(keys[at]), "surprise": pa.array(-np.bincount(row, surprise)), "n_grams": pa.array(np.bincount(row, spoken).astype(np.int64))})
     return run
 
 
@@ -394,9 +470,10 @@ def _plan(rows: DataFrame, source: Source) -> Plan:
                     yield pa.record_batch({"word": pa.array(found.view(np.int64)), "n": pa.array(n.astype(np.int64))})
 
     spark = rows.sparkSession
-    cells = SCORE_PASSES * max(MIN_CELLS, int(spark.conf.get("spark.sql.shuffle.partitions")) // 2)
+    cells = SCORE_PASSES * max(MIN_CELLS, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4)
     every = max(1, rows.select("key").count() // _SAMPLE_ROWS)
     counted = rows.filter(F.pmod(F.xxhash64("key"), F.lit(every)) == 0).mapInArrow(words, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = written(counted, "sample")
     top = counted.orderBy(F.desc("n"), "word").limit(_NUMBERED).toArrow()
     found, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
     total = counted.agg(F.sum("n")).first()[0] or 1
@@ -416,43 +493,35 @@ def _surprise(rows: DataFrame, source: Source, plan: Plan) -> DataFrame:
     def gathered(packed: DataFrame) -> DataFrame:
         return packed.repartition("lang", "cell").sortWithinPartitions("lang", "cell")
 
-    keys = ["kind", "lang", "cell", "mid", "last"]
-    tables = []
-    for k in range(COUNT_PASSES):
-        found = gathered(dealt(k, COUNT_PASSES, False)).mapInArrow(_counted(plan), "kind int, lang string, cell int, mid long, last long, n long")
-        tables.append(written(found.groupBy(keys).agg(sums("n")), "counts"))
+    tables = [written(gathered(dealt(k, COUNT_PASSES, False)).mapInArrow(_counted(plan), _COUNTED), "counts") for k in range(COUNT_PASSES)]
     counts = reduce(DataFrame.unionAll, tables)
-    frequent, other = counts.filter(F.col("kind") == _FREQUENT), counts.filter(F.col("kind") == _OTHER)
-    singles = written(frequent.unionAll(other).groupBy("lang", "last", "kind").agg(F.sum("n").alias("before1")), "singles")
-    pairs = counts.filter(F.col("kind") == _PAIRS).select("lang", "mid", "last", F.col("n").alias("before"))
-
-    one = lambda c, k: F.count_if(F.col(c) == k)
-    figures = {r[0]: r[1:] for r in singles.groupBy("lang").agg(F.sum("before1"), one("before1", 1), one("before1", 2), F.count_if(F.col("before1") > 2), *[one("before1", k) for k in (1, 2, 3, 4)]).collect()}
-    seen = {(r["lang"], r["cell"], r["last"]): r["n"] for r in counts.filter(F.col("kind") == _COUNTS).groupBy("lang", "cell", "last").agg(sums("n")).collect()}
-    levels = {lang: Level(tuple(x[:4]), _discounts(x[4:]), *(_discounts([seen.get((lang, order, k), 0) for k in (1, 2, 3, 4)]) for order in (2, 3))) for lang, x in figures.items()}
+    few = written(counts.filter(F.col("kind").isin(_COUNTS, _FREQUENT, _FOLLOWED)).groupBy("kind", "lang", "cell", "last").agg(sums("n")), "few")
+    known = counts.filter(F.col("kind").isin(_SINGLES, _PAIRS))
+
+    frequent = few.filter(F.col("kind") == _FREQUENT).select("lang", "last", "n").toArrow()
+    words, before = frequent.column("last").to_numpy().view(np.uint64), frequent.column("n").to_numpy()
     before1 = np.zeros(len(plan.words), np.int64)
-    top = singles.filter(F.col("kind") == _FREQUENT).groupBy("last").agg(F.sum("before1").alias("n")).toArrow()
     order = np.argsort(plan.words)
-    before1[order[np.searchsorted(plan.words[order], top.column("last").to_numpy().view(np.uint64))]] = top.column("n").to_numpy()
-    followed = pairs.groupBy("mid").agg(F.sum("before"), one("before", 1), one("before", 2), F.count_if(F.col("before") > 2)).collect()
-    split_contexts = {r[0] & 0xFFFFFFFFFFFFFFFF: tuple(r[1:]) for r in followed}
-
-    # What cells have to know: counts of last words that are not frequent, and pairs of words that are split over cells.
-    many = singles.filter((F.col("kind") == _OTHER) & (F.col("before1") > 1)).select("lang", "last", "before1")
-    ask = other.filter("cell >= 0").select("lang", "cell", "last").join(many, ["lang", "last"])
-    known = ask.select("lang", "cell", F.lit(None).cast("long").alias("mid"), "last", F.lit(None).cast("long").alias("before"), "before1")
-    over = [(int(w), int(s)) for w, s in zip(plan.words.view(np.int64), plan.splits) if s > 1]
-    if over:
-        spread = F.broadcast(spark.createDataFrame(over, "mid long, split long"))
-        told = pairs.join(many, ["lang", "last"], "left").join(spread, "mid").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("split") - 1)))
-        known = known.unionAll(told.select("lang", F.pmod(F.shiftrightunsigned("mid", 2) + F.col("i"), F.lit(plan.cells)).cast("int").alias("cell"), "mid", "last", "before", "before1"))
-    known = written(known, "known")
+    before1[order[np.searchsorted(plan.words[order], words)]] = before
+    of = np.array(frequent.column("lang").to_pylist(), object)
+    seen: dict[tuple[str, int], list[int]] = {}
+    for r in few.filter(F.col("kind") == _COUNTS).collect():
+        seen.setdefault((r["lang"], r["cell"]), [0] * 6)[r["last"]] = r["n"]
+    levels = {}
+    for lang in {x for x, _ in seen}:
+        n = before[of == lang]
+        total, *first, more = np.add(seen[lang, 1], [n.sum(), *np.bincount(np.minimum(n, 5), minlength=6)[1:5], (n > 2).sum()]).tolist()
+        levels[lang] = Level((total, *first[:2], more), _discounts(first), *(_discounts(seen[lang, order][1:5]) for order in (2, 3)))
+    split_contexts: dict[int, list[int]] = {}
+    for r in few.filter(F.col("kind") == _FOLLOWED).collect():
+        split_contexts.setdefault(r["last"] & 0xFFFFFFFFFFFFFFFF, [0] * 4)[r["cell"]] = r["n"]
 
     scores = []
     for k in range(SCORE_PASSES):
         low, high = k * plan.cells // SCORE_PASSES, (k + 1) * plan.cells // SCORE_PASSES
-        packed = dealt(k, SCORE_PASSES, True).withColumns({x: F.lit(None).cast(t) for x, t in _KNOWN.items()})
-        told = known.filter((F.col("cell") >= low) & (F.col("cell") < high)).select("lang", "cell", *[F.lit(None).cast(t).alias(x) for x, t in _PACKED.items()], *_KNOWN)
+        packed = dealt(k, SCORE_PASSES, True).select("*", F.lit(None).cast("int").alias("kind"), F.lit(None).cast("binary").alias("counts"))
+        told = known.filter((F.col("cell") >= low) & (F.col("cell") < high)).select(
+            "lang", "cell", *[F.col(x) if x in ("rare_b", "rare_c") else F.lit(None).cast(t).alias(x) for x, t in _PACKED.items()], "kind", "counts")
         found = gathered(packed.unionAll(told)).mapInArrow(_scored(plan, levels, before1, split_contexts), "key long, surprise double, n_grams long")
         scores.append(written(found.groupBy("key").agg(sums("surprise"), sums("n_grams")), "scores"))
     return reduce(DataFrame.unionAll, scores).groupBy("key").agg(sums("surprise"), sums("n_grams"))
